@@ -134,11 +134,16 @@ def rolling_sum_by_series(spark, sf_dir):
 @registry.add(f"""WITH {DAYS_SQL}, {PHOTOS_SQL},
 reported AS (SELECT date, count(*) AS photo_count FROM days GROUP BY date),
 actual AS (SELECT date, count(*) AS actual_photo_count FROM photos GROUP BY date)
-SELECT date, photo_count, actual_photo_count FROM reported LEFT JOIN actual USING (date)
+SELECT date, photo_count, coalesce(actual_photo_count, 0) AS actual_photo_count,
+       actual_photo_count IS NULL AS no_photos
+FROM reported LEFT JOIN actual USING (date)
 WHERE actual_photo_count IS NULL OR photo_count <> actual_photo_count""")
 def reconcile_counts(spark, sf_dir):
     reported = days(spark, sf_dir).groupBy("date").agg(F.count("*").alias("photo_count"))
-    return d.count_discrepancies(reported, photos(spark, sf_dir))
+    actual = F.col("actual_photo_count")
+    return d.count_discrepancies(reported, photos(spark, sf_dir)).select(
+        "date", "photo_count", F.coalesce(actual, F.lit(0)).alias("actual_photo_count"), actual.isNull().alias("no_photos")
+    )
 
 
 @registry.add(f"""WITH {PHOTOS_SQL}

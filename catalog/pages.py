@@ -82,16 +82,17 @@ def day_pages(spark, sf_dir):
        p_name || ' , , ' || p_brand AS identified_species_text, p_name || '|' || p_brand AS names,
        '{SITE}/loc/date-loc' || p_partkey || '.htm' AS kmz_url, 2::BIGINT AS photo_count FROM part""")
 def page_fields(spark, sf_dir):
-    fields = day_pages(spark, sf_dir).withColumn("photo_count", p.count_photos(F.col("html"))).transform(p.page_fields)
+    fields = p.page_fields(day_pages(spark, sf_dir))
     return fields.select("url", "weather_summary", "identified_species_text",
                          F.array_join("identified_species", "|").alias("names"), "kmz_url", "photo_count")
 
 
-@registry.add("SELECT p_partkey, 'http://o.org/loc/date-loc' || p_partkey || '.htm' AS first FROM part")
+@registry.add(f"SELECT p_partkey, '{SITE}/loc/date-loc' || p_partkey || '.htm' AS first FROM part")
 def page_first_attachment(spark, sf_dir):
-    pages = day_pages(spark, sf_dir)
-    key = F.regexp_extract("url", r"(\d+)\.htm$", 1).cast("bigint")
-    return pages.select(key.alias("p_partkey"), p.attachment_url(F.col("html"), F.lit("http://o.org/d/x.htm")).alias("first"))
+    found = p.page_attachments(day_pages(spark, sf_dir))
+    return found.select(
+        F.regexp_extract("page_url", r"(\d+)\.htm$", 1).cast("bigint").alias("p_partkey"), F.col("kmz_url").alias("first")
+    )
 
 
 RECORDS_SQL = f"""records AS (

@@ -33,27 +33,21 @@ ANCHOR_OPEN = r"(?i)<a\s[^>]*" + _HREF + r"[^>]*>"
 ANCHOR = r"(?is)<a\s[^>]*" + _HREF + r"[^>]*>.*?(?:</a\s*>|(?=<a\s)|$)"
 
 
-def _numeric_entities(c: Column) -> Column:
+def unescape(c: Column) -> Column:
+    """Decode character references; unknown ones stay as they are."""
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
     def decode(t: Column) -> Column:
-        digits = F.regexp_extract(t, r"(?i)^&#(x?[0-9a-f]+);$", 1)
-        number = F.when(
-            F.lower(F.substring(digits, 1, 1)) == "x", F.conv(F.substring(digits, 2, 16), 16, 10)
-        ).otherwise(digits)
-        code = number.try_cast("bigint")
+        digits = F.regexp_extract(t, r"^&#(\d+);$", 1)
+        hexadecimal = F.regexp_extract(t, r"(?i)^&#x([0-9a-f]+);$", 1)
+        code = F.when(digits != "", digits).when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).try_cast("bigint")
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        return F.when(t.startswith("&#") & (digits != "") & valid, char).otherwise(t)
-
-    tokens = F.regexp_extract_all(c, F.lit(r"(?i)&#x?[0-9a-f]+;|[^&]+|&"), F.lit(0))
-    return F.when(c.contains("&#"), F.array_join(F.transform(tokens, decode), "")).otherwise(c)
+        return F.when(t.startswith("&#"), F.when(valid, char)).otherwise(F.try_element_at(names, t))
 
-
-def unescape(c: Column) -> Column:
-    """Decode character references."""
-    out = _numeric_entities(c)
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.when(c.contains("&"), out).otherwise(c)
+    tokens = F.regexp_extract_all(c, F.lit(r"&#?\w++;|[^&]++|&"), F.lit(0))
+    decoded = F.transform(tokens, lambda t: F.when(t.startswith("&"), F.coalesce(decode(t), t)).otherwise(t))
+    return F.when(c.contains("&"), F.array_join(decoded, "")).otherwise(c)
 
 
 def visible(html: Column) -> Column:
@@ -65,8 +59,8 @@ def visible(html: Column) -> Column:
 
 def text_of(fragment: Column, separator: str = " ") -> Column:
     """Text pieces between tags, each stripped, empty ones dropped, joined by ``separator``."""
-    blank = rf"(?:[{BLANK_CLASS}]|&nbsp;)*"
-    flat = F.regexp_replace(fragment, rf"(?:{blank}{_TAG})+{blank}", "\u0000")
+    blank = rf"(?:[{BLANK_CLASS}]++|&nbsp;)*+"
+    flat = F.regexp_replace(fragment, rf"(?:{blank}{_TAG})++{blank}", "\u0000")
     flat = F.trim(flat, F.lit("\u0000"))
     return strip(unescape(F.replace(flat, F.lit("\u0000"), F.lit(separator))))
 

@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import strip
+from .text import BLANK_CLASS
 
 UNIDENTIFIED = "Unidentified"
 
+# Possessive loops keep the matcher iterative, whatever the length of the text.
+_SINGLE = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'"""
+_DOUBLE = r'''"[^"\\]*+(?:\\.[^"\\]*+)*+"'''
 # A quoted string of either kind, or a run of text outside quotes.
-_TOKENS = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"]+"""
+_TOKENS = rf"""(?s){_SINGLE}|{_DOUBLE}|[^'"]++"""
+# Everything up to the next None outside quotes.
+_UP_TO_NONE = rf"""(?s)\G((?:[^'"N]++|N(?!one\b)|{_SINGLE}|{_DOUBLE})*+)None\b"""
 
 
 def _token_as_json(t: Column) -> Column:
@@ -35,25 +40,27 @@ def _token_as_json(t: Column) -> Column:
 def _list_json(v: Column) -> Column:
     """Literal text as JSON; null unless it is enclosed in square brackets.
 
-    Single quotes are already accepted by the JSON reader. Only literals with
-    escapes, ``None`` and the like are taken apart token by token, outside and
-    inside quotes separately, so quoted text is never altered.
+    Single quotes are already accepted by the JSON reader, and ``None`` outside
+    quotes is replaced in one pass. Only literals with escapes, ``True`` and the
+    like are taken apart token by token. Quoted text is never altered.
     """
-    s = strip(v)
-    rewritten = F.array_join(F.transform(F.regexp_extract_all(s, F.lit(_TOKENS), F.lit(0)), _token_as_json), "")
-    needs_rewrite = s.rlike(r"\\|None|True|False|,\s*[\]}]")
+    is_list = (v.startswith("[") & v.endswith("]")) | v.rlike(rf"(?s)^[{BLANK_CLASS}]*\[.*\][{BLANK_CLASS}]*$")
+    rewritten = F.array_join(F.transform(F.regexp_extract_all(v, F.lit(_TOKENS), F.lit(0)), _token_as_json), "")
     return F.when(
-        s.startswith("[") & s.endswith("]"), F.when(needs_rewrite, rewritten).otherwise(s)
+        is_list,
+        F.when(v.rlike(r"\\|True|False|,\s*[\]}]"), rewritten)
+        .when(v.contains("None"), F.regexp_replace(v, _UP_TO_NONE, "$1null"))
+        .otherwise(v),
     )
 
 
-def _items(v: Column) -> Column:
-    return F.from_json(_list_json(v), "array<string>", {"allowUnquotedControlChars": "true"})
+def _from_json(v: Column, schema: str) -> Column:
+    return F.from_json(_list_json(v), schema, {"allowUnquotedControlChars": "true"})
 
 
 def parse_list(v: Column) -> Column:
     """Text of a list literal to ``array<string>``; anything else gives an empty array."""
-    return F.coalesce(_items(v), F.array().cast("array<string>"))
+    return F.coalesce(_from_json(v, "array<string>"), F.array().cast("array<string>"))
 
 
 def parse_record_names(v: Column, field: str = "latin_name") -> Column:
@@ -62,10 +69,16 @@ def parse_record_names(v: Column, field: str = "latin_name") -> Column:
     The first element decides the shape: a list that starts with a plain string
     is returned as it is.
     """
-    items = parse_list(v)
-    names = F.transform(items, lambda x: F.when(x.startswith("{"), F.get_json_object(x, f"$.{field}")))
-    is_records = strip(v).rlike(r"^\[\s*\{")
-    return F.when(is_records, F.filter(names, lambda n: n != "")).otherwise(items)
+    names = _from_json(v, f"array<struct<{field}: string>>").getField(field)
+    # lists that mix records and other values are read element by element
+    mixed = F.transform(
+        _from_json(v, "array<string>"), lambda x: F.when(x.startswith("{"), F.get_json_object(x, f"$.{field}"))
+    )
+    is_records = v.startswith("[{") | v.rlike(rf"^[{BLANK_CLASS}]*\[\s*\{{")
+    return F.when(
+        is_records,
+        F.coalesce(F.filter(F.coalesce(names, mixed), lambda n: n != ""), F.array().cast("array<string>")),
+    ).otherwise(parse_list(v))
 
 
 def as_list(df: DataFrame, column: str) -> Column:

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import BLOCK_TAGS, anchor_tags, anchor_text, anchors, blocks, href, text_of, visible
-from ..functions.lists import list_length
 from ..functions.text import BLANK_CLASS, strip
 from ..functions.urls import join_url
+from .columns import compute_once
 
 # What marks a photo, a species page, and a page that is neither.
 PHOTO_PATH = "/pictures/archives/"
@@ -76,46 +76,51 @@ def newest(pages: DataFrame, n: int) -> DataFrame:
     return pages.orderBy(F.desc("date"), "url").limit(n)
 
 
-def weather_sentence(html: Column) -> Column:
-    """Text from the word "Weather" to the end of its element.
+def _visible(pages: DataFrame) -> DataFrame:
+    """Replace the raw HTML by its visible part, once for all that follows."""
+    return compute_once(pages, {"html": visible(F.col("html"))})
+
+
+def weather_sentence(pages: DataFrame) -> DataFrame:
+    """Add ``weather_summary``: text from the word "Weather" to the end of its element.
 
     The element is the inline wrapper of the word if that holds enough text, else
     the block around it; a block that holds little more than a label is extended
     to the end of what encloses it.
     """
+    page, block, wrapped = F.col("html"), F.col("_block"), F.col("_wrapped")
+    some = page.contains("Weather")
+    # the first block with a text node that starts with the word; within a block
+    # such a node comes first or follows an inline tag
     node = rf"(?:^|>)[{BLANK_CLASS}]*Weather"
-    page = visible(html)
-    wrapped = F.regexp_extract(page, rf"(?is)<(b|strong|i|em|u|font|span|big|small)\b[^>]*>[{BLANK_CLASS}]*(?-i:Weather).*?</\1\s*>", 0)
-    # the first block with a text node that starts with the word; blocks keep no
-    # tags of their own, so such a node starts the block or follows an inline tag
-    block = F.try_element_at(F.filter(blocks(page), lambda b: b.rlike(node)), F.lit(1))
-    rest = F.regexp_extract(page, rf"(?s)(?:^|>)[{BLANK_CLASS}]*(Weather.*?)(?i:</(?:div|td|article|section|center|body|html)\b|$)", 1)
+    wrapper = rf"(?is)<(b|strong|i|em|u|font|span|big|small)\b[^>]*>[{BLANK_CLASS}]*(?-i:Weather).*?</\1\s*>"
+    to_the_end = rf"(?s)(?:^|>)[{BLANK_CLASS}]*(Weather.*?)(?i:</(?:div|td|article|section|center|body|html)\b|$)"
+    found = compute_once(
+        pages,
+        {
+            "_block": F.when(some, F.try_element_at(F.filter(blocks(page), lambda b: b.rlike(node)), F.lit(1))),
+            "_wrapped": F.when(some, F.regexp_extract(page, wrapper, 0)),
+        },
+    )
 
     def from_word(fragment: Column) -> Column:
-        return F.regexp_extract(text_of(fragment), r"(?s)Weather.*$", 0)
+        return F.nullif(F.regexp_extract(text_of(fragment), r"(?s)Weather.*$", 0), F.lit(""))
 
-    in_wrapper = block.contains(wrapped) & (wrapped != "")
-    direct = block.rlike(rf"^[{BLANK_CLASS}]*Weather")
-    return (
-        F.when(in_wrapper & (F.length(text_of(wrapped)) >= SHORTEST_WEATHER), from_word(wrapped))
-        .when(direct & (F.length(text_of(block)) < SHORTEST_WEATHER), from_word(rest))
-        .otherwise(F.nullif(from_word(block), F.lit("")))
-    )
+    in_wrapper = (wrapped != "") & block.contains(wrapped) & (F.length(text_of(wrapped)) >= SHORTEST_WEATHER)
+    only_label = block.rlike(rf"^[{BLANK_CLASS}]*Weather") & (F.length(text_of(block)) < SHORTEST_WEATHER)
+    element = F.when(in_wrapper, wrapped).when(only_label, F.regexp_extract(page, to_the_end, 1)).otherwise(block)
+    return found.withColumn("weather_summary", from_word(element)).drop("_block", "_wrapped")
 
 
-def species_text(html: Column) -> Column:
+def species_text(page: Column) -> Column:
     """Text behind "Identified species" up to the next block or line break; null if there is none."""
-    page = visible(html)
     # what shares the text node of the label is skipped, and of the elements
     # around the label only a bold one is left behind
     behind = F.regexp_extract(page, r"(?s)Identified species[^<]*+(?:</b\s*>|(?!</))(.*)$", 1)
     part = F.split(behind, SPECIES_STOPS + rf"|^[{BLANK_CLASS}]*</", 2)[0]
-    text = strip(text_of(part))
-    text = F.when(text.startswith(":"), strip(F.substring(text, F.lit(2), F.length(text)))).otherwise(text)
-    return F.when(
-        text_of(part) != "",
-        F.when(text.endswith("."), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text),
-    )
+    # a colon in front and a dot at the end go, with the blanks inside them
+    text = F.regexp_replace(text_of(part), rf"^:[{BLANK_CLASS}]*|\.$", "")
+    return F.when(page.contains("Identified species"), F.when(text_of(part) != "", text))
 
 
 def species_names(text: Column) -> Column:
@@ -124,25 +129,36 @@ def species_names(text: Column) -> Column:
     return F.coalesce(names, F.array().cast("array<string>"))
 
 
-def attachment_url(html: Column, url: Column) -> Column:
+def attachment_url(page: Column, url: Column) -> Column:
     """Absolute url of the first location attachment of a page, or null."""
-    targets = F.transform(anchor_tags(visible(html)), href)
+    targets = F.transform(anchor_tags(page), href)
     first = F.try_element_at(
         F.filter(targets, lambda t: t.endswith(ATTACHMENT_SUFFIX) | t.contains(ATTACHMENT_PART)), F.lit(1)
     )
-    return join_url(url, first)
+    return join_url(url, F.when(page.contains(ATTACHMENT_SUFFIX) | page.contains(ATTACHMENT_PART), first))
+
+
+def page_attachments(pages: DataFrame) -> DataFrame:
+    """Rows of (page_url, kmz_url), one for each page that has an attachment."""
+    url = attachment_url(F.col("html"), F.col("url"))
+    return (
+        compute_once(_visible(pages.select("url", "html")), {"kmz_url": url})
+        .where(F.col("kmz_url").isNotNull())
+        .select(F.col("url").alias("page_url"), "kmz_url")
+        .distinct()  # copies of a page must not multiply what is attached to it
+    )
 
 
 def page_fields(pages: DataFrame) -> DataFrame:
-    """Weather sentence, species text and list, and attachment of every page."""
+    """Weather sentence, species text and list, attachment and photo count of every page."""
+    page, url = F.col("html"), F.col("url")
+    fields = {
+        "identified_species_text": species_text(page),
+        "kmz_url": attachment_url(page, url),
+        "photo_count": count_photos(page),
+    }
     return (
-        pages.withColumns(
-            {
-                "weather_summary": weather_sentence(F.col("html")),
-                "identified_species_text": species_text(F.col("html")),
-                "kmz_url": attachment_url(F.col("html"), F.col("url")),
-            }
-        )
+        compute_once(weather_sentence(_visible(pages)), fields)
         .withColumn("identified_species", species_names(F.col("identified_species_text")))
         .drop("html")
     )
@@ -163,9 +179,9 @@ def _species_refs(container: Column, url: Column) -> Column:
     )
 
 
-def photo_candidates(html: Column) -> Column:
+def photo_candidates(page: Column) -> Column:
     """Links into the photo archive, each with the block around it, in document order."""
-    holding = F.filter(blocks(visible(html)), lambda b: b.contains(PHOTO_PATH))
+    holding = F.filter(blocks(page), lambda b: b.contains(PHOTO_PATH))
 
     def links(block: Column) -> Column:
         tags = F.filter(anchor_tags(block), lambda a: href(a).contains(PHOTO_PATH))
@@ -183,7 +199,7 @@ def photo_records(pages: DataFrame) -> DataFrame:
     caption = F.col("full_caption")
     target = F.lower("_p.href")
     return (
-        pages.where(F.col("html").contains(PHOTO_PATH))
+        _visible(pages.where(F.col("html").contains(PHOTO_PATH)))
         .select("date", "url", F.posexplode(photo_candidates(F.col("html"))).alias("_i", "_p"))
         .where(_any([target.endswith(e) for e in IMAGE_EXTENSIONS]))
         .select(
@@ -213,12 +229,14 @@ def location_key(photo_url: Column) -> Column:
     return F.when((roll != "") & (number != ""), F.concat_ws("-", roll, number))
 
 
-def count_photos(html: Column) -> Column:
+def count_photos(page: Column) -> Column:
     """Number of archived images on a page."""
+    tags = F.filter(anchor_tags(page), lambda a: a.contains(PHOTO_PATH))
     images = F.filter(
-        photo_candidates(html), lambda p: _any([F.lower(p.href).endswith(e) for e in IMAGE_EXTENSIONS])
+        F.transform(tags, href),
+        lambda t: t.contains(PHOTO_PATH) & _any([F.lower(t).endswith(e) for e in IMAGE_EXTENSIONS]),
     )
-    return list_length(images).cast("bigint")
+    return F.when(page.contains(PHOTO_PATH), F.size(images)).otherwise(0).cast("bigint")
 
 
 def flatten_pages(records: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from ..functions.html import unescape
 from ..functions.lists import list_length
 from ..functions.text import BLANK_CLASS, strip
 from .joins import lookup_join
-from .pages import attachment_url, count_photos, location_key, page_fields, photo_records
+from .pages import location_key, page_attachments, page_fields, photo_records
 
 _PREFIX = r"(?:[\w.-]+:)?"
 _PLACEMARK = rf"(?s)<{_PREFIX}Placemark\b[^>]*(?<!/)>.*?</{_PREFIX}Placemark\s*>"
@@ -115,8 +115,7 @@ def page_tables(
     ``documents`` (kmz_url, kml) holds the landed location attachments, one row
     per attachment. Without it the coordinates are null.
     """
-    html, url = F.col("html"), F.col("url")
-    fields = pages.withColumn("photo_count", count_photos(html)).transform(page_fields)
+    fields = page_fields(pages)
     photos = photo_records(pages)
     if documents is None:
         nothing = F.lit(None).cast("double")
@@ -124,12 +123,7 @@ def page_tables(
             fields.withColumns({"latitude": nothing, "longitude": nothing}),
             photos.withColumns({"latitude": nothing, "longitude": nothing}),
         )
-    owners = (
-        pages.select(url.alias("page_url"), attachment_url(html, url).alias("kmz_url"))
-        .where(F.col("kmz_url").isNotNull())
-        .distinct()  # copies of a page must not multiply its marks
-    )
-    owned = owners.join(documents, "kmz_url")
+    owned = page_attachments(pages).join(documents, "kmz_url")
     defaults = default_points(owned)
     days = lookup_join(
         fields, defaults.select(F.col("page_url").alias("url"), F.col("default_lat").alias("latitude"),

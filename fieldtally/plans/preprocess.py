@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import Box
 from ..functions.lists import UNIDENTIFIED, as_list, as_record_names, first_item, list_length, list_to_text
 from ..functions.rules import RuleSet
+from ..operators.columns import compute_once
 from ..operators.filters import available, drop_incomplete, filter_by_bbox
 from ..operators.frequency import species_frequency
 from ..operators.taxonomy import exclusion_report, exclusion_stats, filter_by_rules
@@ -23,7 +24,7 @@ def process_days(days: DataFrame) -> DataFrame:
     """Add the species list and its length where the day records name species."""
     if "identified_species" not in days.columns:
         return days
-    return days.withColumn("identified_species_list", as_list(days, "identified_species")).withColumn(
+    return compute_once(days, {"identified_species_list": as_list(days, "identified_species")}).withColumn(
         "identified_species_count", list_length(F.col("identified_species_list"))
     )
 
@@ -32,7 +33,7 @@ def process_photos(photos: DataFrame) -> DataFrame:
     """Add the species list and its first name."""
     if "species" not in photos.columns:
         return photos
-    return photos.withColumn("species_list", as_record_names(photos, "species")).withColumn(
+    return compute_once(photos, {"species_list": as_record_names(photos, "species")}).withColumn(
         "first_species", first_item(F.col("species_list"))
     )
 
