@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import BLANK_CLASS, strip
+from .text import strip
 
 # Elements that start a block of their own.
 BLOCK_TAGS = (
@@ -18,7 +18,7 @@ BLOCK_TAG = r"(?i)</?(?:" + "|".join(BLOCK_TAGS) + r")\b[^>]*>"
 
 # Character references decoded in text and attributes.
 ENTITIES = {
-    "&nbsp;": "\xa0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&deg;": "°",
+    "&nbsp;": "\xa0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "\\'", "&deg;": "°",
     "&copy;": "©", "&reg;": "®", "&middot;": "·", "&laquo;": "«", "&raquo;": "»",
     "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“",
     "&rdquo;": "”", "&hellip;": "…", "&agrave;": "à", "&aacute;": "á", "&auml;": "ä",
@@ -28,14 +28,13 @@ ENTITIES = {
 }
 
 _TAG = r"<[/a-zA-Z!?][^>]*>"
-_HREF = r"""(?<![\w-])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-ANCHOR_OPEN = r"(?i)<a\s[^>]*" + _HREF + r"[^>]*>"
-ANCHOR = r"(?is)<a\s[^>]*" + _HREF + r"[^>]*>.*?(?:</a\s*>|(?=<a\s)|$)"
+_HREF = r"""<a\s[^>]*?(?<![\w-])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+ANCHOR = rf"(?is){_HREF}[^>]*>.*?(?:</a\s*>|(?=<a\s)|$)"
 
 
 def unescape(c: Column) -> Column:
     """Decode character references; unknown ones stay as they are."""
-    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    names = F.expr("map(" + ", ".join(f"'{name}', '{char}'" for name, char in ENTITIES.items()) + ")")
 
     def decode(t: Column) -> Column:
         digits = F.regexp_extract(t, r"^&#(\d+);$", 1)
@@ -59,10 +58,8 @@ def visible(html: Column) -> Column:
 
 def text_of(fragment: Column, separator: str = " ") -> Column:
     """Text pieces between tags, each stripped, empty ones dropped, joined by ``separator``."""
-    blank = rf"(?:[{BLANK_CLASS}]++|&nbsp;)*+"
-    flat = F.regexp_replace(fragment, rf"(?:{blank}{_TAG})++{blank}", "\u0000")
-    flat = F.trim(flat, F.lit("\u0000"))
-    return strip(unescape(F.replace(flat, F.lit("\u0000"), F.lit(separator))))
+    pieces = F.transform(F.split(fragment, _TAG), lambda t: strip(unescape(t)))
+    return F.array_join(F.filter(pieces, lambda t: t != ""), separator)
 
 
 def blocks(html: Column) -> Column:
@@ -75,15 +72,29 @@ def anchors(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(0))
 
 
-def anchor_tags(html: Column) -> Column:
-    """Only the opening tags of the anchors with a link target."""
-    return F.regexp_extract_all(html, F.lit(ANCHOR_OPEN), F.lit(0))
+def _unquoted(target: Column) -> Column:
+    quoted = target.startswith('"') | target.startswith("'")
+    return F.when(quoted, F.substring(target, F.lit(2), F.length(target) - 2)).otherwise(target)
+
+
+def hrefs(html: Column) -> Column:
+    """Link targets of all anchors, decoded, in document order."""
+    targets = F.transform(F.regexp_extract_all(html, F.lit(f"(?i){_HREF}"), F.lit(1)), _unquoted)
+    return F.transform(targets, unescape)
 
 
 def href(anchor: Column) -> Column:
     """Link target of an anchor, decoded."""
-    whole = r"(?is)^<a\s[^>]*?" + _HREF + r".*$"
-    return unescape(F.regexp_replace(anchor, whole, "$1$2$3"))
+    return unescape(_unquoted(F.regexp_extract(anchor, f"(?is)^{_HREF}", 1)))
+
+
+def links(html: Column) -> Column:
+    """All anchors as an array of (href, text), the text without blanks between its pieces."""
+    raw = F.transform(
+        anchors(html),
+        lambda a: F.struct(_unquoted(F.regexp_extract(a, f"(?is)^{_HREF}", 1)).alias("t"), a.alias("a")),
+    )
+    return F.transform(raw, lambda r: F.struct(unescape(r.t).alias("href"), anchor_text(r.a).alias("text")))
 
 
 def anchor_text(anchor: Column, separator: str = "") -> Column:

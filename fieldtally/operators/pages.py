@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import BLOCK_TAGS, anchor_tags, anchor_text, anchors, blocks, href, text_of, visible
+from ..functions.html import BLOCK_TAGS, blocks, hrefs, links, text_of, visible
 from ..functions.text import BLANK_CLASS, strip
 from ..functions.urls import join_url
 from .columns import compute_once
@@ -37,11 +37,10 @@ def _any(conditions: list[Column]) -> Column:
 def page_links(pages: DataFrame, *keep: str) -> DataFrame:
     """One row per anchor of a page: position, raw target, text, absolute url."""
     return (
-        pages.select(*keep, "url", F.posexplode(anchors(visible(F.col("html")))).alias("pos", "_a"))
-        .select(*keep, "url", (F.col("pos") + 1).alias("pos"), href(F.col("_a")).alias("href"),
-                anchor_text(F.col("_a")).alias("text"))
+        pages.select(*keep, "url", F.posexplode(links(visible(F.col("html")))).alias("_i", "_l"))
+        .select(*keep, "url", (F.col("_i") + 1).alias("pos"), "_l.*")
         .withColumn("link", join_url(F.col("url"), F.col("href")))
-    )
+    )
 
 
 def index_links(
@@ -81,46 +80,39 @@ def _visible(pages: DataFrame) -> DataFrame:
     return compute_once(pages, {"html": visible(F.col("html"))})
 
 
-def weather_sentence(pages: DataFrame) -> DataFrame:
-    """Add ``weather_summary``: text from the word "Weather" to the end of its element.
+def _weather_parts(page: Column) -> tuple[Column, Column]:
+    """The first block with a text node that starts with "Weather", and the word's inline wrapper."""
+    # within a block such a node comes first or follows an inline tag
+    node = rf"(?:^|>)[{BLANK_CLASS}]*Weather"
+    wrapper = rf"(?is)<(b|strong|i|em|u|font|span|big|small)\b[^>]*>[{BLANK_CLASS}]*(?-i:Weather).*?</\1\s*>"
+    some = page.contains("Weather")
+    block = F.try_element_at(F.filter(blocks(page), lambda b: b.rlike(node)), F.lit(1))
+    return F.when(some, block), F.when(some, F.regexp_extract(page, wrapper, 0))
+
+
+def _weather(page: Column, block: Column, wrapped: Column) -> Column:
+    """Text from the word "Weather" to the end of its element.
 
     The element is the inline wrapper of the word if that holds enough text, else
     the block around it; a block that holds little more than a label is extended
     to the end of what encloses it.
     """
-    page, block, wrapped = F.col("html"), F.col("_block"), F.col("_wrapped")
-    some = page.contains("Weather")
-    # the first block with a text node that starts with the word; within a block
-    # such a node comes first or follows an inline tag
-    node = rf"(?:^|>)[{BLANK_CLASS}]*Weather"
-    wrapper = rf"(?is)<(b|strong|i|em|u|font|span|big|small)\b[^>]*>[{BLANK_CLASS}]*(?-i:Weather).*?</\1\s*>"
     to_the_end = rf"(?s)(?:^|>)[{BLANK_CLASS}]*(Weather.*?)(?i:</(?:div|td|article|section|center|body|html)\b|$)"
-    found = compute_once(
-        pages,
-        {
-            "_block": F.when(some, F.try_element_at(F.filter(blocks(page), lambda b: b.rlike(node)), F.lit(1))),
-            "_wrapped": F.when(some, F.regexp_extract(page, wrapper, 0)),
-        },
-    )
-
-    def from_word(fragment: Column) -> Column:
-        return F.nullif(F.regexp_extract(text_of(fragment), r"(?s)Weather.*$", 0), F.lit(""))
-
     in_wrapper = (wrapped != "") & block.contains(wrapped) & (F.length(text_of(wrapped)) >= SHORTEST_WEATHER)
     only_label = block.rlike(rf"^[{BLANK_CLASS}]*Weather") & (F.length(text_of(block)) < SHORTEST_WEATHER)
     element = F.when(in_wrapper, wrapped).when(only_label, F.regexp_extract(page, to_the_end, 1)).otherwise(block)
-    return found.withColumn("weather_summary", from_word(element)).drop("_block", "_wrapped")
+    return F.nullif(F.regexp_extract(text_of(element), r"(?s)Weather.*$", 0), F.lit(""))
+
 
+def _species_part(page: Column) -> Column:
+    """Text behind "Identified species" up to the next block or line break.
 
-def species_text(page: Column) -> Column:
-    """Text behind "Identified species" up to the next block or line break; null if there is none."""
-    # what shares the text node of the label is skipped, and of the elements
-    # around the label only a bold one is left behind
+    What shares the text node of the label is skipped, and of the elements around
+    the label only a bold one is left behind.
+    """
     behind = F.regexp_extract(page, r"(?s)Identified species[^<]*+(?:</b\s*>|(?!</))(.*)$", 1)
     part = F.split(behind, SPECIES_STOPS + rf"|^[{BLANK_CLASS}]*</", 2)[0]
-    # a colon in front and a dot at the end go, with the blanks inside them
-    text = F.regexp_replace(text_of(part), rf"^:[{BLANK_CLASS}]*|\.$", "")
-    return F.when(page.contains("Identified species"), F.when(text_of(part) != "", text))
+    return F.when(page.contains("Identified species"), F.nullif(text_of(part), F.lit("")))
 
 
 def species_names(text: Column) -> Column:
@@ -129,53 +121,57 @@ def species_names(text: Column) -> Column:
     return F.coalesce(names, F.array().cast("array<string>"))
 
 
-def attachment_url(page: Column, url: Column) -> Column:
-    """Absolute url of the first location attachment of a page, or null."""
-    targets = F.transform(anchor_tags(page), href)
-    first = F.try_element_at(
-        F.filter(targets, lambda t: t.endswith(ATTACHMENT_SUFFIX) | t.contains(ATTACHMENT_PART)), F.lit(1)
-    )
-    return join_url(url, F.when(page.contains(ATTACHMENT_SUFFIX) | page.contains(ATTACHMENT_PART), first))
+def _attachment(page: Column) -> Column:
+    """Target of the first location attachment of a page, or null."""
+    first = F.filter(hrefs(page), lambda t: t.endswith(ATTACHMENT_SUFFIX) | t.contains(ATTACHMENT_PART))
+    some = page.contains(ATTACHMENT_SUFFIX) | page.contains(ATTACHMENT_PART)
+    return F.when(some, F.try_element_at(first, F.lit(1)))
 
 
 def page_attachments(pages: DataFrame) -> DataFrame:
     """Rows of (page_url, kmz_url), one for each page that has an attachment."""
-    url = attachment_url(F.col("html"), F.col("url"))
+    found = compute_once(_visible(pages.select("url", "html")), {"_target": _attachment(F.col("html"))})
     return (
-        compute_once(_visible(pages.select("url", "html")), {"kmz_url": url})
-        .where(F.col("kmz_url").isNotNull())
-        .select(F.col("url").alias("page_url"), "kmz_url")
+        found.where(F.col("_target").isNotNull())
+        .select(F.col("url").alias("page_url"), join_url(F.col("url"), F.col("_target")).alias("kmz_url"))
         .distinct()  # copies of a page must not multiply what is attached to it
     )
 
 
 def page_fields(pages: DataFrame) -> DataFrame:
     """Weather sentence, species text and list, attachment and photo count of every page."""
-    page, url = F.col("html"), F.col("url")
-    fields = {
-        "identified_species_text": species_text(page),
-        "kmz_url": attachment_url(page, url),
+    page, species = F.col("html"), F.col("_species")
+    block, wrapped = _weather_parts(page)
+    parts = {
+        "_block": block,
+        "_wrapped": wrapped,
+        "_species": _species_part(page),
+        "_target": _attachment(page),
         "photo_count": count_photos(page),
     }
+    fields = {
+        "weather_summary": _weather(page, F.col("_block"), F.col("_wrapped")),
+        # a colon in front and a dot at the end go, with the blanks inside them
+        "identified_species_text": F.regexp_replace(species, rf"^:[{BLANK_CLASS}]*|\.$", ""),
+        "kmz_url": join_url(F.col("url"), F.col("_target")),
+    }
     return (
-        compute_once(weather_sentence(_visible(pages)), fields)
+        compute_once(_visible(pages), parts)
+        .withColumns(fields)
         .withColumn("identified_species", species_names(F.col("identified_species_text")))
-        .drop("html")
+        .drop("html", "_block", "_wrapped", "_species", "_target")
     )
 
 
 def _species_refs(container: Column, url: Column) -> Column:
-    def is_species(a: Column) -> Column:
-        t = href(a)
-        return (
-            t.endswith(".htm")
-            & _any([t.contains(p) for p in SPECIES_PATHS])
-            & ~_any([t.contains(p) for p in NOT_SPECIES])
-        )
-
+    species = F.filter(
+        links(container),
+        lambda r: r.href.endswith(".htm")
+        & _any([r.href.contains(p) for p in SPECIES_PATHS])
+        & ~_any([r.href.contains(p) for p in NOT_SPECIES]),
+    )
     return F.transform(
-        F.filter(anchors(container), is_species),
-        lambda a: F.struct(anchor_text(a).alias("latin_name"), join_url(url, href(a)).alias("page_url")),
+        species, lambda r: F.struct(r.text.alias("latin_name"), join_url(url, r.href).alias("page_url"))
     )
 
 
@@ -183,11 +179,11 @@ def photo_candidates(page: Column) -> Column:
     """Links into the photo archive, each with the block around it, in document order."""
     holding = F.filter(blocks(page), lambda b: b.contains(PHOTO_PATH))
 
-    def links(block: Column) -> Column:
-        tags = F.filter(anchor_tags(block), lambda a: href(a).contains(PHOTO_PATH))
-        return F.transform(tags, lambda a: F.struct(href(a).alias("href"), block.alias("block")))
+    def candidates(block: Column) -> Column:
+        targets = F.filter(hrefs(block), lambda t: t.contains(PHOTO_PATH))
+        return F.transform(targets, lambda t: F.struct(t.alias("href"), block.alias("block")))
 
-    return F.flatten(F.transform(holding, links))
+    return F.flatten(F.transform(holding, candidates))
 
 
 def photo_records(pages: DataFrame) -> DataFrame:
@@ -231,9 +227,8 @@ def location_key(photo_url: Column) -> Column:
 
 def count_photos(page: Column) -> Column:
     """Number of archived images on a page."""
-    tags = F.filter(anchor_tags(page), lambda a: a.contains(PHOTO_PATH))
     images = F.filter(
-        F.transform(tags, href),
+        hrefs(page),
         lambda t: t.contains(PHOTO_PATH) & _any([F.lower(t).endswith(e) for e in IMAGE_EXTENSIONS]),
     )
     return F.when(page.contains(PHOTO_PATH), F.size(images)).otherwise(0).cast("bigint")

@@ -63,4 +63,4 @@ def test_href_forms(column_of):
         "<a href=\"a&amp;b\">", "<a name=\"n\">",
     ]
     assert column_of(tags[:5], html.href) == ["x y.htm", "x.htm", "x.htm", "y", "a&b"]
-    assert column_of(tags, lambda c: F.size(html.anchor_tags(c))) == [1, 1, 1, 1, 1, 0]
+    assert column_of(tags, lambda c: F.size(html.hrefs(c))) == [1, 1, 1, 1, 1, 0]
