@@ -37,30 +37,32 @@ def _token_as_json(t: Column) -> Column:
     )
 
 
-def _list_json(v: Column) -> Column:
-    """Literal text as JSON; null unless it is enclosed in square brackets.
+def _is_list(v: Column) -> Column:
+    return (v.startswith("[") & v.endswith("]")) | v.rlike(rf"(?s)^[{BLANK_CLASS}]*\[.*\][{BLANK_CLASS}]*$")
 
-    Single quotes are already accepted by the JSON reader, and ``None`` outside
-    quotes is replaced in one pass. Only literals with escapes, ``True`` and the
-    like are taken apart token by token. Quoted text is never altered.
+
+def _from_json(v: Column, schema: str) -> tuple[Column, Column]:
+    """Literal text read by the JSON reader in two ways; null where it cannot be read.
+
+    The first accepts what JSON and the literal have in common: single quotes are
+    fine with the reader, and ``None`` outside quotes is replaced in one pass. The
+    second takes a literal apart token by token, for escapes, ``True`` and the
+    like. Quoted text is never altered. Use the second where the first is null.
     """
-    is_list = (v.startswith("[") & v.endswith("]")) | v.rlike(rf"(?s)^[{BLANK_CLASS}]*\[.*\][{BLANK_CLASS}]*$")
+    plain = F.when(v.contains("None"), F.regexp_replace(v, _UP_TO_NONE, "$1null")).otherwise(v)
     rewritten = F.array_join(F.transform(F.regexp_extract_all(v, F.lit(_TOKENS), F.lit(0)), _token_as_json), "")
-    return F.when(
-        is_list,
-        F.when(v.rlike(r"\\|True|False|,\s*[\]}]"), rewritten)
-        .when(v.contains("None"), F.regexp_replace(v, _UP_TO_NONE, "$1null"))
-        .otherwise(v),
-    )
+    options = {"allowUnquotedControlChars": "true"}
+    return F.from_json(plain, schema, options), F.from_json(rewritten, schema, options)
 
 
-def _from_json(v: Column, schema: str) -> Column:
-    return F.from_json(_list_json(v), schema, {"allowUnquotedControlChars": "true"})
+def _none() -> Column:
+    return F.array().cast("array<string>")
 
 
 def parse_list(v: Column) -> Column:
     """Text of a list literal to ``array<string>``; anything else gives an empty array."""
-    return F.coalesce(_from_json(v, "array<string>"), F.array().cast("array<string>"))
+    items = F.coalesce(*_from_json(v, "array<string>"), _none())
+    return F.when(_is_list(v), items).otherwise(_none())
 
 
 def parse_record_names(v: Column, field: str = "latin_name") -> Column:
@@ -69,16 +71,15 @@ def parse_record_names(v: Column, field: str = "latin_name") -> Column:
     The first element decides the shape: a list that starts with a plain string
     is returned as it is.
     """
-    names = _from_json(v, f"array<struct<{field}: string>>").getField(field)
+    names = [c.getField(field) for c in _from_json(v, f"array<struct<{field}: string>>")]
     # lists that mix records and other values are read element by element
-    mixed = F.transform(
-        _from_json(v, "array<string>"), lambda x: F.when(x.startswith("{"), F.get_json_object(x, f"$.{field}"))
-    )
+    mixed = F.transform(parse_list(v), lambda x: F.when(x.startswith("{"), F.get_json_object(x, f"$.{field}")))
     is_records = v.startswith("[{") | v.rlike(rf"^[{BLANK_CLASS}]*\[\s*\{{")
-    return F.when(
-        is_records,
-        F.coalesce(F.filter(F.coalesce(names, mixed), lambda n: n != ""), F.array().cast("array<string>")),
-    ).otherwise(parse_list(v))
+    return (
+        F.when(is_records & _is_list(v), F.filter(F.coalesce(*names, mixed), lambda n: n != ""))
+        .when(is_records, _none())
+        .otherwise(parse_list(v))
+    )
 
 
 def as_list(df: DataFrame, column: str) -> Column:

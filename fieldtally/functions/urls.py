@@ -16,20 +16,21 @@ def _without_dots(path: Column, collapse: bool) -> Column:
     """
     segments = F.split(path, "/")
     last = F.element_at(segments, -1)
-    inner = F.slice(segments, F.lit(2), F.size(segments))
     if collapse:
-        inner = F.filter(inner, lambda s: s != "")
+        inner = F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 2, F.lit(0)))
+        segments = F.concat(F.array(F.lit("")), F.filter(inner, lambda s: s != ""), F.array(last))
     kept = F.aggregate(
-        inner,
+        segments,
         F.array().cast("array<string>"),
         lambda acc, s: F.when(s == ".", acc)
         .when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
         .otherwise(F.array_append(acc, s)),
     )
-    as_folder = last.isin("", ".", "..") if collapse else last.isin(".", "..")
-    resolved = F.concat(
-        F.lit("/"), F.array_join(kept, "/"), F.when(as_folder & (F.size(kept) > 0), "/").otherwise("")
-    )
+    # a path that ends in a dot segment names a folder; the root may have been
+    # popped along the way and is put back
+    kept = F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    joined = F.array_join(kept, "/")
+    resolved = F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
     unresolved = r"/\.{1,2}(/|$)|//" if collapse else r"/\.{1,2}(/|$)"
     return F.when(path.rlike(unresolved), resolved).otherwise(path)
 

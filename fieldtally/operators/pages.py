@@ -48,21 +48,25 @@ def index_links(
     prefix: str = "date-en/",
     suffix: str = ".htm",
     date_format: str = "yyyy-M-d",
+    date_pattern: str = r"^\d{4}-\d{1,2}-\d{1,2}$",
     newest_first: bool = True,
 ) -> DataFrame:
     """Dated links of index pages: the date from the link text, else from its last path segment.
 
-    Links without a date are dropped.
+    Links without a date are dropped. Only text that looks like a date is parsed,
+    as a failing date parser is slow.
     """
+
+    def parsed(text: Column) -> Column:
+        return F.when(text.rlike(date_pattern), F.try_to_date(text, date_format))
+
     target = F.col("href")
     segment = F.replace(F.substring_index(target, "/", -1), F.lit(suffix), F.lit(""))
     found = (
         page_links(pages)
         .where(target.startswith(prefix) & target.endswith(suffix))
         .select(
-            F.coalesce(
-                F.try_to_date(F.col("text"), date_format), F.try_to_date(segment, date_format)
-            ).alias("date"),
+            F.coalesce(parsed(F.col("text")), parsed(segment)).alias("date"),
             F.col("link").alias("url"),
         )
         .where(F.col("date").isNotNull())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.html import unescape
 from ..functions.lists import list_length
 from ..functions.text import BLANK_CLASS, strip
+from .columns import compute_once
 from .joins import lookup_join
 from .pages import location_key, page_attachments, page_fields, photo_records
 
@@ -16,50 +17,45 @@ _PLACEMARK = rf"(?s)<{_PREFIX}Placemark\b[^>]*(?<!/)>.*?</{_PREFIX}Placemark\s*>
 _NAME = rf"(?s)<{_PREFIX}name(?:\s[^>]*)?(?<!/)>(.*?)</{_PREFIX}name\s*>"
 _LAST_POINT = rf"(?s).*<{_PREFIX}Point\b[^>]*(?<!/)>.*?<{_PREFIX}coordinates\b[^>]*(?<!/)>(.*?)<"
 _COORDINATES = rf"(?s)<{_PREFIX}coordinates\b[^>]*(?<!/)>(.*?)</"
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-
-
-def _number(c: Column) -> Column:
-    s = strip(c)
-    return F.when(s.rlike(_NUMBER), s.try_cast("double"))
+_NUMBER = rf"[{BLANK_CLASS}]*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)[{BLANK_CLASS}]*"
+_LON_LAT = rf"^{_NUMBER},{_NUMBER}(?:,|$)"
 
 
 def _lat_lon(text: Column) -> Column:
     """(lat, lon) of ``lon,lat[,alt]``; null when either is not a number."""
-    parts = F.split(strip(text), ",")
-    lon, lat = _number(F.try_element_at(parts, F.lit(1))), _number(F.try_element_at(parts, F.lit(2)))
-    return F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon")))
+    lon, lat = (F.regexp_extract(text, _LON_LAT, i).try_cast("double") for i in (1, 2))
+    return F.when(text.rlike(_LON_LAT), F.struct(lat.alias("lat"), lon.alias("lon")))
 
 
-def well_formed(kml: Column) -> Column:
-    """The document, or null when it is not well-formed XML."""
-    parsed = F.from_xml(kml, "_corrupt_record string", {"mode": "PERMISSIVE"})
-    return F.when(kml.isNotNull() & parsed["_corrupt_record"].isNull(), F.regexp_replace(kml, r"(?s)<!--.*?-->", ""))
+def _readable(documents: DataFrame, key: str, kml_col: str) -> DataFrame:
+    """Rows of (key, _kml): well-formed documents without their comments."""
+    parsed = compute_once(
+        documents.select(key, F.col(kml_col).alias("_kml")).where(F.col("_kml").isNotNull()),
+        {"_xml": F.from_xml("_kml", "_corrupt_record string", {"mode": "PERMISSIVE"})},
+    )
+    return parsed.where(F.col("_xml._corrupt_record").isNull()).select(
+        key, F.regexp_replace("_kml", r"(?s)<!--.*?-->", "").alias("_kml")
+    )
 
 
-def placemark_points(kml: Column) -> Column:
+def _points(kml: Column) -> Column:
     """Valid placemark points of a document in order, as an array of (name, lat, lon)."""
-
-    def point(block: Column) -> Column:
-        name = F.regexp_replace(F.regexp_extract(block, _NAME, 1), r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")
-        at = _lat_lon(F.regexp_extract(block, _LAST_POINT, 1))
-        return F.struct(
-            F.nullif(strip(unescape(name)), F.lit("")).alias("name"), at["lat"].alias("lat"), at["lon"].alias("lon")
-        )
-
-    marks = F.transform(F.regexp_extract_all(well_formed(kml), F.lit(_PLACEMARK), F.lit(0)), point)
-    return F.filter(marks, lambda p: p.lat.isNotNull())
-
-
-def default_point(kml: Column) -> Column:
-    """(lat, lon) of the first placemark point, else the first coordinate of any geometry."""
-    point = F.try_element_at(placemark_points(kml), F.lit(1))
-    texts = F.regexp_extract_all(well_formed(kml), F.lit(_COORDINATES), F.lit(1))
-    firsts = F.transform(
-        texts, lambda t: _lat_lon(F.regexp_extract(t, f"^[{BLANK_CLASS}]*([^{BLANK_CLASS}]+)", 1))
+    raw = F.transform(
+        F.regexp_extract_all(kml, F.lit(_PLACEMARK), F.lit(0)),
+        lambda mark: F.struct(
+            F.regexp_extract(mark, _NAME, 1).alias("name"),
+            _lat_lon(F.regexp_extract(mark, _LAST_POINT, 1)).alias("at"),
+        ),
+    )
+    text = r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$"
+    return F.transform(
+        F.filter(raw, lambda r: r["at"].isNotNull()),
+        lambda r: F.struct(
+            F.nullif(strip(unescape(F.regexp_replace(r["name"], text, "$1"))), F.lit("")).alias("name"),
+            r["at"]["lat"].alias("lat"),
+            r["at"]["lon"].alias("lon"),
+        ),
     )
-    anywhere = F.try_element_at(F.filter(firsts, lambda p: p.isNotNull()), F.lit(1))
-    return F.coalesce(F.when(point.isNotNull(), F.struct(point["lat"].alias("lat"), point["lon"].alias("lon"))), anywhere)
 
 
 def placemarks(documents: DataFrame, key: str = "page_url", kml_col: str = "kml") -> DataFrame:
@@ -68,7 +64,7 @@ def placemarks(documents: DataFrame, key: str = "page_url", kml_col: str = "kml"
     Unreadable documents give no rows. All marks of a document lie in one row,
     so the aggregation shrinks them before anything is shuffled.
     """
-    marks = documents.select(key, F.posexplode(placemark_points(F.col(kml_col))).alias("pos", "p"))
+    marks = _readable(documents, key, kml_col).select(key, F.posexplode(_points(F.col("_kml"))).alias("pos", "p"))
     return (
         marks.where(F.col("p.name").isNotNull())
         .groupBy(key, F.col("p.name").alias("name"))
@@ -77,13 +73,27 @@ def placemarks(documents: DataFrame, key: str = "page_url", kml_col: str = "kml"
 
 
 def default_points(documents: DataFrame, key: str = "page_url", kml_col: str = "kml") -> DataFrame:
-    """Rows of (key, default_lat, default_lon), one per key that has any coordinate."""
+    """Rows of (key, default_lat, default_lon), one per key that has any coordinate.
+
+    The default is the first placemark point of a document, else the first
+    coordinate of any geometry in it.
+    """
+    kml = F.col("_kml")
+    first_tuple = f"^[{BLANK_CLASS}]*([^{BLANK_CLASS}]+)"
+    texts = F.regexp_extract_all(kml, F.lit(_COORDINATES), F.lit(1))
+    anywhere = F.filter(
+        F.transform(texts, lambda t: _lat_lon(F.regexp_extract(t, first_tuple, 1))), lambda p: p.isNotNull()
+    )
+    points = F.transform(_points(kml), lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
+    found = compute_once(
+        _readable(documents, key, kml_col),
+        {"_p": F.coalesce(F.try_element_at(points, F.lit(1)), F.try_element_at(anywhere, F.lit(1)))},
+    )
     return (
-        documents.select(key, default_point(F.col(kml_col)).alias("p"))
-        .where(F.col("p").isNotNull())
+        found.where(F.col("_p").isNotNull())
         .groupBy(key)
-        .agg(F.min("p").alias("p"))
-        .select(key, F.col("p.lat").alias("default_lat"), F.col("p.lon").alias("default_lon"))
+        .agg(F.min("_p").alias("_p"))
+        .select(key, F.col("_p.lat").alias("default_lat"), F.col("_p.lon").alias("default_lon"))
     )
 
 

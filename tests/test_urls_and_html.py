@@ -11,7 +11,7 @@ FEW = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthC
 BASES = ["https://a.org/x/y.htm", "http://a.org", "https://a.org/", "https://a.org/x/y/?q=1#f"]
 REFS = [
     "b.htm", "/b/c.htm", "//c.net/d", "http://z.com/../q", "", "?k=v", "#top", "../b.htm", "../../../b", "./b", ".",
-    "..", "../", "b/../c/./d/", "b//c", "/x//y", "mailto:someone", "b.htm?u=/../x#y", "/..", "x/..", "../en/a_b.htm",
+    "..", "../", "b/../c/./d/", "b//c", "/x//y", "mailto:someone", "b.htm?u=/../x#y", "/..", "x/..", "../en/a_b.htm", "/..//", "/../x", "/a/../..//b",
 ]
 
 
