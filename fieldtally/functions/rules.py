@@ -83,7 +83,7 @@ class RuleSet:
         if caption is not None:
             text = F.lower(F.coalesce(caption, F.lit("")))
             for k in self.keywords:
-                out = text.contains(k) if k == self.keywords[0] else out | text.contains(k)
+                out = out | text.contains(k)
         return out
 
     def keep(self, name: Column, caption: Column | None = None) -> Column:

@@ -51,7 +51,7 @@ def mean_by_cell(df: DataFrame, value: str = "elevation") -> DataFrame:
 
 
 def space_time_grid(cells: DataFrame, start: date | Column, end: date | Column, every: str = "1 day") -> DataFrame:
-    """Every cell with every date from ``start`` to ``end``.
+    """Every cell with every date from ``start`` to ``end``; nothing when the range is empty.
 
     The dates are generated next to each cell, so nothing is joined or shuffled.
     """
@@ -59,8 +59,9 @@ def space_time_grid(cells: DataFrame, start: date | Column, end: date | Column,
     def as_date(v: date | Column) -> Column:
         return v.cast("date") if isinstance(v, Column) else F.lit(v).cast("date")
 
-    step = F.expr(f"interval {every}")
-    return cells.select("cell", F.explode(F.sequence(as_date(start), as_date(end), step)).alias("date"))
+    first, last = as_date(start), as_date(end)
+    dates = F.when(first <= last, F.sequence(first, last, F.expr(f"interval {every}")))
+    return cells.select("cell", F.explode(dates).alias("date"))
 
 
 def fill_cell_days(counts: DataFrame, start: date, end: date, cells: DataFrame | None = None) -> DataFrame:
@@ -69,8 +70,11 @@ def fill_cell_days(counts: DataFrame, start: date, end: date, cells: DataFrame |
     Equals the daily grid left-joined with the counts, but only observed
     cell-days are shuffled: each one generates the empty days up to the next,
     and one marker per cell generates the days before its first. ``cells``
-    defaults to the cells that occur in ``counts``.
+    defaults to the cells that occur in ``counts``, which has one row per cell
+    and day.
     """
+    if end < start:
+        raise ValueError("the date range is empty")
     markers = (counts if cells is None else cells).select("cell").distinct()
     before = F.date_sub(F.lit(start), 1)
     observed = counts.where(F.col("date").between(F.lit(start), F.lit(end))).select("cell", "date", "count")
