@@ -67,31 +67,26 @@ def space_time_grid(cells: DataFrame, start: date | Column, end: date | Column,
 def fill_cell_days(counts: DataFrame, start: date, end: date, cells: DataFrame | None = None) -> DataFrame:
     """Counts for every cell and every day, zero where nothing was seen.
 
-    Equals the daily grid left-joined with the counts, but only observed
-    cell-days are shuffled: each one generates the empty days up to the next,
-    and one marker per cell generates the days before its first. ``cells``
+    Equals the daily grid left-joined with the counts, but the grid is never
+    built: each observed cell-day generates the empty days up to the next, and the
+    first one of a cell also those before it. So the counts are read once and only
+    observed cell-days are shuffled, at most one row per day and cell. ``cells``
     defaults to the cells that occur in ``counts``, which has one row per cell
     and day.
     """
     if end < start:
         raise ValueError("the date range is empty")
-    markers = (counts if cells is None else cells).select("cell").distinct()
-    before = F.date_sub(F.lit(start), 1)
-    observed = counts.where(F.col("date").between(F.lit(start), F.lit(end))).select("cell", "date", "count")
+    rows = counts.select("cell", F.col("date").alias("_seen"), "count")
     if cells is not None:
-        observed = observed.join(markers, "cell", "left_semi")
-    rows = observed.unionByName(
-        markers.select("cell", before.alias("date"), F.lit(None).cast("bigint").alias("count"))
-    )
-    following = F.lead("date", 1).over(Window.partitionBy("cell").orderBy("date"))
-    days = F.sequence(F.col("date"), F.date_sub(F.coalesce(following, F.date_add(F.lit(end), 1)), 1))
-    return (
-        rows.withColumn("_days", days)
-        .select("cell", F.col("date").alias("_seen"), "count", F.explode("_days").alias("date"))
-        .where(F.col("date") >= F.lit(start))
-        .select(
-            "cell", "date", F.when(F.col("date") == F.col("_seen"), F.col("count")).otherwise(F.lit(0)).alias("count")
-        )
+        rows = cells.select("cell").distinct().join(rows, "cell", "left")
+    in_order = Window.partitionBy("cell").orderBy("_seen")
+    first = F.row_number().over(in_order) == 1
+    opening = F.when(first, F.lit(start)).otherwise(F.greatest(F.lit(start), F.col("_seen")))
+    # least() passes over the missing successor of a cell's last row
+    closing = F.least(F.lit(end), F.date_sub(F.lead("_seen").over(in_order), 1))
+    spans = rows.withColumn("_from", opening).withColumn("_to", closing).where(F.col("_from") <= F.col("_to"))
+    return spans.select("cell", "_seen", "count", F.explode(F.sequence("_from", "_to")).alias("date")).select(
+        "cell", "date", F.when(F.col("date") == F.col("_seen"), F.col("count")).otherwise(F.lit(0)).alias("count")
     )
 
 

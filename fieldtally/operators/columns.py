@@ -11,7 +11,8 @@ def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
     A filter on a projected column is pushed below the projection with a copy of
     the column's expression for every mention of it, which multiplies the cost of
-    a parser. A generator is not copied: here it yields one row for each row.
+    a parser; exploding an expression adds such a filter by itself. A generator is
+    not copied: here it yields one row for each row.
     """
     one = F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
     return df.select(*[c for c in df.columns if c not in columns], one)

@@ -37,7 +37,8 @@ def _any(conditions: list[Column]) -> Column:
 def page_links(pages: DataFrame, *keep: str) -> DataFrame:
     """One row per anchor of a page: position, raw target, text, absolute url."""
     return (
-        pages.select(*keep, "url", F.posexplode(links(visible(F.col("html")))).alias("_i", "_l"))
+        compute_once(pages.select(*keep, "url", "html"), {"_links": links(visible(F.col("html")))})
+        .select(*keep, "url", F.posexplode("_links").alias("_i", "_l"))
         .select(*keep, "url", (F.col("_i") + 1).alias("pos"), "_l.*")
         .withColumn("link", join_url(F.col("url"), F.col("href")))
     )
@@ -199,8 +200,11 @@ def photo_records(pages: DataFrame) -> DataFrame:
     caption = F.col("full_caption")
     target = F.lower("_p.href")
     return (
-        _visible(pages.where(F.col("html").contains(PHOTO_PATH)))
-        .select("date", "url", F.posexplode(photo_candidates(F.col("html"))).alias("_i", "_p"))
+        compute_once(
+            _visible(pages.select("date", "url", "html").where(F.col("html").contains(PHOTO_PATH))),
+            {"_photos": photo_candidates(F.col("html"))},
+        )
+        .select("date", "url", F.posexplode("_photos").alias("_i", "_p"))
         .where(_any([target.endswith(e) for e in IMAGE_EXTENSIONS]))
         .select(
             "date",

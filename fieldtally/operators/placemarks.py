@@ -64,7 +64,8 @@ def placemarks(documents: DataFrame, key: str = "page_url", kml_col: str = "kml"
     Unreadable documents give no rows. All marks of a document lie in one row,
     so the aggregation shrinks them before anything is shuffled.
     """
-    marks = _readable(documents, key, kml_col).select(key, F.posexplode(_points(F.col("_kml"))).alias("pos", "p"))
+    found = compute_once(_readable(documents, key, kml_col), {"_points": _points(F.col("_kml"))})
+    marks = found.select(key, F.posexplode("_points").alias("pos", "p"))
     return (
         marks.where(F.col("p.name").isNotNull())
         .groupBy(key, F.col("p.name").alias("name"))

@@ -17,6 +17,7 @@ from ..operators.daily import add_weather_features, attach_presence, calendar_fr
 from ..operators.filters import drop_incomplete, filter_by_year
 from ..operators.scaling import zscore
 from ..operators.taxonomy import filter_by_rules
+from ..session import reusable
 from ..sources.payload import unpivot_daily
 from ..sources.sinks import write_table
 from ..sources.tables import read_days, read_weather
@@ -39,6 +40,8 @@ def daily_dataset(
     if years is not None:
         days = filter_by_year(days, "date", *years)
         weather = filter_by_year(weather, "date", *years)
+        # the calendar would drop other years anyway, but only after parsing them
+        photos = None if photos is None else filter_by_year(photos, "date", *years)
     base = attach_presence(calendar_from(weather), days, photos)
     return add_weather_features(base, weather)
 
@@ -103,11 +106,15 @@ def run_weather_table(
     return weather
 
 
-def weather_model_frame(daily: DataFrame, years: tuple[int, int] = (START_YEAR, END_YEAR)) -> tuple[DataFrame, str]:
-    """Complete rows of the covered years with standardised predictors, and the target's name."""
+def _weather_rows(daily: DataFrame, years: tuple[int, int]) -> tuple[DataFrame, str]:
     target = "species_count" if "species_count" in daily.columns else "photo_count"
     rows = filter_by_year(daily, "date", *years)
-    rows = drop_incomplete(rows, [*STANDARDISED, *SEASONAL, target])
+    return drop_incomplete(rows, [*STANDARDISED, *SEASONAL, target]), target
+
+
+def weather_model_frame(daily: DataFrame, years: tuple[int, int] = (START_YEAR, END_YEAR)) -> tuple[DataFrame, str]:
+    """Complete rows of the covered years with standardised predictors, and the target's name."""
+    rows, target = _weather_rows(daily, years)
     return zscore(rows, STANDARDISED), target
 
 
@@ -115,12 +122,15 @@ def run_weather_model(
     daily: DataFrame, years: tuple[int, int] = (START_YEAR, END_YEAR), prior_sd: float | None = 1.0
 ) -> tuple[CountModel, DataFrame]:
     """Zero-inflated fit of the daily counts on weather and season, with its summary."""
-    frame, target = weather_model_frame(daily, years)
-    model = fit_zip(frame, WEATHER_PREDICTORS, target, prior_sd)
+    rows, target = _weather_rows(daily, years)
+    # read twice, for the statistics and for the rows; one row per day
+    rows = reusable(rows.select(*STANDARDISED, *SEASONAL, target))
+    model = fit_zip(zscore(rows, STANDARDISED), WEATHER_PREDICTORS, target, prior_sd)
+    rows.unpersist()
     return model, model.summary(daily.sparkSession)
 
 
-def cell_model_frame(
+def cell_model_rows(
     photos: DataFrame,
     elevation: DataFrame,
     rules: RuleSet | None = None,
@@ -129,7 +139,7 @@ def cell_model_frame(
     zoom: int = DEFAULT_ZOOM,
     fill: tuple[date, date] | None = None,
 ) -> DataFrame:
-    """Counts per cell and day with standardised elevation.
+    """Counts per cell and day with the elevation of the cell.
 
     ``elevation`` has one row per cell. Counting comes first, so the lookup
     meets one row per cell and day. ``fill`` adds the zero days of a date range.
@@ -139,13 +149,20 @@ def cell_model_frame(
     counts = count_cell_days(add_cells(filter_by_year(photos, "date", *years), zoom=zoom))
     if fill is not None:
         counts = fill_cell_days(counts, *fill)
-    return zscore(drop_incomplete(attach_by_cell(counts, elevation), ["elevation"]), ["elevation"])
+    return drop_incomplete(attach_by_cell(counts, elevation), ["elevation"])
+
+
+def cell_model_frame(photos: DataFrame, elevation: DataFrame, **options) -> DataFrame:
+    """:func:`cell_model_rows` with standardised elevation."""
+    return zscore(cell_model_rows(photos, elevation, **options), ["elevation"])
 
 
 def run_spatial_model(
     photos: DataFrame, elevation: DataFrame, prior_sd: float | None = 1.0, **options
 ) -> tuple[CountModel, DataFrame, DataFrame]:
     """Zero-inflated fit of cell-day counts on elevation: the model, its summary, the counts."""
-    frame = cell_model_frame(photos, elevation, **options)
+    # read for the statistics, the fit and the sink, but counted once
+    rows = reusable(cell_model_rows(photos, elevation, **options))
+    frame = zscore(rows, ["elevation"])
     model = fit_zip(frame, ["elevation_std"], "count", prior_sd)
     return model, model.summary(photos.sparkSession), frame
