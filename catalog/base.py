@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtally.functions.rules import RuleSet
+from fieldtally.plans.preprocess import process_photos
+from fieldtally.session import spread
 
 
 class Registry:
@@ -25,8 +27,10 @@ class Registry:
         return register
 
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def load(spark: SparkSession, sf_dir: str, table: str, costly: bool = False) -> DataFrame:
+    """A table; ``costly`` where a parser follows and the file may be a single piece."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df) if costly else df
 
 
 SITE = "https://obs.example.org"
@@ -49,9 +53,9 @@ photos AS (
 )"""
 
 
-def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+def photos(spark: SparkSession, sf_dir: str, costly: bool = False) -> DataFrame:
     """Raw photo records; ``species`` is the text of a list of records."""
-    items = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    items = load(spark, sf_dir, "lineitem", costly).join(load(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return items.select(
         F.col("l_shipdate").cast("date").alias("date"),
         F.format_string(f"{SITE}/day/%d.htm", "l_orderkey").alias("page_url"),
@@ -71,6 +75,11 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def parsed_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photo records with their species lists."""
+    return process_photos(photos(spark, sf_dir, costly=True))
+
+
 # ---- days: orders ----------------------------------------------------------
 
 DAYS_SQL = f"""

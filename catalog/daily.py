@@ -7,10 +7,10 @@ from fieldtally.operators import audit
 from fieldtally.operators import daily as d
 from fieldtally.operators.frequency import count_by, distinct_per_day
 from fieldtally.plans.modeling import daily_dataset
-from fieldtally.plans.preprocess import process_photos
 
 from .base import (
-    DAYS_SQL, EVENT_DAYS_SQL, PHOTOS_SQL, WEATHER_SQL, Registry, days, event_days, load, photos, rounded, weather,
+    DAYS_SQL, EVENT_DAYS_SQL, PHOTOS_SQL, WEATHER_SQL, Registry, days, event_days, load, parsed_photos, photos,
+    rounded, weather,
 )
 
 registry = Registry()
@@ -44,7 +44,7 @@ daily AS (
 
 
 def dataset(spark, sf_dir):
-    named = process_photos(photos(spark, sf_dir).select("date", "species"))
+    named = parsed_photos(spark, sf_dir).select("date", "species_list")
     return daily_dataset(days(spark, sf_dir), weather(spark, sf_dir), named, (1996, 1999))
 
 
@@ -76,7 +76,7 @@ def calendar_presence(spark, sf_dir):
 names AS (SELECT date, first_species AS s FROM photos UNION ALL SELECT date, second_species FROM photos)
 SELECT date, count(DISTINCT s) AS species_count FROM names GROUP BY date""")
 def distinct_species_per_day(spark, sf_dir):
-    return distinct_per_day(process_photos(photos(spark, sf_dir)), "species_list")
+    return distinct_per_day(parsed_photos(spark, sf_dir), "species_list")
 
 
 @registry.add(f"""WITH {DAYS_SQL}, {WEATHER_SQL}

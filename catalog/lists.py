@@ -7,7 +7,7 @@ from fieldtally.functions import text as tx
 from fieldtally.operators import frequency as fr
 from fieldtally.plans.preprocess import photo_geospatial, photos_cleaned, process_days, process_photos
 
-from .base import DAYS_SQL, PHOTOS_SQL, Registry, days, load, photos
+from .base import DAYS_SQL, PHOTOS_SQL, Registry, days, load, parsed_photos, photos
 
 registry = Registry()
 
@@ -50,7 +50,7 @@ def list_summaries(spark, sf_dir):
 
 @registry.add(f"WITH {PHOTOS_SQL} SELECT photo_url, page_url, first_species || '|' || second_species AS names FROM photos")
 def record_list_parse(spark, sf_dir):
-    rows = process_photos(photos(spark, sf_dir))
+    rows = parsed_photos(spark, sf_dir)
     return rows.select("photo_url", "page_url", F.array_join("species_list", "|").alias("names"))
 
 
@@ -81,7 +81,7 @@ freq AS (SELECT species, count(*) AS occurrences, 'photo-level' AS source FROM n
 
 @registry.add(f"WITH {NAMES_SQL} SELECT * FROM freq")
 def item_frequency(spark, sf_dir):
-    return fr.species_frequency(days(spark, sf_dir), process_photos(photos(spark, sf_dir)))
+    return fr.species_frequency(days(spark, sf_dir), parsed_photos(spark, sf_dir))
 
 
 @registry.add(f"""WITH {DAYS_SQL},
@@ -93,12 +93,12 @@ def item_frequency_by_day(spark, sf_dir):
 
 @registry.add(f"WITH {NAMES_SQL} SELECT * FROM freq")
 def item_frequency_with_fallback(spark, sf_dir):
-    return fr.species_frequency_or_days(process_days(days(spark, sf_dir)), process_photos(photos(spark, sf_dir)))
+    return fr.species_frequency_or_days(process_days(days(spark, sf_dir)), parsed_photos(spark, sf_dir))
 
 
 @registry.add(f"WITH {NAMES_SQL} SELECT * FROM freq ORDER BY occurrences DESC, species LIMIT 15")
 def top_items(spark, sf_dir):
-    counts = fr.species_frequency(days(spark, sf_dir), process_photos(photos(spark, sf_dir)))
+    counts = fr.species_frequency(days(spark, sf_dir), parsed_photos(spark, sf_dir))
     return fr.top_k(counts, 15, "occurrences", "species")
 
 
@@ -122,7 +122,7 @@ def value_counts(spark, sf_dir):
 SELECT date, page_url, photo_url, index_on_page, full_caption, latitude, longitude, first_species,
        first_species || ';' || second_species AS species_list_str FROM photos""")
 def cleaned_photos(spark, sf_dir):
-    cleaned = photos_cleaned(process_photos(photos(spark, sf_dir)))
+    cleaned = photos_cleaned(parsed_photos(spark, sf_dir))
     return cleaned.drop("species", "species_list", "l_returnflag", "l_discount")
 
 
@@ -130,7 +130,7 @@ def cleaned_photos(spark, sf_dir):
 SELECT date, page_url, photo_url, latitude, longitude, first_species AS label_species FROM photos
 WHERE l_returnflag <> 'N'""")
 def photo_geospatial_export(spark, sf_dir):
-    rows = photos(spark, sf_dir)
+    rows = photos(spark, sf_dir, costly=True)
     known = F.col("l_returnflag") != "N"
     rows = rows.withColumns({c: F.when(known, F.col(c)) for c in ("latitude", "longitude")})
     return photo_geospatial(photos_cleaned(process_photos(rows)))

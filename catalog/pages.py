@@ -21,13 +21,13 @@ links AS (
 @registry.add(f"""WITH {RAW_LINKS_SQL}
 SELECT page_id, pos, href, text, regexp_extract(url, '^[a-z]+://[^/?#]+') || href AS link FROM links""")
 def page_links(spark, sf_dir):
-    return p.page_links(load(spark, sf_dir, "pages"), "page_id").drop("url")
+    return p.page_links(load(spark, sf_dir, "pages", costly=True), "page_id").drop("url")
 
 
 @registry.add("SELECT page_id, NULL::VARCHAR AS weather_summary, NULL::VARCHAR AS kmz_url, 0 AS names FROM pages")
 def page_fields_raw(spark, sf_dir):
     # whole raw pages, none of which holds a weather sentence or an attachment
-    fields = p.page_fields(load(spark, sf_dir, "pages"))
+    fields = p.page_fields(load(spark, sf_dir, "pages", costly=True))
     return fields.select("page_id", "weather_summary", "kmz_url", F.size("identified_species").alias("names"))
 
 
@@ -42,7 +42,7 @@ def index_pages(spark, sf_dir):
         "<li><a href=\"date-en/latest.htm\">latest</a><li><a href=\"other.htm\">%s</a></ul></body></html>",
         day, day, following, day,
     )
-    return load(spark, sf_dir, "orders").select(F.lit(f"{SITE}/x/index.htm").alias("url"), html.alias("html"))
+    return load(spark, sf_dir, "orders", costly=True).select(F.lit(f"{SITE}/x/index.htm").alias("url"), html.alias("html"))
 
 
 @registry.add(f"""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS date FROM orders
@@ -69,7 +69,7 @@ def day_pages(spark, sf_dir):
         "p_size", "p_size", "p_size", "p_name", "p_brand", "p_partkey", "p_size", "p_size", "p_size", "p_type",
         "p_partkey", "p_name", "p_size",
     )
-    return load(spark, sf_dir, "part").select(
+    return load(spark, sf_dir, "part", costly=True).select(
         F.date_add(F.lit("2020-01-01").cast("date"), F.col("p_size")).alias("date"),
         F.format_string(f"{SITE}/date-en/%d.htm", "p_partkey").alias("url"),
         html.alias("html"),
@@ -143,7 +143,7 @@ def attachments(spark, sf_dir):
     )
     kind = F.pmod("p_partkey", F.lit(5))
     body = F.when(kind == 0, F.concat(F.lit("<Folder>"), point)).when(kind == 1, line).otherwise(point)
-    return load(spark, sf_dir, "part").select(
+    return load(spark, sf_dir, "part", costly=True).select(
         F.format_string(f"{SITE}/loc/date-loc%d.htm", "p_partkey").alias("kmz_url"),
         F.format_string(f"{SITE}/date-en/%d.htm", "p_partkey").alias("page_url"),
         F.concat(F.lit("<kml xmlns:k='http://k'>"), body, F.lit("</kml>")).alias("kml"),
@@ -214,7 +214,7 @@ def page_flatten(spark, sf_dir):
 def url_join(spark, sf_dir):
     base = F.lit("https://o.org/en/a/b.htm")
     ref = F.format_string("../fr/./%d.htm?x=%d", "page_id", "page_id")
-    return load(spark, sf_dir, "pages").select(
+    return load(spark, sf_dir, "pages", costly=True).select(
         "page_id",
         urls.join_url(base, ref).alias("a"),
         urls.join_url(base, F.format_string("/%d", "page_id")).alias("b"),

@@ -5,8 +5,7 @@ from pyspark.sql import functions as F
 from fieldtally.functions.rules import RuleSet
 from fieldtally.operators import taxonomy as t
 
-from .base import PHOTOS_SQL, RULES, Registry, first_keyword_sql, keep_sql, load, photos, reason_sql
-from fieldtally.plans.preprocess import process_photos
+from .base import PHOTOS_SQL, RULES, Registry, first_keyword_sql, keep_sql, load, parsed_photos, reason_sql
 
 registry = Registry()
 
@@ -28,7 +27,7 @@ def rule_filter(spark, sf_dir):
 SELECT date, page_url, photo_url, first_species, full_caption FROM photos
 WHERE {keep_sql('first_species', 'full_caption')}""")
 def rule_filter_photos(spark, sf_dir):
-    kept = t.filter_by_rules(process_photos(photos(spark, sf_dir)), RULES)
+    kept = t.filter_by_rules(parsed_photos(spark, sf_dir), RULES)
     return kept.select("date", "page_url", "photo_url", "first_species", "full_caption")
 
 
@@ -42,7 +41,7 @@ def rule_reasons(spark, sf_dir):
 SELECT count(*) AS rows_before, count(*) FILTER (keep) AS rows_after, count(*) FILTER (NOT keep) AS rows_excluded,
        round(count(*) FILTER (NOT keep) / count(*), 6) AS excluded_share FROM k""")
 def rule_audit(spark, sf_dir):
-    rows = process_photos(photos(spark, sf_dir))
+    rows = parsed_photos(spark, sf_dir)
     audit = t.filter_audit(rows, t.keep_column(rows, RULES))
     return audit.withColumn("excluded_share", F.round("excluded_share", 6))
 
@@ -57,13 +56,13 @@ r AS (SELECT species, count, {reason_sql('species', 'position')} AS exclusion_re
 
 @registry.add(f"WITH {STATS_SQL} SELECT * FROM r WHERE exclusion_reason IS NOT NULL")
 def rule_exclusion_stats(spark, sf_dir):
-    return t.exclusion_stats(process_photos(photos(spark, sf_dir)), RULES)
+    return t.exclusion_stats(parsed_photos(spark, sf_dir), RULES)
 
 
 @registry.add(f"""WITH {STATS_SQL} SELECT * FROM r WHERE exclusion_reason IS NOT NULL
 ORDER BY count DESC, species LIMIT 10""")
 def rule_exclusion_report(spark, sf_dir):
-    return t.exclusion_report(t.exclusion_stats(process_photos(photos(spark, sf_dir)), RULES))
+    return t.exclusion_report(t.exclusion_stats(parsed_photos(spark, sf_dir), RULES))
 
 
 @registry.add(f"""WITH {PHOTOS_SQL},
@@ -71,7 +70,7 @@ r AS (SELECT first_species AS species, {reason_sql('first_species', first_keywor
       FROM photos)
 SELECT species, count(*) AS count, exclusion_reason FROM r WHERE exclusion_reason IS NOT NULL GROUP BY ALL""")
 def rule_exclusion_stats_by_row(spark, sf_dir):
-    return t.exclusion_stats_by_row(process_photos(photos(spark, sf_dir)), RULES)
+    return t.exclusion_stats_by_row(parsed_photos(spark, sf_dir), RULES)
 
 
 TEXT_RULES = RuleSet(exclude_species=("src3",), include_species=("SRC5",), exclude_genera=("src7",),
@@ -83,7 +82,7 @@ WHERE CASE WHEN source = 'src5' THEN TRUE WHEN source IN ('src3', 'src7') THEN F
            ELSE NOT (contains(lower(text), 'the the') OR contains(lower(text), 'eau') OR contains(lower(text), 'und der'))
       END""")
 def rule_filter_long_texts(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents")
+    docs = load(spark, sf_dir, "documents", costly=True)
     return t.filter_by_rules(docs, TEXT_RULES, "source", "text").select("doc_id", "source")
 
 
@@ -93,7 +92,7 @@ SELECT photo_url, page_url,
                  CASE WHEN {keep_sql('second_species', None)} THEN second_species END) AS kept
 FROM photos""")
 def rule_filter_lists(spark, sf_dir):
-    rows = process_photos(photos(spark, sf_dir))
+    rows = parsed_photos(spark, sf_dir)
     return rows.select("photo_url", "page_url", F.array_join(RULES.keep_names(F.col("species_list")), ";").alias("kept"))
 
 

@@ -34,3 +34,14 @@ def reusable(df: DataFrame) -> DataFrame:
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return df.checkpoint(eager=True)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def spread(df: DataFrame, pieces: int | None = None) -> DataFrame:
+    """Divide a scan that comes in fewer pieces than there are cores, for costly steps to follow.
+
+    A file that cannot be split is one task, however large. Inputs that already
+    come in enough pieces, as large ones do, are left alone. Meant for plain
+    scans: asking a plan with shuffles for its pieces would run it.
+    """
+    wanted = pieces or df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)

@@ -3,7 +3,7 @@
 CSV files are read as text by header name and cast, so optional columns may be
 missing and columns may come in any order, without a pass for schema inference.
 Large inputs should be landed as Parquet: a CSV with line breaks inside quotes
-cannot be split, so each such file is one task.
+cannot be split, so each such file is read by one task before its rows are spread.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import filter_by_year
+from ..session import spread
 
 # Columns and types of the raw tables.
 DAYS = {
@@ -44,6 +45,8 @@ def read_table(
         df = spark.read.format(fmt).load(path)
     else:
         df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line)
+        if multi_line:
+            df = spread(df)
 
     def typed(name: str):
         c, target = F.col(name), types.get(name)
