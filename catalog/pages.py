@@ -204,8 +204,8 @@ def page_assembly_days(spark, sf_dir):
 
 @registry.add(f"WITH {LOCATED_SQL} SELECT page_url, photo_url, full_caption, latitude, longitude FROM located")
 def page_flatten(spark, sf_dir):
-    days, photos = pm.page_tables(day_pages(spark, sf_dir), attachments(spark, sf_dir).drop("page_url"))
-    _, flat = p.flatten_pages(pm.nested_records(days, photos))
+    records = pm.nested_records(day_pages(spark, sf_dir), attachments(spark, sf_dir).drop("page_url"))
+    _, flat = p.flatten_pages(records)
     return flat.select("page_url", "photo_url", "full_caption", "latitude", "longitude")
 
 

@@ -143,9 +143,12 @@ def page_attachments(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_fields(pages: DataFrame) -> DataFrame:
-    """Weather sentence, species text and list, attachment and photo count of every page."""
-    page, species = F.col("html"), F.col("_species")
+def page_fields(pages: DataFrame, with_photos: bool = False) -> DataFrame:
+    """Weather sentence, species text and list, attachment and photo count of every page.
+
+    ``with_photos`` adds the photo records as an array, made within the page's row.
+    """
+    page, url, species = F.col("html"), F.col("url"), F.col("_species")
     block, wrapped = _weather_parts(page)
     parts = {
         "_block": block,
@@ -154,11 +157,13 @@ def page_fields(pages: DataFrame) -> DataFrame:
         "_target": _attachment(page),
         "photo_count": count_photos(page),
     }
+    if with_photos:
+        parts["photos"] = photo_structs(page, F.col("date"), url)
     fields = {
         "weather_summary": _weather(page, F.col("_block"), F.col("_wrapped")),
         # a colon in front and a dot at the end go, with the blanks inside them
         "identified_species_text": F.regexp_replace(species, rf"^:[{BLANK_CLASS}]*|\.$", ""),
-        "kmz_url": join_url(F.col("url"), F.col("_target")),
+        "kmz_url": join_url(url, F.col("_target")),
     }
     return (
         compute_once(_visible(pages), parts)
@@ -191,37 +196,41 @@ def photo_candidates(page: Column) -> Column:
     return F.flatten(F.transform(holding, candidates))
 
 
-def photo_records(pages: DataFrame) -> DataFrame:
-    """One row per archived image: position, caption, common name and species links.
+def photo_structs(page: Column, day: Column, url: Column) -> Column:
+    """The archived images of a page as an array of photo records, in page order.
 
     The caption is the text of the block around the link. The position also
     counts links that are not images and so leaves gaps.
     """
-    caption = F.col("full_caption")
-    target = F.lower("_p.href")
-    return (
-        compute_once(
-            _visible(pages.select("date", "url", "html").where(F.col("html").contains(PHOTO_PATH))),
-            {"_photos": photo_candidates(F.col("html"))},
-        )
-        .select("date", "url", F.posexplode("_photos").alias("_i", "_p"))
-        .where(_any([target.endswith(e) for e in IMAGE_EXTENSIONS]))
-        .select(
-            "date",
-            F.col("url").alias("page_url"),
-            join_url(F.col("url"), F.col("_p.href")).alias("photo_url"),
-            (F.col("_i") + 1).alias("index_on_page"),
-            text_of(F.col("_p.block")).alias("full_caption"),
-            _species_refs(F.col("_p.block"), F.col("url")).alias("species"),
-        )
-        .withColumn(
-            "common_name",
-            F.when(caption.contains("("), strip(F.substring_index(caption, "(", 1))).otherwise(caption),
-        )
-        .withColumn("location_text", F.lit(None).cast("string"))
-        .select("date", "page_url", "photo_url", "index_on_page", "full_caption", "common_name", "species",
-                "location_text")
-    )
+    numbered = F.transform(photo_candidates(page), lambda p, i: F.struct((i + 1).alias("index_on_page"), p.alias("p")))
+    images = F.filter(numbered, lambda r: _any([F.lower(r.p.href).endswith(e) for e in IMAGE_EXTENSIONS]))
+    captioned = F.transform(
+        images, lambda r: F.struct(r.index_on_page, r.p.href, r.p.block, text_of(r.p.block).alias("caption"))
+    )
+
+    def common_name(caption: Column) -> Column:
+        return F.when(caption.contains("("), strip(F.substring_index(caption, "(", 1))).otherwise(caption)
+
+    return F.transform(
+        captioned,
+        lambda r: F.struct(
+            day.alias("date"),
+            url.alias("page_url"),
+            join_url(url, r.href).alias("photo_url"),
+            r.index_on_page.alias("index_on_page"),
+            r.caption.alias("full_caption"),
+            common_name(r.caption).alias("common_name"),
+            _species_refs(r.block, url).alias("species"),
+            F.lit(None).cast("string").alias("location_text"),
+        ),
+    )
+
+
+def photo_records(pages: DataFrame) -> DataFrame:
+    """One row per archived image: position, caption, common name and species links."""
+    holding = pages.select("date", "url", "html").where(F.col("html").contains(PHOTO_PATH))
+    photos = photo_structs(F.col("html"), F.col("date"), F.col("url"))
+    return compute_once(_visible(holding), {"_photos": photos}).select(F.inline("_photos"))
 
 
 def location_key(photo_url: Column) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import unescape
-from ..functions.lists import list_length
 from ..functions.text import BLANK_CLASS, strip
 from .columns import compute_once
 from .joins import lookup_join
@@ -138,22 +137,44 @@ def page_tables(
     defaults = default_points(owned)
     days = lookup_join(
         fields, defaults.select(F.col("page_url").alias("url"), F.col("default_lat").alias("latitude"),
-                                F.col("default_lon").alias("longitude")), "url",
+                                F.col("default_lon").alias("longitude")), "url", spread,
     )
     return days, locate_photos(photos, placemarks(owned), defaults, spread)
 
 
-def nested_records(days: DataFrame, photos: DataFrame) -> DataFrame:
-    """One record per page with its photos as an array of structs, in page order.
+def nested_records(pages: DataFrame, documents: DataFrame, spread: int = 1) -> DataFrame:
+    """One record per page with its located photos as an array of structs, in page order.
 
-    Only for output: a page's photos are brought together in one row.
+    The array is made within the page's row; only the points of a page, one row
+    per page, are joined to it.
     """
-    names = [c for c in photos.columns if c != "page_url"]
-    grouped = photos.groupBy(F.col("page_url").alias("url")).agg(
-        F.array_sort(F.collect_list(F.struct("index_on_page", "page_url", *[c for c in names if c != "index_on_page"])))
-        .alias("photos")
-    )
-    joined = days.drop("photo_count").join(grouped, "url", "left")
-    order = ["date", "page_url", *[c for c in names if c != "date"]]
-    in_order = F.transform("photos", lambda p: F.struct(*[p.getField(c).alias(c) for c in order]))
-    return joined.withColumn("photos", F.when(list_length(F.col("photos")) > 0, in_order).otherwise(F.array()))
+    records = page_fields(pages, with_photos=True).drop("photo_count")
+    owned = page_attachments(pages).join(documents, "kmz_url")
+    points = (
+        placemarks(owned)
+        .groupBy(F.col("page_url").alias("url"))
+        .agg(F.collect_list(F.struct("name", "lat", "lon")).alias("_points"))
+    )
+    defaults = default_points(owned).select(
+        F.col("page_url").alias("url"), F.col("default_lat").alias("latitude"), F.col("default_lon").alias("longitude")
+    )
+    located = lookup_join(lookup_join(records, defaults, "url", spread), points, "url", spread)
+    keyed = F.transform("photos", lambda p: F.struct(p.alias("p"), location_key(p.photo_url).alias("key")))
+    default = F.when(
+        F.col("latitude").isNotNull(), F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    )
+
+    def at(key: Column) -> Column:
+        own = F.filter("_points", lambda m: m["name"] == key)
+        own = F.transform(own, lambda m: F.struct(m["lat"].alias("lat"), m["lon"].alias("lon")))
+        return F.coalesce(F.try_element_at(own, F.lit(1)), default)
+
+    placed = F.transform(keyed, lambda r: F.struct(r["p"].alias("p"), at(r["key"]).alias("at")))
+    names = [f.name for f in records.schema["photos"].dataType.elementType.fields]
+    photos = F.transform(
+        placed,
+        lambda r: F.struct(
+            *[r["p"][c].alias(c) for c in names], r["at"]["lat"].alias("latitude"), r["at"]["lon"].alias("longitude")
+        ),
+    )
+    return compute_once(located, {"photos": photos}).drop("_points")
