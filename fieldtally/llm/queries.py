@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtally.llm import bpe, token_files
+from fieldtally.llm import bpe, quality, token_files
 from fieldtally.llm.common import new_path, table
 from fieldtally.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -22,3 +22,9 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     token_files.write(table(spark, sf_dir, "documents"), folder, tokenizer, end_id=1, meta=("lang", "source"))
     return token_files.checksums(token_files.read_positions(spark, folder))
+
+
+@query()
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.judge(documents, quality.train(documents, table(spark, sf_dir, "labels")))
