@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtally.llm import bpe, quality, token_files
+from fieldtally.llm import bpe, decontaminate, quality, token_files
 from fieldtally.llm.common import new_path, table
 from fieldtally.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -28,3 +28,8 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return quality.judge(documents, quality.train(documents, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
