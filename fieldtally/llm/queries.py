@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm import bpe, decontaminate, quality, sharding, token_files
+from fieldtally.llm import bpe, decontaminate, quality, sharding, token_files, url_filters
 from fieldtally.llm.common import new_path, table
 from fieldtally.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -48,3 +48,44 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+#: Verdict, host and path start of each rule.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+# The test pages hold neither canonical links nor redirects, so the edges here are those of tracking parameters.
+URLS_SQL = r"""
+WITH RECURSIVE parts AS (
+  SELECT page_id, url,
+         CASE WHEN contains(url, '://') THEN lower(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*')) ELSE '' END AS host,
+         CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
+         CASE WHEN contains(url, '://') THEN regexp_extract(url, '^[^#]*') END AS node
+  FROM pages
+),
+rules(verdict, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+fits AS (
+  SELECT DISTINCT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM parts) JOIN rules ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p)
+  GROUP BY host, path
+),
+edges AS (
+  SELECT DISTINCT node AS a, regexp_replace(regexp_replace(node, '([?&])(utm_[a-z]+|gclid|fbclid)=[^&]*&?', '\1', 'gi'), '[?&]$', '') AS b
+  FROM parts WHERE node IS NOT NULL
+),
+both_ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
+reach(node, other) AS (SELECT a, a FROM both_ways UNION SELECT node, b FROM reach JOIN both_ways ON other = a),
+decided AS (
+  SELECT reach.node, coalesce(bool_or(verdict = 'allow'), FALSE) AS allowed, coalesce(bool_or(verdict = 'block'), FALSE) AS blocked
+  FROM reach JOIN (SELECT DISTINCT node, host, path FROM parts) AS q ON other = q.node LEFT JOIN fits USING (host, path)
+  GROUP BY reach.node
+)
+SELECT page_id, url, host, path, rule,
+       coalesce(verdict, CASE WHEN blocked AND NOT allowed THEN 'block' END, 'allow') AS verdict,
+       CASE WHEN verdict IS NOT NULL THEN 'rule' WHEN blocked AND NOT allowed THEN 'alias' ELSE 'default' END AS decided_by
+FROM parts LEFT JOIN fits USING (host, path) LEFT JOIN decided USING (node)
+"""
+
+
+@query(URLS_SQL.replace("\\\\1", "\\1"))
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
