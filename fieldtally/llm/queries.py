@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm import bpe, decontaminate, quality, sharding, token_files, url_filters
+from fieldtally.llm import bpe, decontaminate, pii, quality, sharding, token_files, url_filters
 from fieldtally.llm.common import new_path, table
 from fieldtally.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -89,3 +89,8 @@ FROM parts LEFT JOIN fits USING (host, path) LEFT JOIN decided USING (node)
 @query(URLS_SQL.replace("\\\\1", "\\1"))
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query()
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
