@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm import bpe, decontaminate, pii, quality, sharding, token_files, url_filters
+from fieldtally.llm import bpe, decontaminate, html_text, pii, quality, sharding, token_files, url_filters
 from fieldtally.llm.common import new_path, table
 from fieldtally.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -94,3 +94,8 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
