@@ -17,7 +17,10 @@ is spread as well. Null text counts as empty and becomes the end id alone; null
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import uuid
 import zlib
 
@@ -42,10 +45,18 @@ PAGE_OPTIONS = {
 }
 
 
+#: Texts in which case, composition and classes of characters are beyond doubt and no special token can be.
+_ODD = re.compile(r"[^\t-\r -~\u00C0-\u012F\u0139-\u0148\u014A-\u017E]|<\|").search
+_LATIN = [chr(c) for c in (*range(0x61, 0x7B), *range(0xC0, 0x180)) if unicodedata.category(chr(c)).startswith("L")]
+
+
 class WordTokenizer(dict):
-    """The library's ids of each chunk between ASCII white space, which its pattern never crosses.
+    """The library's ids of each text. As a dict it remembers those of pre-tokens, and forgets all when full.
 
-    Remembers short chunks, and forgets all when full.
+    If the tokenizer file puts text in NFC and lower case and cuts it by a pattern, texts
+    in Latin letters, digits and ASCII signs are cut here by that pattern, its classes written
+    out, and the library sees each pre-token once. Other texts, those that may hold a
+    special token, and all texts for files of another make go to the library in whole.
     """
 
     def __init__(self, path: str, limit: int = 700_000) -> None:
@@ -53,22 +64,39 @@ class WordTokenizer(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        if len(self) >= self.limit:
-            self.clear()
-        new = list({w for words in texts for w in words if len(w) <= 64 and w not in self})
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(new, coded))
-
-    def __missing__(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        with open(path, encoding="utf-8") as f:
+            pattern = self.split_pattern(json.load(f))
+        written = pattern.replace(r"\p{L}", "".join(_LATIN)).replace(r"\p{N}", "0-9")
+        self.cut = re.compile(written, re.ASCII).findall if pattern else None
+
+    @staticmethod
+    def split_pattern(config: dict) -> str:
+        """The pattern of pre-tokens, or nothing if the file is of another make."""
+        normal = [x.get("type") for x in (config.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if normal != ["NFC", "Replace", "Lowercase"] or [x.get("type") for x in cuts] != ["Split", "ByteLevel"]:
+            return ""
+        split, last = cuts
+        plain = split["behavior"] == "Removed" and split["invert"] and not last["add_prefix_space"] and not last["use_regex"]
+        pattern = split["pattern"].get("Regex", "")
+        crosses = " " in pattern or r"[^\s" not in pattern
+        return pattern if plain and not crosses else ""
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(c.ids, "<u4").tobytes() for c in coded]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        words = [t.encode().split() for t in texts]
-        self.learn(words)
-        return [b"".join(map(self.__getitem__, w)) for w in words]
+        if not self.cut:
+            return self.library(texts)
+        if len(self) >= self.limit:
+            self.clear()
+        cut = [None if _ODD(t) else self.cut(t.lower()) for t in texts]
+        new = list({x for found in cut if found for x in found if x not in self})
+        self.update(zip(new, self.library(new)))
+        get = self.__getitem__
+        return [self.library([t])[0] if found is None else b"".join(map(get, found)) for t, found in zip(texts, cut)]
 
 
 IN_WORKER: dict[str, WordTokenizer] = {}
