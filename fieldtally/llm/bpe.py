@@ -179,6 +179,11 @@ def codec_maker(df: DataFrame, path: str, pattern: str):
     return make
 
 
+def id_lists(coded: list[bytes]) -> pa.ListArray:
+    flat = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
+    return list_array(flat, [len(c) // 4 for c in coded], pa.int32())
+
+
 def encode(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and ids of each text."""
     maker = codec_maker(df, path, pattern)
@@ -188,9 +193,7 @@ def encode(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
         def f(batch):
             coded = [codec.encode(t) for t in texts_of(batch)]
-            flat = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
-            ids = list_array(flat, [len(c) // 4 for c in coded], pa.int32())
-            return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), ids], ["doc_id", "ids"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), id_lists(coded)], ["doc_id", "ids"])
 
         return f
 
@@ -218,8 +221,8 @@ def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
     return map_batches(df.select("doc_id", "ids"), make, "doc_id long, text string", 128)
 
 
-def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode each text and decode its ids."""
+def round_trip(df: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids: encode each text and decode its ids."""
     maker = codec_maker(df, path, pattern)
 
     def make():
@@ -228,17 +231,17 @@ def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
         def f(batch):
             coded = [codec.encode(t) for t in texts_of(batch)]
-            return pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").cast(pa.int64()),
-                    pa.array([len(c) // 4 for c in coded], pa.int64()),
-                    pa.array([digest(c).hexdigest() for c in coded], pa.string()),
-                    pa.array([digest(codec.decode(c)).hexdigest() for c in coded], pa.string()),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = {
+                "doc_id": batch.column("doc_id"),
+                "n_tokens": pa.array([len(c) // 4 for c in coded], pa.int64()),
+                "ids_sha256": pa.array([digest(c).hexdigest() for c in coded], pa.string()),
+                "decoded_sha256": pa.array([digest(codec.decode(c)).hexdigest() for c in coded], pa.string()),
+            }
+            if with_ids:
+                columns["ids"] = id_lists(coded)
+            return pa.RecordBatch.from_pydict(columns)
 
         return f
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_batches(df.select(F.col("doc_id").cast("long"), "text"), make, schema)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return map_batches(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, schema)

@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Fixed value: words are runs without ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -45,6 +46,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_key(documents: DataFrame) -> Column:
+    """A key of doc_id and text: rows that are equal in both share it."""
+    mark = F.xxhash64("text", F.length("text")).cast("string")
+    return F.concat_ws(":", F.coalesce(documents["doc_id"].cast("string"), F.lit("null")), mark)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import stored
+from fieldtally.llm.common import row_key, stored
 
 WINDOW, SUPPORT, DISCLOSES, REMOVES = 8, 3, 0.9, 0.99
 
@@ -113,10 +113,6 @@ def entity(span: Column) -> Column:
     return F.xxhash64(span["kind"], value)
 
 
-def row_key(documents: DataFrame) -> Column:
-    return F.concat_ws(":", F.coalesce(documents["doc_id"].cast("string"), F.lit("null")), F.xxhash64("text").cast("string"))
-
-
 def base(documents: DataFrame) -> DataFrame:
     """doc_id, key, and ``base``: the base spans with the words around them, by start and kind. Written once."""
     text = F.coalesce("text", F.lit(""))

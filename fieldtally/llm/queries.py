@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm import bpe, decontaminate, html_text, pii, quality, sharding, substrings, token_files, url_filters
+from fieldtally.llm import bpe, decontaminate, html_text, near_duplicates, pii, quality, sharding, substrings, token_files, url_filters
 from fieldtally.llm.common import new_path, table
 from fieldtally.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -104,3 +104,8 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.joined(table(spark, sf_dir, "documents"))

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from fieldtally.functions.html import unescape
 from fieldtally.functions.urls import join_url
 from fieldtally.llm.common import stored
+from fieldtally.llm.graph import components
 
 #: Parameters that say where a visitor came from.
 TRACKING = r"(?:utm_[a-z]+|gclid|fbclid)"
@@ -105,29 +106,6 @@ def targets(url: Column, html: Column) -> Column:
     return F.transform(found, lambda h: join_url(url, h))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root of the connected components of ``edges`` (a, b); the root is the least node.
-
-    Nodes are the ends of edges between two different nodes; nulls are no nodes.
-    """
-    pairs = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    pairs, before = stored(pairs.distinct(), "edges"), None
-    while True:
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if not state[0] or state == before:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-                pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        before = state
-        both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        star = low.select("u", F.col("m").alias("v")).union(small).filter("u <> v").distinct()
-        pairs = stored(star, "edges")
-
-
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None) -> DataFrame:
     """page_id, url, host, path, rule, verdict, and ``decided_by``: rule, alias or default.
 
