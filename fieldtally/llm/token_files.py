@@ -59,13 +59,17 @@ class WordTokenizer(dict):
     special token, and all texts for files of another make go to the library in whole.
     """
 
-    def __init__(self, path: str, limit: int = 700_000) -> None:
+    def __init__(self, path: str, limit: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         with open(path, encoding="utf-8") as f:
-            pattern = self.split_pattern(json.load(f))
+            config = json.load(f)
+        pattern = self.split_pattern(config)
+        suffix = config["model"].get("end_of_word_suffix")
+        self.last = np.zeros(1 + max(config["model"]["vocab"].values()), bool)  # ids that end a pre-token
+        self.last[[i for t, i in config["model"]["vocab"].items() if suffix and t.endswith(suffix)]] = True
         written = pattern.replace(r"\p{L}", "".join(_LATIN)).replace(r"\p{N}", "0-9")
         self.cut = re.compile(written, re.ASCII).findall if pattern else None
 
@@ -86,6 +90,19 @@ class WordTokenizer(dict):
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(c.ids, "<u4").tobytes() for c in coded]
 
+    def learn(self, new: list[str]) -> None:
+        """Ask for many pre-tokens in one text, which is much faster; the ids that end a pre-token part them again."""
+        for at in range(0, len(new), 2000):
+            part = new[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+            if len(ends) == len(part) and ends[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                found = [raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+            else:
+                found = self.library(part)
+            self.update(zip(part, found))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.cut:
@@ -93,8 +110,7 @@ class WordTokenizer(dict):
         if len(self) >= self.limit:
             self.clear()
         cut = [None if _ODD(t) else self.cut(t.lower()) for t in texts]
-        new = list({x for found in cut if found for x in found if x not in self})
-        self.update(zip(new, self.library(new)))
+        self.learn(list({x for found in cut if found for x in found if x not in self}))
         get = self.__getitem__
         return [self.library([t])[0] if found is None else b"".join(map(get, found)) for t, found in zip(texts, cut)]
 
