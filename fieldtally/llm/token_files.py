@@ -51,7 +51,8 @@ _LATIN = [chr(c) for c in (*range(0x61, 0x7B), *range(0xC0, 0x180)) if unicodeda
 
 
 class WordTokenizer(dict):
-    """The library's ids of each text. As a dict it remembers those of pre-tokens, and forgets all when full.
+    """The library's ids of each text. As a dict it remembers those of pre-tokens;
+    when full it keeps one older generation, from which those still in use return.
 
     If the tokenizer file puts text in NFC and lower case and cuts it by a pattern, texts
     in Latin letters, digits and ASCII signs are cut here by that pattern, its classes written
@@ -59,11 +60,12 @@ class WordTokenizer(dict):
     special token, and all texts for files of another make go to the library in whole.
     """
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.older: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         pattern = self.split_pattern(config)
@@ -107,10 +109,15 @@ class WordTokenizer(dict):
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.cut:
             return self.library(texts)
-        if len(self) >= self.limit:
-            self.clear()
         cut = [None if _ODD(t) else self.cut(t.lower()) for t in texts]
-        self.learn(list({x for found in cut if found for x in found if x not in self}))
+        new = set().union(*(found for found in cut if found)).difference(self)
+        if len(self) >= self.limit:  # what was asked for since the last time stays
+            self.older = dict(self)
+            self.clear()
+            new.update(*(found for found in cut if found))
+        known = new & self.older.keys()
+        self.update((x, self.older[x]) for x in known)
+        self.learn(list(new - known))
         get = self.__getitem__
         return [self.library([t])[0] if found is None else b"".join(map(get, found)) for t, found in zip(texts, cut)]
 
