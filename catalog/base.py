@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from fieldtally.functions.rules import RuleSet
 from fieldtally.plans.preprocess import process_photos
-from fieldtally.session import spread
 
 
 class Registry:
@@ -28,9 +27,11 @@ class Registry:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str, costly: bool = False) -> DataFrame:
-    """A table; ``costly`` where a parser follows and the file may be a single piece."""
+    """A table. Where a parser follows (``costly``), it is dealt out anew if the session asks
+    for that in ``fieldtally.scanPieces``: for tables that come as one file, as here."""
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return spread(df) if costly else df
+    pieces = spark.conf.get("fieldtally.scanPieces", None)
+    return df.repartition(int(pieces)) if costly and pieces else df
 
 
 SITE = "https://obs.example.org"
@@ -197,7 +198,8 @@ def cell_sql(lat: str, lon: str, zoom: int = 14) -> str:
     n = 1 << zoom
     x = f"CAST(greatest(0, least({n - 1}, floor(({lon} + 180.0) / 360.0 * {n}))) AS BIGINT)"
     y = f"CAST(greatest(0, least({n - 1}, floor((1.0 - asinh(tan(radians({lat}))) / pi()) / 2.0 * {n}))) AS BIGINT)"
-    return f"({zoom << 58} + {x} * {1 << 29} + {y})"
+    known = f"{lat} BETWEEN -90 AND 90 AND {lon} BETWEEN -180 AND 180"
+    return f"(CASE WHEN {known} THEN {zoom << 58} + {x} * {1 << 29} + {y} END)"
 
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:

@@ -29,6 +29,18 @@ def lookup(spark, sf_dir):
     return rounded(c.mean_by_cell(rows.withColumn("elevation", F.col("l_discount"))), 6, "elevation")
 
 
+def heights(spark, sf_dir, zoom=11):
+    """One elevation for every cell."""
+    rows = placed(spark, sf_dir, zoom).withColumn("elevation", F.col("l_discount"))
+    return rounded(c.mean_by_cell(rows), 6, "elevation")
+
+
+def ship_span(spark, sf_dir):
+    """The first and the last date of the items."""
+    span = load(spark, sf_dir, "lineitem").select(F.min("l_shipdate").cast("date"), F.max("l_shipdate").cast("date"))
+    return tuple(span.first())
+
+
 @registry.add("SELECT vec_id, " + cell_sql("CAST(embedding[1] AS DOUBLE) * 80", "CAST(embedding[2] AS DOUBLE) * 170", 14)
               + " AS cell FROM embeddings")
 def cell_index(spark, sf_dir):
@@ -137,23 +149,19 @@ def space_time_grid(spark, sf_dir):
 
 @registry.add(f"""WITH {PHOTOS_SQL},
 counts AS (SELECT {cell_sql('latitude', 'longitude', 7)} AS cell, date, count(*) AS count FROM photos GROUP BY ALL),
-days AS (SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS date)
+days AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM photos)
 SELECT cell, date, coalesce(count, 0) AS count
 FROM (SELECT DISTINCT cell FROM counts) CROSS JOIN days LEFT JOIN counts USING (cell, date)""")
 def dense_grid(spark, sf_dir):
-    counts = c.count_cell_days(placed(spark, sf_dir, 7))
-    return c.fill_cell_days(counts, date(1996, 1, 1), date(2001, 12, 31))
+    return c.fill_cell_days(c.count_cell_days(placed(spark, sf_dir, 7)), *ship_span(spark, sf_dir))
 
 
-@registry.add(f"""WITH {PHOTOS_SQL}, lookup AS (SELECT {FINE} AS cell, round(avg(l_discount), 6) AS elevation FROM photos
-                        WHERE l_returnflag = 'A' GROUP BY 1),
+@registry.add(f"""WITH {PHOTOS_SQL}, lookup AS (SELECT {FINE} AS cell, round(avg(l_discount), 6) AS elevation FROM photos GROUP BY 1),
 counts AS (SELECT {FINE} AS cell, date, count(*) AS count FROM photos WHERE year(date) BETWEEN 1996 AND 1999
            GROUP BY ALL),
 j AS (SELECT cell, date, count, elevation FROM counts JOIN lookup USING (cell)),
 s AS (SELECT avg(elevation) AS m, stddev_samp(elevation) AS sd FROM j)
 SELECT cell, date, count, elevation, round((elevation - m) / sd, 6) AS elevation_std FROM j, s""")
 def cell_frame(spark, sf_dir):
-    rows = placed(spark, sf_dir, 14).where(F.col("l_returnflag") == "A")
-    heights = rounded(c.mean_by_cell(rows.withColumn("elevation", F.col("l_discount"))), 6, "elevation")
-    frame = cell_model_frame(photos(spark, sf_dir), heights, years=(1996, 1999))
+    frame = cell_model_frame(photos(spark, sf_dir), heights(spark, sf_dir, 14), years=(1996, 1999))
     return rounded(frame, 6, "elevation_std")

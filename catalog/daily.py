@@ -162,18 +162,23 @@ def sentence_metrics(spark, sf_dir):
 
 
 @registry.add(f"""WITH {DAYS_SQL},
-m AS (SELECT date, min(struct_pack(temp := o_custkey % 30 + CAST(0.5 AS DOUBLE), mn := -CAST(o_custkey % 10 AS DOUBLE) + 0,
-                               mx := CAST(o_custkey % 40 AS DOUBLE),
-                               precip := CAST((o_custkey % 20) || '.2' AS DOUBLE))) AS s
-      FROM days GROUP BY date)
-SELECT date, url, photo_count, s.temp AS temp, s.mn AS min, s.mx AS max, s.precip AS precip
-FROM days JOIN m USING (date)""")
+m AS (SELECT date, o_custkey % 30 + CAST(0.5 AS DOUBLE) AS temp, -CAST(o_custkey % 10 AS DOUBLE) + 0 AS min,
+             CAST(o_custkey % 40 AS DOUBLE) AS max, CAST((o_custkey % 20) || '.2' AS DOUBLE) AS precip FROM days)
+SELECT date, url, photo_count, temp, min, max, precip FROM days JOIN m USING (date)""")
 def join_sentence_metrics(spark, sf_dir):
     records = days(spark, sf_dir)
     metrics = d.with_weather_metrics(records).withColumn("min", F.col("min") + F.lit(0.0))
     return d.join_weather_metrics(records.select("date", "url", "photo_count"), metrics)
 
 
+@registry.add(f"""WITH {DAYS_SQL}
+SELECT date, url, photo_count, o_custkey % 30 + CAST(0.5 AS DOUBLE) AS temp, -CAST(o_custkey % 10 AS DOUBLE) + 0 AS min,
+       CAST(o_custkey % 40 AS DOUBLE) AS max, CAST((o_custkey % 20) || '.2' AS DOUBLE) AS precip FROM days""")
+def own_sentence_metrics(spark, sf_dir):
+    metrics = d.with_weather_metrics(days(spark, sf_dir), keep=("url",))
+    return metrics.withColumn("min", F.col("min") + F.lit(0.0))
+
+
 @registry.add("""SELECT strftime(min(CAST(ts AS DATE)), '%Y-%m-%d') AS start_date,
        strftime(max(CAST(ts AS DATE)), '%Y-%m-%d') AS end_date FROM events""")
 def date_span(spark, sf_dir):

@@ -13,7 +13,7 @@ from fieldtally.plans.modeling import (
 )
 
 from .base import Registry, load, photos, rounded
-from .cells import lookup, placed
+from .cells import heights, placed, ship_span
 from .daily import DAILY_SQL, dataset
 
 registry = Registry()
@@ -87,14 +87,12 @@ def weather_model(spark, sf_dir):
 
 @registry.add()
 def spatial_model(spark, sf_dir):
-    return run_spatial_model(photos(spark, sf_dir), lookup(spark, sf_dir), years=(1996, 1999), zoom=11)[1]
+    return run_spatial_model(photos(spark, sf_dir), heights(spark, sf_dir), years=(1996, 1999), zoom=11)[1]
 
 
 @registry.add()
 def zip_fit_on_dense_grid(spark, sf_dir):
     """Zero inflation is only visible once the empty cell-days are there."""
-    from datetime import date
-
-    counts = c.fill_cell_days(c.count_cell_days(placed(spark, sf_dir)), date(1996, 1, 1), date(1996, 12, 31))
-    frame = c.attach_by_cell(counts, lookup(spark, sf_dir)).na.drop(subset=["elevation"])
+    counts = c.fill_cell_days(c.count_cell_days(placed(spark, sf_dir)), *ship_span(spark, sf_dir))
+    frame = c.attach_by_cell(counts, heights(spark, sf_dir))
     return fit_zip(frame, ["elevation"], "count").summary(spark)

@@ -49,7 +49,7 @@ def rule_audit(spark, sf_dir):
 STATS_SQL = f"""{PHOTOS_SQL},
 p AS (SELECT first_species, {first_keyword_sql('full_caption')} AS position, date, page_url, index_on_page FROM photos),
 s AS (SELECT first_species AS species, count(*) AS count,
-             arg_min(position, struct_pack(d := date, u := page_url, i := index_on_page, p := position)) AS position
+             arg_min(position, struct_pack(d := date, p := position)) AS position
       FROM p GROUP BY 1),
 r AS (SELECT species, count, {reason_sql('species', 'position')} AS exclusion_reason FROM s)"""
 

@@ -38,7 +38,10 @@ class Box:
 
 
 def cell_id(lat: Column, lon: Column, zoom: int = DEFAULT_ZOOM) -> Column:
-    """Cell that holds a point; null where a coordinate is null or not a number."""
+    """Cell that holds a point; null where a coordinate is null or on no globe.
+
+    Latitudes beyond the projection (85.05 degrees) belong to the outermost row.
+    """
     if not 0 <= zoom <= _BITS:
         raise ValueError(f"zoom must be between 0 and {_BITS}")
     n = 1 << zoom
@@ -49,7 +52,7 @@ def cell_id(lat: Column, lon: Column, zoom: int = DEFAULT_ZOOM) -> Column:
     def clamp(v: Column) -> Column:
         return F.least(F.greatest(v, F.lit(0).cast("bigint")), F.lit(n - 1).cast("bigint"))
 
-    known = lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
+    known = lat.between(-90.0, 90.0) & lon.between(-180.0, 180.0)
     packed = F.lit(zoom << (2 * _BITS)).cast("bigint") + clamp(x) * F.lit(1 << _BITS).cast("bigint") + clamp(y)
     return F.when(known, packed)
 

@@ -13,6 +13,9 @@ from .text import genus, genus_label, strip
 
 DEFAULT_RULES = Path(__file__).parent.parent / "config" / "rules.yaml"
 
+#: Beyond so many keywords a list is searched in place of nested conditions, which would overrun the analyser.
+LONG_LIST = 100
+
 
 @dataclass(frozen=True)
 class RuleSet:
@@ -74,6 +77,9 @@ class RuleSet:
         out = F.lit(0)
         if caption is not None:
             text = F.lower(F.coalesce(caption, F.lit("")))
+            if len(self.keywords) > LONG_LIST:
+                found = F.transform(F.array(*[F.lit(k) for k in self.keywords]), lambda k: F.contains(text, k))
+                return F.array_position(found, True).cast("int")
             for i, k in reversed(list(enumerate(self.keywords, start=1))):
                 out = F.when(text.contains(k), i).otherwise(out)
         return out
@@ -82,6 +88,8 @@ class RuleSet:
         out = F.lit(False)
         if caption is not None:
             text = F.lower(F.coalesce(caption, F.lit("")))
+            if len(self.keywords) > LONG_LIST:
+                return F.exists(F.array(*[F.lit(k) for k in self.keywords]), lambda k: F.contains(text, k))
             for k in self.keywords:
                 out = out | text.contains(k)
         return out

@@ -9,7 +9,7 @@ driver. The curvature at the end gives the standard deviations.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,7 +51,9 @@ class CountModel:
                 zip(names, ("intercept", *self.predictors), (self.alpha, *self.betas), self.sds)
             )
         ]
-        if self.psi is not None:
+        if self.psi is not None and self.psi >= 1.0:
+            rows.append(("psi", len(rows), "poisson share", self.psi, 0.0, self.psi, self.psi))
+        elif self.psi is not None:
             t, sd = math.log(self.psi / (1.0 - self.psi)), self.sds[-1]
             lo, hi = (1.0 / (1.0 + math.exp(-(t + s * _Z94 * sd))) for s in (-1, 1))
             rows.append(("psi", len(rows), "poisson share", self.psi, self.psi * (1.0 - self.psi) * sd, lo, hi))
@@ -166,6 +168,10 @@ def _fit(
             raise ValueError("counts must not be negative")
         if not start["positive"] and prior_sd is None:
             raise ValueError("all counts are zero, so the mean has no finite estimate without a prior")
+        if zero_inflated and prior_sd is None and start["share"] == 1.0:
+            # without zeros the likelihood rises up to psi = 1, where the rest is a Poisson regression
+            plain = _fit(df, predictors, target, None, False, max_iterations, tolerance)
+            return replace(plain, psi=1.0, sds=(*plain.sds, 0.0))
         level = (start["positive"] if zero_inflated else start["mean"]) or 1e-3
         theta = np.zeros(len(predictors) + 1 + int(zero_inflated))
         theta[0] = math.log(level)

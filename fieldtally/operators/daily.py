@@ -142,19 +142,16 @@ def count_discrepancies(days: DataFrame, photos: DataFrame) -> DataFrame:
     return compare_counts(days, photos).where(differing(F.col("photo_count"), F.col("actual_photo_count")))
 
 
-def with_weather_metrics(days: DataFrame, sentence_col: str = "weather_summary") -> DataFrame:
-    """Date, photo count and the numbers of the weather sentence, side by side."""
+def with_weather_metrics(days: DataFrame, sentence_col: str = "weather_summary", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Date, photo count, the columns in ``keep`` and the numbers of the weather sentence, side by side."""
     metrics = [c.alias(name) for name, c in weather_metrics(F.col(sentence_col)).items()]
-    return days.select("date", "photo_count", *metrics)
+    return days.select("date", "photo_count", *keep, *metrics)
 
 
 def join_weather_metrics(days: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Add temp, min, max and precip by date.
+    """Add temp, min, max and precip by date, a row for every sentence of the date.
 
-    Several sentences on one date are reduced to one first (the smallest in
-    temp, min, max, precip order that has a temperature), so no date multiplies.
+    Where dates have several records, :func:`with_weather_metrics` with ``keep`` gives
+    each record its own sentence instead, without a join.
     """
-    names = ["temp", "min", "max", "precip"]
-    one = F.min(F.when(F.col("temp").isNotNull(), F.struct(*names)))
-    per_day = metrics.groupBy("date").agg(one.alias("m")).select("date", "m.*")
-    return days.join(per_day, "date", "left")
+    return days.join(metrics.select("date", "temp", "min", "max", "precip"), "date", "left")

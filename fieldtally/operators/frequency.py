@@ -19,7 +19,6 @@ def _frequency(df: DataFrame, list_col: str, source: str) -> DataFrame:
     return (
         item_counts(df, list_col)
         .select("species", "occurrences", F.lit(source).alias("source"))
-        .orderBy(F.desc("occurrences"), "species")
     )
 
 
@@ -35,24 +34,23 @@ def species_frequency(days: DataFrame, photos: DataFrame) -> DataFrame:
 def species_frequency_or_days(days: DataFrame, photos: DataFrame) -> DataFrame:
     """Variant that falls back to the days when no photo names any species.
 
-    The test is one row of the photo counts, so it stops at the first species found.
+    Both are counted in one job, and the least source that has rows is kept.
     """
-    by_photo = species_frequency(days, photos)
-    if "identified_species_list" not in days.columns or (
-        "species_list" in photos.columns
-        and not photos.where(F.size("species_list") > 0).select(F.lit(1)).isEmpty()
-    ):
-        return by_photo
-    return _frequency(days, "identified_species_list", "day-level")
+    if "identified_species_list" not in days.columns or "species_list" not in photos.columns:
+        return species_frequency(days, photos)
+    both = _frequency(photos, "species_list", "photo-level").withColumn("_rank", F.lit(0)).unionAll(
+        _frequency(days, "identified_species_list", "day-level").withColumn("_rank", F.lit(1))
+    )
+    best = both.select(F.min("_rank")).scalar()
+    return both.where(F.col("_rank") == best).drop("_rank")
 
 
 def value_counts(df: DataFrame, column: str, name: str = "count") -> DataFrame:
-    """Rows per non-null value, most frequent first."""
+    """Rows per non-null value, in no order: sort at the sink."""
     return (
         df.where(F.col(column).isNotNull())
         .groupBy(column)
         .agg(F.count("*").alias(name))
-        .orderBy(F.desc(name), column)
     )
 
 
@@ -68,7 +66,7 @@ def top_or_other(
 
     The broadcast side is the result of a top-k and so never exceeds ``k`` rows.
     """
-    top = value_counts(df, column, "_n").limit(k).select(F.col(column).alias("_top"))
+    top = top_k(value_counts(df, column, "_n"), k, "_n", column).select(F.col(column).alias("_top"))
     label = F.coalesce(F.col("_top"), F.lit(other))
     return df.join(F.broadcast(top), df[column] == top["_top"], "left").withColumn(name, label).drop("_top")
 

@@ -50,12 +50,13 @@ def index_links(
     suffix: str = ".htm",
     date_format: str = "yyyy-M-d",
     date_pattern: str = r"^\d{4}-\d{1,2}-\d{1,2}$",
-    newest_first: bool = True,
+    newest_first: bool = False,
 ) -> DataFrame:
     """Dated links of index pages: the date from the link text, else from its last path segment.
 
     Links without a date are dropped. Only text that looks like a date is parsed,
-    as a failing date parser is slow.
+    as a failing date parser is slow. ``newest_first`` sorts, which samples its input and
+    so reads and parses every page twice: sort stored links instead.
     """
 
     def parsed(text: Column) -> Column:

@@ -67,43 +67,34 @@ def exclusion_stats(
     rules: RuleSet,
     species_col: str = "first_species",
     caption_col: str | None = "full_caption",
-    order_by: list[str] | None = None,
+    date_col: str = "date",
 ) -> DataFrame:
-    """Excluded species with count and reason, most frequent first.
+    """Excluded species with count and reason, in no order: sort at the sink.
 
-    A species is judged by its first non-null caption in the order of
-    ``order_by`` (default: all columns of the key ``date`` that exist, else the
-    caption). Only the *position* of the caption's first keyword enters the
-    aggregation, so no caption is shuffled: rows shrink to one per species and
-    keyword position before the first exchange.
+    A species is judged by a caption of its first date that has one (of any date
+    without that column), there by the earliest keyword in the order of the rules. Date and
+    keyword position are packed into one number whose least value is kept, so rows are
+    combined by hash before the first exchange and no caption is shuffled.
     """
     schema = "species string, count bigint, exclusion_reason string"
     if species_col not in df.columns:
         return df.sparkSession.createDataFrame([], schema)
     caption = _caption(df, caption_col)
-    if caption is None:
-        order, position = F.lit(0), F.lit(0)
-    else:
-        names = order_by or [c for c in ("date", "page_url", "index_on_page") if c in df.columns] or [caption_col]
-        order = F.col(names[0]) if len(names) == 1 else F.struct(*names)
-        position = F.when(caption.isNotNull(), rules.first_keyword(caption))
-    per_position = (
-        df.where(F.col(species_col).isNotNull())
-        .select(F.col(species_col).alias("species"), position.alias("position"), order.alias("order"))
-        .groupBy("species", "position")
-        .agg(F.count("*").alias("n"), F.min("order").alias("order"))
-    )
-    first = F.min(F.when(F.col("position").isNotNull(), F.struct("order", "position")))
+    span = len(rules.exclude_caption_keywords) + 1
+    first = F.lit(None).cast("bigint")
+    if caption is not None:
+        day = F.unix_date(F.col(date_col).cast("date")).cast("bigint") if date_col in df.columns else F.lit(0)
+        # records without a date come before all others
+        day = F.coalesce(day, F.lit(-10_000_000))
+        first = F.when(caption.isNotNull(), day * span + rules.first_keyword(caption))
+    position = F.coalesce(F.pmod("first", F.lit(span)).cast("int"), F.lit(0))
     return (
-        per_position.groupBy("species")
-        .agg(F.sum("n").alias("count"), first.alias("first"))
-        .select(
-            "species",
-            "count",
-            rules.reason_for(F.col("species"), F.coalesce(F.col("first.position"), F.lit(0))).alias("exclusion_reason"),
-        )
+        df.where(F.col(species_col).isNotNull())
+        .select(F.col(species_col).alias("species"), first.alias("first"))
+        .groupBy("species")
+        .agg(F.count("*").alias("count"), F.min("first").alias("first"))
+        .select("species", "count", rules.reason_for(F.col("species"), position).alias("exclusion_reason"))
         .where(F.col("exclusion_reason").isNotNull())
-        .orderBy(F.desc("count"), "species")
     )
 
 
@@ -118,7 +109,6 @@ def exclusion_stats_by_row(
         .groupBy("species", "exclusion_reason")
         .agg(F.count("*").alias("count"))
         .select("species", "count", "exclusion_reason")
-        .orderBy(F.desc("count"), "species", "exclusion_reason")
     )
 
 

@@ -20,8 +20,8 @@ from ..operators.taxonomy import filter_by_rules
 from ..session import reusable
 from ..sources.payload import unpivot_daily
 from ..sources.sinks import write_table
-from ..sources.tables import read_days, read_weather
-from .preprocess import run_preprocessing
+from ..sources.tables import read_days, read_photos, read_weather
+from .preprocess import process_photos, run_preprocessing
 
 # Predictors of the weather model.
 STANDARDISED = ["rain_7", "soil_moisture_mean", "temperature_mean", "relative_humidity_mean"]
@@ -55,14 +55,22 @@ def run_modeling_dataset(
     photos: DataFrame | None = None,
     in_fmt: str = "csv",
     out_fmt: str = "parquet",
+    photos_path: str | None = None,
 ) -> DataFrame:
-    """Build and write the daily dataset, partitioned by year."""
+    """Build the daily dataset, write it partitioned by year, and read it back.
+
+    Without ``photos`` they are read from ``photos_path``, by default the table
+    named ``photos`` next to the days (``days.csv`` and ``photos.csv``).
+    """
     years = (START_YEAR, END_YEAR) if filter_years else None
+    if photos is None:
+        folder, _, name = days_path.rstrip("/").rpartition("/")
+        ending = name[name.index(".") :] if "." in name else ""
+        photos = process_photos(read_photos(spark, photos_path or f"{folder or '.'}/photos{ending}", filter_years, in_fmt))
     data = daily_dataset(
         read_days(spark, days_path, filter_years, in_fmt), read_weather(spark, weather_path, in_fmt), photos, years
     )
-    write_table(data, f"{output_dir}/daily", out_fmt, by_year=True)
-    return data
+    return write_table(data, f"{output_dir}/daily", out_fmt, by_year=True)
 
 
 def run_full(
@@ -102,8 +110,7 @@ def run_weather_table(
     """Build and write the weather table from payloads landed as one JSON text per line."""
     days = read_days(spark, days_path, False, in_fmt)
     weather = weather_table(days, spark.read.text(payload_path).withColumnRenamed("value", "payload"))
-    write_table(weather, f"{output_dir}/daily_weather", out_fmt)
-    return weather
+    return write_table(weather, f"{output_dir}/daily_weather", out_fmt)
 
 
 def _weather_rows(daily: DataFrame, years: tuple[int, int]) -> tuple[DataFrame, str]:
@@ -115,7 +122,7 @@ def _weather_rows(daily: DataFrame, years: tuple[int, int]) -> tuple[DataFrame,
 def weather_model_frame(daily: DataFrame, years: tuple[int, int] = (START_YEAR, END_YEAR)) -> tuple[DataFrame, str]:
     """Complete rows of the covered years with standardised predictors, and the target's name."""
     rows, target = _weather_rows(daily, years)
-    return zscore(rows, STANDARDISED), target
+    return zscore(reusable(rows), STANDARDISED), target  # read for the statistics and for the rows
 
 
 def run_weather_model(
@@ -154,7 +161,8 @@ def cell_model_rows(
 
 def cell_model_frame(photos: DataFrame, elevation: DataFrame, **options) -> DataFrame:
     """:func:`cell_model_rows` with standardised elevation."""
-    return zscore(cell_model_rows(photos, elevation, **options), ["elevation"])
+    rows = reusable(cell_model_rows(photos, elevation, **options))
+    return zscore(rows, ["elevation"])  # read for the statistics and for the rows
 
 
 def run_spatial_model(

@@ -115,6 +115,7 @@ def run_preprocessing(
     out["photos"] = out["photos_cleaned"] = cleaned
     out["photo_geospatial"] = photo_geospatial(cleaned)
     write_table(out["photo_geospatial"], f"{output_dir}/photo_geospatial", out_fmt)
-    out["species_frequency"] = species_frequency(days, cleaned)
-    write_table(out["species_frequency"], f"{output_dir}/species_frequency", out_fmt)
+    frequency = species_frequency(days, cleaned).orderBy(F.desc("occurrences"), "species")
+    write_table(frequency, f"{output_dir}/species_frequency", out_fmt)
+    out["species_frequency"] = frequency
     return out

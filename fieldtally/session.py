@@ -6,21 +6,23 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str | int = 8, shuffle_partitions: int = 8) -> SparkSession:
+def local_session(cores: str | int = 8, shuffle_partitions: int = 8, scan_pieces: int | None = None) -> SparkSession:
     """A single-machine session for tests and benchmarks.
 
     On a cluster use the session the cluster provides: nothing in this library
     depends on the settings made here.
     """
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("fieldtally")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
-        .getOrCreate()
     )
+    if scan_pieces:
+        builder = builder.config("fieldtally.scanPieces", str(scan_pieces))
+    return builder.getOrCreate()
 
 
 def reusable(df: DataFrame) -> DataFrame:
@@ -34,14 +36,3 @@ def reusable(df: DataFrame) -> DataFrame:
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return df.checkpoint(eager=True)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def spread(df: DataFrame, pieces: int | None = None) -> DataFrame:
-    """Divide a scan that comes in fewer pieces than there are cores, for costly steps to follow.
-
-    A file that cannot be split is one task, however large. Inputs that already
-    come in enough pieces, as large ones do, are left alone. Meant for plain
-    scans: asking a plan with shuffles for its pieces would run it.
-    """
-    wanted = pieces or df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.columns import compute_once
+
 # Payload keys and the column each becomes.
 KEYS = {
     "time": "date",
@@ -25,14 +27,27 @@ _SCHEMA = "daily struct<" + ", ".join(
 ) + ">"
 
 
-def payload_error(payload: Column) -> Column:
-    """What is wrong with a payload, or null."""
-    daily = F.get_json_object(payload, "$.daily")
-    missing = F.array_except(F.array(*[F.lit(k) for k in KEYS]), F.json_object_keys(daily))
-    parsed = F.from_json(payload, _SCHEMA)["daily"]
-    lengths = F.array_distinct(F.array(*[F.size(parsed[k]) for k in KEYS]))
+_PARSED, _NAMES = "_daily", "_names"
+
+
+def _parsed(payloads: DataFrame, payload_col: str) -> DataFrame:
+    """Add the payload's arrays and the names of its keys, each parsed once."""
+    payload = F.col(payload_col)
+    return compute_once(
+        payloads,
+        {
+            _PARSED: F.from_json(payload, _SCHEMA)["daily"],
+            _NAMES: F.json_object_keys(F.get_json_object(payload, "$.daily")),
+        },
+    )
+
+
+def _error() -> Column:
+    """What is wrong with a parsed payload, or null."""
+    missing = F.array_except(F.array(*[F.lit(k) for k in KEYS]), F.col(_NAMES))
+    lengths = F.array_distinct(F.array(*[F.size(F.col(_PARSED)[k]) for k in KEYS]))
     return (
-        F.when(daily.isNull(), "payload is missing the 'daily' key")
+        F.when(F.col(_NAMES).isNull(), "payload is missing the 'daily' key")
         .when(F.size(missing) > 0, F.concat(F.lit("payload is missing daily variables: "), F.array_join(missing, ", ")))
         .when(F.size(lengths) > 1, "daily variables differ in length")
     )
@@ -44,14 +59,12 @@ def unpivot_daily(payloads: DataFrame, *keep: str, payload_col: str = "payload",
     ``strict`` fails the job on a bad payload; otherwise bad payloads give no
     rows, and :func:`bad_payloads` lists them.
     """
-    payload = F.col(payload_col)
-    error = payload_error(payload)
+    source, error = _parsed(payloads.select(*keep, payload_col), payload_col), _error()
     if strict:
-        payload = F.when(error.isNotNull(), F.raise_error(error).cast("string")).otherwise(payload)
-        source = payloads.select(*keep, payload.alias("_p"))
+        source = source.where(F.when(error.isNotNull(), F.raise_error(error).cast("boolean")).otherwise(True))
     else:
-        source = payloads.where(error.isNull()).select(*keep, payload.alias("_p"))
-    daily = F.from_json("_p", _SCHEMA)["daily"]
+        source = source.where(error.isNull())
+    daily = F.col(_PARSED)
     return source.select(*keep, F.inline(F.arrays_zip(*[daily[k].alias(k) for k in KEYS]))).select(
         *keep, *[F.col(k).cast("date").alias(c) if k == "time" else F.col(k).alias(c) for k, c in KEYS.items()]
     )
@@ -59,4 +72,5 @@ def unpivot_daily(payloads: DataFrame, *keep: str, payload_col: str = "payload",
 
 def bad_payloads(payloads: DataFrame, payload_col: str = "payload") -> DataFrame:
     """Payloads that cannot be used, with the reason."""
-    return payloads.withColumn("error", payload_error(F.col(payload_col))).where(F.col("error").isNotNull())
+    found = _parsed(payloads, payload_col).withColumn("error", _error()).where(F.col("error").isNotNull())
+    return found.drop(_PARSED, _NAMES)

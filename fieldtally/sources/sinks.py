@@ -17,8 +17,9 @@ def flat_for_csv(df: DataFrame) -> DataFrame:
 
 def write_table(
     df: DataFrame, path: str, fmt: str = "parquet", by_year: bool = False, date_col: str = "date"
-) -> None:
-    """Replace the table at ``path``; ``by_year`` partitions the files by the year of the date."""
+) -> DataFrame:
+    """Replace the table at ``path`` and read it back; ``by_year`` partitions the files by the year of the date."""
+    columns = df.columns
     if fmt == "csv":
         df = flat_for_csv(df)
     if by_year:
@@ -29,3 +30,7 @@ def write_table(
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"')
     writer.save(path)
+    reader = df.sparkSession.read.schema(df.schema).format(fmt)
+    if fmt == "csv":
+        reader = reader.option("header", True).option("escape", '"').option("multiLine", True)
+    return reader.load(path).select(*[F.col(f"`{c}`") for c in columns])

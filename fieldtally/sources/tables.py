@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import filter_by_year
-from ..session import spread
 
 # Columns and types of the raw tables.
 DAYS = {
@@ -34,19 +33,21 @@ WEATHER = {"date": "date", **{c: "double" for c in WEATHER_VALUES}}
 
 
 def read_table(
-    spark: SparkSession, path: str, types: dict[str, str], fmt: str = "csv", multi_line: bool = False, strict: bool = True
+    spark: SparkSession, path: str, types: dict[str, str], fmt: str = "csv", multi_line: bool = False, strict: bool = True,
+    pieces: int | None = None,
 ) -> DataFrame:
     """A table with the known columns cast; unknown columns are kept as they are.
 
     ``strict`` fails on a value that cannot be cast, otherwise it becomes null.
-    Nested columns of Parquet and ORC files keep their type.
+    Nested columns of Parquet and ORC files keep their type. ``pieces`` deals the rows of a
+    CSV file out anew, which helps if few large files with ``multi_line`` feed costly steps.
     """
     if fmt != "csv":
         df = spark.read.format(fmt).load(path)
     else:
         df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line)
-        if multi_line:
-            df = spread(df)
+        if pieces:
+            df = df.repartition(pieces)
 
     def typed(name: str):
         c, target = F.col(name), types.get(name)

@@ -199,12 +199,12 @@ def test_summary_and_span(spark):
 def test_frequency_sources(spark):
     days = spark.createDataFrame([(["a", "a", "b"],)], "identified_species_list array<string>")
     photos = spark.createDataFrame([(["x", "y"],), (["x", "x"],), ([],)], "species_list array<string>")
-    rows = [tuple(r) for r in fr.species_frequency(days, photos).collect()]
+    rows = sorted(tuple(r) for r in fr.species_frequency(days, photos).collect())
     assert rows == [("x", 3, "photo-level"), ("y", 1, "photo-level")]
     assert sum(r[1] for r in rows) == photos.selectExpr("sum(size(species_list))").first()[0]
     none = photos.where("false")
     assert fr.species_frequency(days, none).count() == 0
-    assert [tuple(r) for r in fr.species_frequency_or_days(days, none).collect()] == [("a", 2, "day-level"), ("b", 1, "day-level")]
+    assert sorted(tuple(r) for r in fr.species_frequency_or_days(days, none).collect()) == [("a", 2, "day-level"), ("b", 1, "day-level")]
     assert fr.species_frequency(days, photos.drop("species_list").selectExpr("1 as i")).count() == 2
     assert fr.species_frequency_or_days(days, photos).count() == 2
 
