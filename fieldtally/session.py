@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +39,19 @@ def reusable(df: DataFrame) -> DataFrame:
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return df.checkpoint(eager=True)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def scratch_folder(spark: SparkSession, name: str = "scratch") -> str:
+    """A new folder name for intermediate tables that driver and executors share.
+
+    It lies where the session's ``spark.checkpoint.dir`` says. Only a session on a single
+    machine, as in tests, gets a folder of its own where none is named.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fieldtally-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
