@@ -17,7 +17,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldtally.llm import bpe, decontaminate, near_duplicates, pii, quality
-from fieldtally.llm.common import new_path, table
+from fieldtally.llm.common import table
+from fieldtally.session import scratch_folder
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = new_path(spark, f"stage-{name}")
+        path = scratch_folder(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

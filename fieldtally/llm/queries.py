@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtally.llm import bpe, decontaminate, html_text, near_duplicates, pii, quality, sharding, substrings, token_files, url_filters
-from fieldtally.llm.common import new_path, table
+from fieldtally.llm.common import table
 from fieldtally.llm.registry import ORACLES, QUERIES, query  # noqa: F401
+from fieldtally.session import scratch_folder
 
 
 @query()
@@ -19,7 +20,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = new_path(spark, "token-files")
+    folder = scratch_folder(spark, "token-files")
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     token_files.write(table(spark, sf_dir, "documents"), folder, tokenizer, end_id=1, meta=("lang", "source"))
     return token_files.checksums(token_files.read_positions(spark, folder))
