@@ -4,7 +4,7 @@ The page is cut into blocks at block tags. Pass one decides blocks by where they
 stand (menus, headers, footers, forms, adverts, comments are out by tag, role,
 class or id), by link density, length and stop-word density; short blocks stay
 undecided. Pass two gives each undecided block the label of its nearest decided
-neighbours; if they differ, the nearer one counts, and headings look ahead. If the page
+neighbours (of those in the article, if it is marked); if they differ, the nearer one counts, and headings look ahead. If the page
 marks its article (``article``, ``main``, role or itemprop), blocks outside it are out,
 and inside it length alone decides, since an article may be a list or a table.
 
@@ -206,17 +206,21 @@ def first_pass(blocks: list[Block]) -> None:
 
 def second_pass(blocks: list[Block]) -> None:
     marked = any(b.inside and not b.out for b in blocks)
+
+    def counts(b: Block) -> bool:
+        return b.inside and not b.out if marked else True
+
     before: list[tuple[int, bool] | None] = []
     last = None
     for i, b in enumerate(blocks):
         before.append(last)
-        if b.label is not None and (b.inside or not marked):
+        if b.label is not None and counts(b):
             last = (i, b.label)
     after, inherited = None, []
     for i in range(len(blocks) - 1, -1, -1):
         b = blocks[i]
         if b.label is not None:
-            if b.inside or not marked:
+            if counts(b):
                 after = (i, b.label)
             continue
         left, right = before[i], after
