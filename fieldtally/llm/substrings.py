@@ -91,6 +91,8 @@ def dealt(documents: DataFrame, buckets: int) -> DataFrame:
             anchor, context, doc = (np.concatenate(x) for x in zip(*found))
             order = np.lexsort((doc, context, anchor))
             anchor, context, doc = anchor[order], context[order], doc[order]
+            if not len(anchor):
+                continue
             same = np.r_[False, (anchor[1:] == anchor[:-1]) & (context[1:] == context[:-1])]
             group = np.flatnonzero(~same)
             least = np.repeat(doc[group], np.diff(np.r_[group, len(doc)]))
@@ -101,7 +103,7 @@ def dealt(documents: DataFrame, buckets: int) -> DataFrame:
             bucket, anchor, context, doc = bucket[use], anchor[use], context[use], doc[use]
             order = np.lexsort((doc, bucket))
             bucket, anchor, context, doc = bucket[order], anchor[order], context[order], doc[order]
-            start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
+            start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             lengths = np.diff(np.r_[start, len(bucket)])
             yield pa.RecordBatch.from_arrays(
                 [
