@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import BLOCK_TAGS, blocks, hrefs, links, text_of, visible
+from ..functions.html import BLOCK_TAGS, blocks, href, hrefs, links, text_of, visible
 from ..functions.text import BLANK_CLASS, strip
 from ..functions.urls import join_url
 from .columns import compute_once
@@ -158,16 +158,15 @@ def page_fields(pages: DataFrame, with_photos: bool = False) -> DataFrame:
         "_target": _attachment(page),
         "photo_count": count_photos(page),
     }
-    if with_photos:
-        parts["photos"] = photo_structs(page, F.col("date"), url)
     fields = {
         "weather_summary": _weather(page, F.col("_block"), F.col("_wrapped")),
         # a colon in front and a dot at the end go, with the blanks inside them
         "identified_species_text": F.regexp_replace(species, rf"^:[{BLANK_CLASS}]*|\.$", ""),
         "kmz_url": join_url(url, F.col("_target")),
     }
+    seen = with_photo_structs(_visible(pages)) if with_photos else _visible(pages)
     return (
-        compute_once(_visible(pages), parts)
+        compute_once(seen, parts)
         .withColumns(fields)
         .withColumn("identified_species", species_names(F.col("identified_species_text")))
         .drop("html", "_block", "_wrapped", "_species", "_target")
@@ -186,52 +185,129 @@ def _species_refs(container: Column, url: Column) -> Column:
     )
 
 
-def photo_candidates(page: Column) -> Column:
-    """Links into the photo archive, each with the block around it, in document order."""
-    holding = F.filter(blocks(page), lambda b: b.contains(PHOTO_PATH))
+# Elements without an end tag, and those that end where a sibling of their name begins.
+VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
+IMPLIED_ENDS = ("p", "li", "td", "th", "tr", "dt", "dd", "option")
+_STACK = "array<struct<open: int, name: string, holds: boolean>>"
+_LINKS = "array<struct<href: string, parent: int>>"
+_ENDS = "array<struct<open: int, close: int>>"
 
-    def candidates(block: Column) -> Column:
-        targets = F.filter(hrefs(block), lambda t: t.contains(PHOTO_PATH))
-        return F.transform(targets, lambda t: F.struct(t.alias("href"), block.alias("block")))
 
-    return F.flatten(F.transform(holding, candidates))
+def _parents(page_tokens: Column) -> Column:
+    """Links into the photo archive with the place of the element around each, and where those elements end.
 
+    One pass over the tags with the stack of open elements. Only elements that
+    hold a photo link are remembered when they end.
+    """
 
-def photo_structs(page: Column, day: Column, url: Column) -> Column:
-    """The archived images of a page as an array of photo records, in page order.
+    def info(t: Column, i: Column) -> Column:
+        name = F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][^\s/>]*)", 1))
+        target = F.when((name == "a") & t.contains(PHOTO_PATH), href(t))
+        return F.struct(
+            i.cast("int").alias("i"), name.alias("name"), t.startswith("</").alias("close"),
+            F.when(target.contains(PHOTO_PATH), target).alias("href"),
+        )
+
+    tags = F.filter(F.transform(page_tokens, info), lambda x: (x["name"] != "") & ~x["name"].isin(*VOID_TAGS))
+
+    def ended(elements: Column, at: Column) -> Column:
+        holding = F.filter(elements, lambda e: e["holds"])
+        return F.transform(holding, lambda e: F.struct(e["open"].alias("open"), at.alias("close")))
+
+    def step(state: Column, x: Column) -> Column:
+        stack = state["stack"]
+        depth = F.size(stack)
+        names = F.reverse(F.transform(stack, lambda e: e["name"]))
+        back = F.array_position(names, x["name"]).cast("int")  # how far up the element of that name is open
+        sibling = x["name"].isin(*IMPLIED_ENDS) & (back == 1)
+        kept = F.when(x["close"], F.when(back > 0, depth - back).otherwise(depth)).otherwise(F.when(sibling, depth - 1).otherwise(depth))
+        left = F.slice(stack, F.lit(1), kept)
+        gone = F.slice(stack, kept + 1, depth - kept)
+        photo = x["href"].isNotNull() & ~x["close"]
+        top = F.size(left)
+        marked = F.when(
+            photo,
+            F.transform(left, lambda e, k: F.struct(e["open"].alias("open"), e["name"].alias("name"), (e["holds"] | (k == top - 1)).alias("holds"))),
+        ).otherwise(left)
+        new = F.struct(x["i"].alias("open"), x["name"].alias("name"), F.lit(False).alias("holds"))
+        parent = F.when(top > 0, F.element_at(left, -1)["open"]).otherwise(F.lit(-1))
+        link = F.struct(x["href"].alias("href"), parent.alias("parent"))
+        return F.struct(
+            F.when(x["close"], left).otherwise(F.concat(marked, F.array(new))).cast(_STACK).alias("stack"),
+            F.when(photo, F.concat(state["links"], F.array(link))).otherwise(state["links"]).cast(_LINKS).alias("links"),
+            F.concat(state["ends"], ended(gone, x["i"])).cast(_ENDS).alias("ends"),
+        )
 
-    The caption is the text of the block around the link. The position also
-    counts links that are not images and so leaves gaps.
-    """
-    numbered = F.transform(photo_candidates(page), lambda p, i: F.struct((i + 1).alias("index_on_page"), p.alias("p")))
-    images = F.filter(numbered, lambda r: _any([F.lower(r.p.href).endswith(e) for e in IMAGE_EXTENSIONS]))
-    captioned = F.transform(
-        images, lambda r: F.struct(r.index_on_page, r.p.href, r.p.block, text_of(r.p.block).alias("caption"))
+    start = F.struct(
+        F.array().cast(_STACK).alias("stack"), F.array().cast(_LINKS).alias("links"), F.array().cast(_ENDS).alias("ends")
     )
+    size = F.size(page_tokens)
+    return F.aggregate(
+        tags, start, step,
+        lambda s: F.struct(
+            s["links"].alias("links"),
+            F.concat(s["ends"], ended(s["stack"], size), F.array(F.struct(F.lit(-1).alias("open"), size.alias("close")))).alias("ends"),
+        ),
+    )
 
-    def common_name(caption: Column) -> Column:
-        return F.when(caption.contains("("), strip(F.substring_index(caption, "(", 1))).otherwise(caption)
 
-    return F.transform(
-        captioned,
+def _common_name(caption: Column) -> Column:
+    return F.when(caption.contains("("), strip(F.substring_index(caption, "(", 1))).otherwise(caption)
+
+
+def with_photo_structs(pages: DataFrame, name: str = "photos") -> DataFrame:
+    """Add the archived images of each page as an array of photo records, in page order.
+
+    ``html`` is the visible page. The caption is the text of the element that holds the link, and the
+    species are the links in it; both are taken once for each such element, however
+    many photos it holds. The position also counts links that are not images and
+    so leaves gaps.
+    """
+    tokens = F.when(
+        F.col("html").contains(PHOTO_PATH),
+        F.regexp_extract_all("html", F.lit(r"<[/a-zA-Z][^>]*>|[^<]++|<"), F.lit(0)),
+    )
+    found = compute_once(pages, {"_tokens": F.coalesce(tokens, F.array().cast("array<string>"))})
+    found = compute_once(found, {"_found": _parents(F.col("_tokens"))})
+    held = F.array_distinct(F.transform("_found.links", lambda r: r["parent"]))
+    ranges = F.filter("_found.ends", lambda e: F.array_contains(held, e["open"]))
+
+    def entry(e: Column) -> Column:
+        part = F.array_join(F.slice("_tokens", e["open"] + 2, e["close"] - e["open"] - 1), "")
+        return F.struct(e["open"].alias("open"), part.alias("part"))
+
+    def facts(c: Column) -> Column:
+        values = F.struct(text_of(c["part"]).alias("caption"), _species_refs(c["part"], F.col("url")).alias("species"))
+        return F.struct(c["open"].alias("open"), values.alias("facts"))
+
+    elements = F.map_from_entries(F.transform(F.transform(ranges, entry), facts))
+    found = compute_once(found, {"_elements": elements})
+    numbered = F.transform("_found.links", lambda r, i: F.struct((i + 1).alias("i"), r["href"].alias("href"), r["parent"].alias("parent")))
+    images = F.filter(numbered, lambda r: _any([F.lower(r["href"]).endswith(e) for e in IMAGE_EXTENSIONS]))
+    known = F.transform(
+        images,
+        lambda r: F.struct(r["i"].alias("i"), r["href"].alias("href"), F.element_at("_elements", r["parent"]).alias("facts")),
+    )
+    records = F.transform(
+        known,
         lambda r: F.struct(
-            day.alias("date"),
-            url.alias("page_url"),
-            join_url(url, r.href).alias("photo_url"),
-            r.index_on_page.alias("index_on_page"),
-            r.caption.alias("full_caption"),
-            common_name(r.caption).alias("common_name"),
-            _species_refs(r.block, url).alias("species"),
+            F.col("date").alias("date"),
+            F.col("url").alias("page_url"),
+            join_url(F.col("url"), r["href"]).alias("photo_url"),
+            r["i"].alias("index_on_page"),
+            r["facts"]["caption"].alias("full_caption"),
+            _common_name(r["facts"]["caption"]).alias("common_name"),
+            r["facts"]["species"].alias("species"),
             F.lit(None).cast("string").alias("location_text"),
         ),
     )
+    return compute_once(found, {name: records}).drop("_tokens", "_found", "_elements")
 
 
 def photo_records(pages: DataFrame) -> DataFrame:
     """One row per archived image: position, caption, common name and species links."""
     holding = pages.select("date", "url", "html").where(F.col("html").contains(PHOTO_PATH))
-    photos = photo_structs(F.col("html"), F.col("date"), F.col("url"))
-    return compute_once(_visible(holding), {"_photos": photos}).select(F.inline("_photos"))
+    return with_photo_structs(_visible(holding), "_photos").select(F.inline("_photos"))
 
 
 def location_key(photo_url: Column) -> Column:

@@ -9,7 +9,7 @@ from ..functions.html import unescape
 from ..functions.text import BLANK_CLASS, strip
 from .columns import compute_once
 from .joins import lookup_join
-from .pages import location_key, page_attachments, page_fields, photo_records
+from .pages import location_key, page_fields, photo_records
 
 _PREFIX = r"(?:[\w.-]+:)?"
 _PLACEMARK = rf"(?s)<{_PREFIX}Placemark\b[^>]*(?<!/)>.*?</{_PREFIX}Placemark\s*>"
@@ -57,6 +57,30 @@ def _points(kml: Column) -> Column:
     )
 
 
+def _coordinates(kml: Column) -> Column:
+    """The valid first coordinates of all geometries of a document."""
+    first_tuple = f"^[{BLANK_CLASS}]*([^{BLANK_CLASS}]+)"
+    texts = F.regexp_extract_all(kml, F.lit(_COORDINATES), F.lit(1))
+    return F.filter(F.transform(texts, lambda t: _lat_lon(F.regexp_extract(t, first_tuple, 1))), lambda p: p.isNotNull())
+
+
+def document_points(documents: DataFrame, kml_col: str = "kml") -> DataFrame:
+    """kmz_url, ``points`` (map of names to points, the last of a name), default_lat and default_lon.
+
+    Every document is parsed once. ``documents`` has one row per attachment.
+    """
+    kml = F.col("_kml")
+    parsed = compute_once(_readable(documents, "kmz_url", kml_col), {"_points": _points(kml), "_any": _coordinates(kml)})
+    default = [F.coalesce(F.get("_points", F.lit(0))[c], F.get("_any", F.lit(0))[c]).alias(f"default_{c}") for c in ("lat", "lon")]
+    rows = parsed.select("kmz_url", *default, F.posexplode_outer("_points").alias("pos", "p"))
+    defaults = [F.first(c, ignorenulls=True).alias(c) for c in ("default_lat", "default_lon")]
+    named = rows.groupBy("kmz_url", F.col("p.name").alias("name")).agg(
+        F.max_by("p.lat", "pos").alias("lat"), F.max_by("p.lon", "pos").alias("lon"), *defaults
+    )
+    point = F.when(F.col("name").isNotNull(), F.struct("name", F.struct("lat", "lon").alias("at")))
+    return named.groupBy("kmz_url").agg(F.map_from_entries(F.collect_list(point)).alias("points"), *defaults)
+
+
 def placemarks(documents: DataFrame, key: str = "page_url", kml_col: str = "kml") -> DataFrame:
     """Rows of (key, name, lat, lon); of a repeated name the last point counts.
 
@@ -79,11 +103,7 @@ def default_points(documents: DataFrame, key: str = "page_url", kml_col: str = "
     coordinate of any geometry in it.
     """
     kml = F.col("_kml")
-    first_tuple = f"^[{BLANK_CLASS}]*([^{BLANK_CLASS}]+)"
-    texts = F.regexp_extract_all(kml, F.lit(_COORDINATES), F.lit(1))
-    anywhere = F.filter(
-        F.transform(texts, lambda t: _lat_lon(F.regexp_extract(t, first_tuple, 1))), lambda p: p.isNotNull()
-    )
+    anywhere = _coordinates(kml)
     points = F.transform(_points(kml), lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
     found = compute_once(
         _readable(documents, key, kml_col),
@@ -133,41 +153,31 @@ def page_tables(
             fields.withColumns({"latitude": nothing, "longitude": nothing}),
             photos.withColumns({"latitude": nothing, "longitude": nothing}),
         )
-    owned = page_attachments(pages).join(documents, "kmz_url")
-    defaults = default_points(owned)
-    days = lookup_join(
-        fields, defaults.select(F.col("page_url").alias("url"), F.col("default_lat").alias("latitude"),
-                                F.col("default_lon").alias("longitude")), "url", spread,
-    )
-    return days, locate_photos(photos, placemarks(owned), defaults, spread)
+    default = document_points(documents).select(
+        "kmz_url", F.col("default_lat").alias("latitude"), F.col("default_lon").alias("longitude")
+    )
+    days = lookup_join(fields, default, "kmz_url", spread).select(*fields.columns, "latitude", "longitude")
+    return days, nested_records(pages, documents, spread).select(F.inline("photos"))
 
 
 def nested_records(pages: DataFrame, documents: DataFrame, spread: int = 1) -> DataFrame:
     """One record per page with its located photos as an array of structs, in page order.
 
-    The array is made within the page's row; only the points of a page, one row
-    per page, are joined to it.
+    The array is made within the page's row; one row per document, with its points as a
+    map, is joined to it.
     """
     records = page_fields(pages, with_photos=True).drop("photo_count")
-    owned = page_attachments(pages).join(documents, "kmz_url")
-    points = (
-        placemarks(owned)
-        .groupBy(F.col("page_url").alias("url"))
-        .agg(F.collect_list(F.struct("name", "lat", "lon")).alias("_points"))
-    )
-    defaults = default_points(owned).select(
-        F.col("page_url").alias("url"), F.col("default_lat").alias("latitude"), F.col("default_lon").alias("longitude")
+    points = document_points(documents).select(
+        "kmz_url", F.col("points").alias("_points"), F.col("default_lat").alias("latitude"), F.col("default_lon").alias("longitude")
     )
-    located = lookup_join(lookup_join(records, defaults, "url", spread), points, "url", spread)
+    located = lookup_join(records, points, "kmz_url", spread).select(*records.columns, "latitude", "longitude", "_points")
     keyed = F.transform("photos", lambda p: F.struct(p.alias("p"), location_key(p.photo_url).alias("key")))
     default = F.when(
         F.col("latitude").isNotNull(), F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
     )
 
     def at(key: Column) -> Column:
-        own = F.filter("_points", lambda m: m["name"] == key)
-        own = F.transform(own, lambda m: F.struct(m["lat"].alias("lat"), m["lon"].alias("lon")))
-        return F.coalesce(F.try_element_at(own, F.lit(1)), default)
+        return F.coalesce(F.try_element_at("_points", key), default)
 
     placed = F.transform(keyed, lambda r: F.struct(r["p"].alias("p"), at(r["key"]).alias("at")))
     names = [f.name for f in records.schema["photos"].dataType.elementType.fields]

@@ -139,3 +139,33 @@ def test_page_tables_and_nested_form(spark):
 
     without, lonely = pm.page_tables(page(spark, html))
     assert [r.latitude for r in lonely.collect()] == [None, None] and without.first().photo_count == 2
+
+
+def captions(spark, html):
+    rows = p.photo_records(page(spark, html)).sort("index_on_page").collect()
+    return [(r.full_caption, [s.latin_name for s in r.species]) for r in rows]
+
+
+PHOTO = "<a href='/pictures/archives/2020/K1/jpeg/{}b.jpg'></a>"
+
+
+def test_caption_comes_from_the_element_of_the_link(spark):
+    cell = f"<table><tr><td>{PHOTO.format(1)}<p>Wax cap (<a href=../en/w.htm>Hygrocybe</a>)</p></td><td>other</td></tr></table>"
+    assert captions(spark, cell) == [("Wax cap ( Hygrocybe )", ["Hygrocybe"])]
+    spans = f"<p><span>{PHOTO.format(1)} one <a href=en/a.htm>Aa</a></span> and <span>{PHOTO.format(2)} two <a href=en/b.htm>Bb</a></span></p>"
+    assert captions(spark, spans) == [("one Aa", ["Aa"]), ("two Bb", ["Bb"])]
+    loose = f"{PHOTO.format(1)}<br>no element <i>around</i>"
+    assert captions(spark, loose) == [("no element around", [])]
+    broken = f"</div><p>x<p>{PHOTO.format(1)} y</b><img> z"
+    assert captions(spark, broken) == [("y z", [])]
+
+
+def test_many_photos_in_one_element_take_linear_time(spark):
+    import time
+
+    html = "<td>" + "".join(f"{PHOTO.format(i)} <a href=en/s{i}.htm>Sp {i}</a>" for i in range(400)) + "</td>"
+    captions(spark, html)
+    began = time.time()
+    found = captions(spark, html)
+    assert len(found) == 400 and len(found[0][1]) == 400
+    assert time.time() - began < 8
