@@ -40,7 +40,7 @@ from fieldtally.llm.common import WordHashes, gram_hashes, list_array, pieces, s
 LENGTH, SEED = 13, 7
 BATCH_ROWS, BUCKET_BYTES = 2000, 8 << 20
 NO_ID = (1 << 63) - 1
-MARK, ASK = 0, 1
+MARK, ASK, TELL = 0, 1, 2
 
 
 def anchors(grams: np.ndarray, width: int) -> np.ndarray:
@@ -129,7 +129,8 @@ def lists_by_doc(doc: np.ndarray, context: np.ndarray, kind: int) -> pa.Table:
 
 
 def solved(bucket: pa.Table) -> pa.Table:
-    """doc, kind, contexts: for each document those that go (MARK) and those whose windows are asked for (ASK)."""
+    """doc, kind, contexts of each document: those that go (MARK), those whose windows may go or
+    make others go (ASK), and those that may only make others go, as no smaller document has the anchor (TELL)."""
     context = bucket.column("contexts").combine_chunks().flatten().to_numpy()
     doc = bucket.column("docs").combine_chunks().flatten().to_numpy()
     if bucket.column("bucket")[0].as_py() < 0:
@@ -144,9 +145,10 @@ def solved(bucket: pa.Table) -> pa.Table:
     goes = doc > least
     number = np.cumsum(new_anchor[group]) - 1  # of the anchor, for each context
     several = np.bincount(number)[number] > 1
-    asked = group[several]
+    smallest = np.minimum.reduceat(doc, np.flatnonzero(new_anchor))[number] == doc[group]
+    ask, tell = group[several & ~smallest], group[several & smallest]
     marks = lists_by_doc(doc[goes], context[goes], MARK)
-    return pa.concat_tables([marks, lists_by_doc(doc[asked], context[asked], ASK)])
+    return pa.concat_tables([marks, lists_by_doc(doc[ask], context[ask], ASK), lists_by_doc(doc[tell], context[tell], TELL)])
 
 
 def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -166,7 +168,8 @@ def outcome(raw: list[bytes], gone: np.ndarray) -> tuple[int, int, str]:
 
 
 def extended(documents: DataFrame, lists: DataFrame) -> DataFrame:
-    """Each document with its result, or, if windows of it are in question, with its text and those windows."""
+    """Each document with its result, or, if windows of it are in question, with its text and what goes already; and
+    the windows it was asked for."""
     joined = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
         "doc", F.coalesce("doc_id", F.lit(NO_ID))
     ).join(lists, "doc", "left")
@@ -175,23 +178,24 @@ def extended(documents: DataFrame, lists: DataFrame) -> DataFrame:
         hashes = WordHashes()
         for batch in pieces(batches):
             rows = []
-            marks, asks = batch.column("marks").to_pylist(), batch.column("asks").to_pylist()
-            for doc, text, mark, ask in zip(batch.column("doc_id").to_pylist(), texts_of(batch), marks, asks):
+            lists = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "marks", "asks", "tells")))
+            for (doc, mark, ask, tell), text in zip(lists, texts_of(batch)):
                 raw = text.encode().split()
-                if not mark and not ask:
+                if not mark and not ask and not tell:
                     rows.append((doc, len(raw), 0, b" ".join(raw), None, None))
                     continue
                 words = hashes.of(raw)
                 _, context, first, last = stretches(words)
                 known = context.view(np.int64)
                 goes = np.isin(known, np.array(mark or [], np.int64))
-                asked = np.isin(known, np.array(ask or [], np.int64)) & ~goes
-                gone = spread(first[goes], last[goes])
+                asked = np.isin(known, np.array([*(ask or []), *(tell or [])], np.int64)) & ~goes
+                gone, windows = spread(first[goes], last[goes]), None
                 if asked.any():
-                    windows = gram_hashes(words, LENGTH).view(np.int64)[spread(first[asked], last[asked])]
-                    rows.append((doc, len(raw), 0, text.encode(), gone.tolist(), np.unique(windows).tolist()))
+                    windows = np.unique(gram_hashes(words, LENGTH).view(np.int64)[spread(first[asked], last[asked])]).tolist()
+                if ask:
+                    rows.append((doc, len(raw), 0, text.encode(), gone.tolist(), windows))
                 else:
-                    rows.append((doc, *outcome(raw, gone), None, None))
+                    rows.append((doc, *outcome(raw, gone), None, windows))
             columns = list(zip(*rows)) or [()] * 6
             columns[3] = [hashlib.sha256(k).hexdigest() if g is None else k.decode() for k, g in zip(columns[3], columns[4])]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -200,7 +204,7 @@ def extended(documents: DataFrame, lists: DataFrame) -> DataFrame:
             )
 
     schema = "doc_id long, n_words long, n_removed long, result string, gone array<long>, windows array<long>"
-    return joined.select("doc_id", "text", "marks", "asks").mapInArrow(run, schema)
+    return joined.select("doc_id", "text", "marks", "asks", "tells").mapInArrow(run, schema)
 
 
 def finished(pending: DataFrame) -> DataFrame:
@@ -231,13 +235,14 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     lists = dealt(documents, buckets).groupBy("bucket").applyInArrow(solved, "doc long, kind byte, contexts array<long>")
     of_kind = lambda k: F.flatten(F.collect_list(F.when(F.col("kind") == k, F.col("contexts"))))
-    by_doc = lists.groupBy("doc").agg(of_kind(MARK).alias("marks"), of_kind(ASK).alias("asks"))
+    by_doc = lists.groupBy("doc").agg(of_kind(MARK).alias("marks"), of_kind(ASK).alias("asks"), of_kind(TELL).alias("tells"))
     rows = stored(extended(documents, by_doc), "repeats")
-    pending = rows.filter(F.col("windows").isNotNull())
-    pending = pending.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID)))
+    keyed = rows.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID)))
+    pending = keyed.filter(F.col("gone").isNotNull())
+    told = keyed.select("doc", F.explode("windows").alias("window"))
+    least = told.groupBy("window").agg(F.min("doc").alias("least"))
     asked = pending.select("doc", F.explode("windows").alias("window"))
-    least = asked.groupBy("window").agg(F.min("doc").alias("least"))
     more = asked.join(least, "window").filter("doc > least").groupBy("doc").agg(F.collect_list("window").alias("more"))
-    done = rows.filter(F.col("windows").isNull()).select("doc_id", "n_words", "n_removed", F.col("result").alias("kept_sha256"))
+    done = rows.filter(F.col("gone").isNull()).select("doc_id", "n_words", "n_removed", F.col("result").alias("kept_sha256"))
     rest = pending.join(more, "doc", "left").select("doc_id", "result", "gone", "more")
     return done.unionAll(finished(rest))
