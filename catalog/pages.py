@@ -24,11 +24,27 @@ def page_links(spark, sf_dir):
     return p.page_links(load(spark, sf_dir, "pages", costly=True), "page_id").drop("url")
 
 
-@registry.add("SELECT page_id, NULL::VARCHAR AS weather_summary, NULL::VARCHAR AS kmz_url, 0 AS names FROM pages")
+# Every other raw page gets a weather sentence, two names and an attachment where its article ends.
+MARKED_SQL = """marked AS (SELECT page_id, url, page_id % 2 = 0 AND contains(html, '</article>') AS has FROM pages)"""
+
+
+@registry.add(f"""WITH {MARKED_SQL}
+SELECT page_id, CASE WHEN has THEN 'Weather was mild & dry on day ' || page_id || ', with hardly any wind up to the evening' END AS weather_summary,
+       CASE WHEN has THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || '/loc/date-loc' || page_id || '.htm' END AS kmz_url,
+       CASE WHEN has THEN 'Rosa alba, sp. ' || page_id END AS identified_species_text, CASE WHEN has THEN 2 ELSE 0 END AS names
+FROM marked""")
 def page_fields_raw(spark, sf_dir):
-    # whole raw pages, none of which holds a weather sentence or an attachment
-    fields = p.page_fields(load(spark, sf_dir, "pages", costly=True))
-    return fields.select("page_id", "weather_summary", "kmz_url", F.size("identified_species").alias("names"))
+    """Whole raw pages."""
+    marker = F.format_string(
+        "<p>Weather was mild &amp; dry on day %d, with hardly any wind up to the evening</p><p><b>Identified species:</b>"
+        " <i>Rosa</i> alba, sp. %d<br>more</p><p><a href=/loc/date-loc%d.htm>map</a> <a href=b.kmz>b</a></p></article>",
+        "page_id", "page_id", "page_id",
+    )
+    html = F.when(F.col("page_id") % 2 == 0, F.replace("html", F.lit("</article>"), marker)).otherwise(F.col("html"))
+    fields = p.page_fields(load(spark, sf_dir, "pages", costly=True).withColumn("html", html))
+    return fields.select(
+        "page_id", "weather_summary", "kmz_url", "identified_species_text", F.size("identified_species").alias("names")
+    )
 
 
 # ---- index pages: one per order, linking to its date and to the next one ----

@@ -96,8 +96,28 @@ def rule_filter_lists(spark, sf_dir):
     return rows.select("photo_url", "page_url", F.array_join(RULES.keep_names(F.col("species_list")), ";").alias("kept"))
 
 
-@registry.add("SELECT p_partkey, p_name FROM part")
+DEFAULT = RuleSet.from_yaml()
+
+
+def sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+# Names made of the words of the default rules: kept species, excluded genera, and other
+# names, some of them with a keyword in the caption.
+@registry.add(f"""WITH named AS (
+  SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN {sql_list(DEFAULT.include_species)}[p_partkey % {len(DEFAULT.include_species)} + 1]
+                         WHEN p_partkey % 3 = 0 THEN p_name
+                         ELSE {sql_list(DEFAULT.exclude_genera)}[p_partkey % {len(DEFAULT.exclude_genera)} + 1] || ' ' || p_name END AS name
+  FROM part)
+SELECT p_partkey, name FROM named WHERE p_partkey % 7 = 0 OR (p_partkey % 3 = 0 AND p_partkey % 5 <> 0)""")
 def rule_filter_default_rules(spark, sf_dir):
-    # the default rules name nothing that occurs here, so all rows stay
-    rows = load(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return t.filter_by_rules(rows, RuleSet.from_yaml(), "p_name", None)
+    def word(values):
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("p_partkey") % len(values) + 1).cast("int"))
+
+    key = F.col("p_partkey")
+    genus = F.concat_ws(" ", word(DEFAULT.exclude_genera), "p_name")
+    name = F.when(key % 7 == 0, word(DEFAULT.include_species)).when(key % 3 == 0, F.col("p_name")).otherwise(genus)
+    caption = F.when(key % 5 == 0, F.concat(F.lit("Seen: "), F.upper(word(DEFAULT.exclude_caption_keywords)), F.lit("!")))
+    rows = load(spark, sf_dir, "part").select("p_partkey", name.alias("name"), caption.alias("caption"))
+    return t.filter_by_rules(rows, DEFAULT, "name", "caption").select("p_partkey", "name")
