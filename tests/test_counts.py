@@ -88,3 +88,11 @@ def test_bad_targets(spark):
         fit_poisson(df.where("x > 9"), ["x"], "y")
     with pytest.raises(ValueError, match="zero"):
         fit_poisson(df.selectExpr("x", "0 as y"), ["x"], "y", prior_sd=None)
+
+
+def test_zip_without_zeros_is_a_poisson_fit(spark):
+    df = spark.createDataFrame([(float(i % 3), 1 + i % 4) for i in range(60)], "x double, count long")
+    plain, inflated = fit_poisson(df, ["x"], prior_sd=None), fit_zip(df, ["x"], prior_sd=None)
+    assert inflated.psi == 1.0 and inflated.alpha == plain.alpha and inflated.betas == plain.betas
+    rows = {r.parameter: r for r in inflated.summary(spark).collect()}
+    assert (rows["psi"]["mean"], rows["psi"]["sd"]) == (1.0, 0.0)

@@ -287,3 +287,29 @@ def test_lookup_join_keeps_every_row(spark, spread):
     out = lookup_join(facts, lookup, "k", spread)
     assert out.count() == 500 and out.columns == ["k", "id", "same", "v"]
     assert out.where("v = 'hot'").count() == 167 and out.where("v = 'seven'").count() == 1
+
+
+def test_points_on_no_globe_have_no_cell(spark):
+    values = [(95.0, 0.0), (0.0, 400.0), (float("inf"), 0.0), (0.0, float("-inf")), (float("nan"), 0.0), (None, 0.0)]
+    df = spark.createDataFrame([*values, (89.9, 0.0), (85.0, 180.0)], "lat double, lon double")
+    cells_of = [r[0] for r in df.select(geo.cell_id(F.col("lat"), F.col("lon"), 4)).collect()]
+    assert cells_of[:6] == [None] * 6 and None not in cells_of[6:]
+
+
+def test_every_sentence_of_a_date_is_kept(spark):
+    say = "Temperature {}.0° x min. 1°, max. 9°. Precipitation 0.0 mm".format
+    df = spark.createDataFrame([(date(2020, 1, 1), "a", 1, say(5)), (date(2020, 1, 1), "b", 2, say(7)), (date(2020, 1, 2), "c", 3, None)],
+                               "date date, url string, photo_count long, weather_summary string")
+    own = daily.with_weather_metrics(df, keep=("url",))
+    assert {(r.url, r.temp) for r in own.collect()} == {("a", 5.0), ("b", 7.0), ("c", None)}
+    merged = daily.join_weather_metrics(df.select("date", "url"), own)
+    assert sorted((r.url, r.temp) for r in merged.collect() if r.temp) == [("a", 5.0), ("a", 7.0), ("b", 5.0), ("b", 7.0)]
+    assert merged.count() == 5
+
+
+def test_payload_is_parsed_once(spark):
+    one = json.dumps({"daily": {k: ["2020-01-01"] if k == "time" else [1.0] for k in pl.KEYS}})
+    df = spark.createDataFrame([(one,)], "payload string")
+    plan = pl.unpivot_daily(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and "SortAggregate" not in plan
+    assert pl.unpivot_daily(df).count() == 1
