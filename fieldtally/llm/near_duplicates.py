@@ -205,14 +205,14 @@ def joined(documents: DataFrame) -> DataFrame:
 
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The rows that stand for their groups, with all their columns; of rows equal in doc_id and text one stays."""
-    kept = grouped(documents).select(F.col("group_key").alias("_key")).distinct()
-    keyed = documents.withColumn("_key", row_key(documents))
+    kept = grouped(documents).select(F.col("group_key").alias("key")).distinct()
+    keyed = documents.select(row_key(documents).alias("key"), F.struct("*").alias("row"))
 
     def first_in_task(batches):
         seen: set[int] = set()
         for batch in pieces(batches):
             new = []
-            for key in batch.column("_key").to_pylist():
+            for key in batch.column("key").to_pylist():
                 mark = xxhash.xxh3_64_intdigest(key)
                 new.append(mark not in seen)
                 seen.add(mark)
@@ -220,4 +220,4 @@ def one_of_each(documents: DataFrame) -> DataFrame:
 
     # copies of a row within a task go before the shuffle
     once = keyed.mapInArrow(first_in_task, keyed.schema)
-    return once.join(kept, "_key").dropDuplicates(["_key"]).select(*[f"`{c}`" for c in documents.columns])
+    return once.join(kept, "key").dropDuplicates(["key"]).select("row.*")

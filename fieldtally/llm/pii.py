@@ -250,8 +250,8 @@ def sanitised(documents: DataFrame) -> DataFrame:
     terms = term_spans(documents, found)
     spans = found.select("key", "base").join(terms, "key", "left")
     spans = spans.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,removed:boolean>>")))
-    spans = spans.select("key", plain(F.col("base"), F.col("terms")).alias("_spans")).filter(F.size("_spans") > 0)
-    spans = spans.dropDuplicates(["key"]).withColumnRenamed("key", "_key")
-    joined = documents.withColumn("_key", row_key(documents)).join(spans, "_key", "left")
-    text = F.when(F.col("_spans").isNotNull(), replaced(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    return joined.withColumn("text", text).select(*[f"`{c}`" for c in documents.columns])
+    spans = spans.select("key", plain(F.col("base"), F.col("terms")).alias("spans")).filter(F.size("spans") > 0)
+    spans = spans.dropDuplicates(["key"])
+    joined = documents.select(row_key(documents).alias("key"), F.struct("*").alias("row")).join(spans, "key", "left")
+    text = F.when(F.col("spans").isNotNull(), replaced(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
+    return joined.select(*[(text if c == "text" else F.col("row")[c]).alias(c) for c in documents.columns])
