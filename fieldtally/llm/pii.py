@@ -4,15 +4,16 @@ Base spans are what fixed patterns and checks find: emails, IPv4 addresses, card
 numbers, phone numbers. Their values are the protected entities. How strongly a term
 reveals an entity is estimated from co-occurrence in the whole corpus: with
 n(t, e) the occurrences of term t within ``WINDOW`` words of a mention of e,
-n(t) all its occurrences and N those of all terms,
+n(t) all its occurrences and N those of all terms, those within emails left out,
 
     disclosure = PMI(t; e) / IC(e) = 1 + log2(n(t, e) / n(t)) / IC(e)
 
 where IC(e) = -log2(share of all terms that stand near e). It is 1 if t occurs near
 e alone and 0 if it says nothing about e. Terms near a mention, outside the base
 spans, with a disclosure of ``DISCLOSES`` or more become spans of kind ``term``.
-The evidence must come from ``SUPPORT`` different left and ``SUPPORT``
-different right neighbours, so copies of one passage are no evidence.
+The evidence must come from ``SUPPORT`` different contexts, the words on both sides of
+the mention, so copies of one passage are no evidence. Function words, which stand near anything,
+need ``SUPPORT`` different left and right neighbours as well.
 Sanitised texts have base spans and such terms replaced by their kind; terms that
 reveal (nearly) everything (``REMOVES``) are removed.
 
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.llm.common import row_key, stored
+from fieldtally.llm.html_text import STOP_WORDS
 
 WINDOW, SUPPORT, DISCLOSES, REMOVES = 8, 3, 0.9, 0.99
 
@@ -41,6 +43,8 @@ PATTERNS = {
 }
 KINDS = list(PATTERNS)
 TERM = r"\p{L}[\p{L}\p{M}'’]*+"
+#: Emails before terms, as the words within an email are protected with it and are no terms.
+TOKEN = rf"{PATTERNS['email']}|{TERM}"
 
 SPAN = "struct<start:int,kind:int,end:int,value:string,before:string,after:string>"
 
@@ -122,15 +126,17 @@ def base(documents: DataFrame) -> DataFrame:
 
 
 def nearby(found: DataFrame) -> DataFrame:
-    """A row for each term near a mention: key, entity, term, start, end, left and right neighbour."""
+    """A row for each term near an entity: key, entity, term, common (a function word), start, end, and, of one mention that
+    it is near, the context and its neighbours left and right."""
     mention = found.select("key", "base", F.explode("base").alias("m"))
+    words = F.regexp_replace(F.lower(F.concat_ws(" ", "m.before", "m.after")), r"[^\p{L}\p{M}]+", " ")
     sides = F.array(
         F.struct((F.col("m.start") - F.length("m.before")).alias("at"), F.col("m.before").alias("words")),
         F.struct(F.col("m.end").alias("at"), F.col("m.after").alias("words")),
     )
-    side = mention.select("key", "base", entity(F.col("m")).alias("entity"), F.explode(sides).alias("s"))
+    side = mention.select("key", "base", entity(F.col("m")).alias("entity"), F.xxhash64(words).alias("context"), F.explode(sides).alias("s"))
     terms = side.select(
-        "key", "base", "entity", F.col("s.at").alias("at"),
+        "key", "base", "entity", "context", F.col("s.at").alias("at"),
         F.regexp_extract_all("s.words", F.lit(TERM), F.lit(0)).alias("terms"),
         F.split("s.words", TERM, -1).alias("gaps"),
     )
@@ -141,30 +147,34 @@ def nearby(found: DataFrame) -> DataFrame:
     ) + F.aggregate(F.slice("terms", F.lit(1), F.col("i")), F.lit(0), lambda a, t: a + F.length(t))
     start = (F.col("at") + length).alias("start")
     rows = exploded.select(
-        "key", "base", "entity", F.xxhash64(F.lower("word")).alias("term"), start,
+        "key", "base", "entity", "context", F.xxhash64(F.lower("word")).alias("term"), start,
+        F.lower("word").isin(*sorted(STOP_WORDS)).alias("common"),
         (F.col("at") + length + F.length("word")).alias("end"),
         F.xxhash64(F.lower(F.get("terms", F.col("i") - 1))).alias("left"),
         F.xxhash64(F.lower(F.get("terms", F.col("i") + 1))).alias("right"),
     )
     outside = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    return rows.filter(outside).drop("base").distinct()
+    seen = F.min(F.struct("context", "left", "right")).alias("seen")
+    rows = rows.filter(outside).groupBy("key", "entity", "term", "common", "start", "end").agg(seen)
+    return rows.select("key", "entity", "term", "common", "start", "end", "seen.*")
 
 
 def term_counts(documents: DataFrame) -> DataFrame:
-    """term, n: occurrences of every term in all texts, combined on the map side."""
-    words = documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("word"))
-    return words.groupBy(F.xxhash64("word").alias("term")).agg(F.count("*").alias("n"))
+    """term, n: occurrences of every term in all texts outside emails, combined on the map side."""
+    words = documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))).alias("word"))
+    return words.filter(~F.col("word").contains("@")).groupBy(F.xxhash64("word").alias("term")).agg(F.count("*").alias("n"))
 
 
 def disclosing(documents: DataFrame, near: DataFrame) -> DataFrame:
     """entity, term, disclosure of the pairs over the threshold."""
     counts = stored(term_counts(documents), "term-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    pairs = near.groupBy("entity", "term", "left", "right").agg(F.count("*").alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(
-        F.sum("n").alias("n_both"), F.countDistinct("left").alias("lefts"), F.countDistinct("right").alias("rights")
+    pairs = near.groupBy("entity", "term", "common", "context", "left", "right").agg(F.count("*").alias("n"))
+    pairs = pairs.groupBy("entity", "term", "common").agg(
+        F.sum("n").alias("n_both"),
+        *[F.countDistinct(c).alias(f"{c}s") for c in ("context", "left", "right")],
     )
-    pairs = pairs.filter(F.least("lefts", "rights") >= SUPPORT)
+    pairs = pairs.filter((F.col("contexts") >= SUPPORT) & (~F.col("common") | (F.least("lefts", "rights") >= SUPPORT)))
     entities = near.groupBy("entity").agg(F.count("*").alias("n_entity"))
     risk = pairs.join(counts, "term").join(entities, "entity")
     information = F.log2(F.greatest(F.lit(float(total)) / F.col("n_entity"), F.lit(2.0)))

@@ -105,3 +105,20 @@ def test_sanitised_text(documents_of, revealing):
     assert (7, None) in got and (8, "[EMAIL], then [PHONE]") in got and (0, "ask  today by [EMAIL] of the ask report") in got
     assert out.count() == df.count()
     assert {r.text for r in out.collect() if r.doc_id >= 100} == {t for d, t in revealing if d >= 100}
+
+
+def terms_in(text, spans):
+    return [text[int(a) : int(b)] for k, a, b in (s.split(":") for s in spans.split(",") if s) if k == "term"]
+
+
+def test_names_beside_the_mention(documents_of):
+    lead, tail = ["ask", "tell", "write", "call", "please meet"], ["today", "soon", "now", "again", "later"]
+    plain = [(100 + i, " ".join([*lead, *tail, "for the report on the rain and no more of it"])) for i in range(60)]
+    near = [(i, f"{lead[i]} Jane Doe jane@x.example Quix {tail[i]} for the report") for i in range(5)]
+    first = [(10 + i, f"Max Roe <roe@y.example> {tail[i]} for the report on rain") for i in range(5)]  # nothing before it
+    copies = [(20 + i, "only Quixley Poe here wrote r@corp.example of rain") for i in range(9)]
+    texts = dict(plain + near + first + copies)
+    got = {r.doc_id: terms_in(texts[r.doc_id], r.spans) for r in pii.report(documents_of(list(texts.items()))).collect()}
+    assert all(got[i] == ["Jane", "Doe", "Quix"] for i in range(5))
+    assert all(got[10 + i] == ["Max", "Roe"] for i in range(5))
+    assert not any(got[d] for d in got if d >= 20)
