@@ -9,29 +9,35 @@ n(t) all its occurrences and N those of all terms, those within emails left out,
     disclosure = PMI(t; e) / IC(e) = 1 + log2(n(t, e) / n(t)) / IC(e)
 
 where IC(e) = -log2(share of all terms that stand near e). It is 1 if t occurs near
-e alone and 0 if it says nothing about e. Terms near a mention, outside the base
-spans, with a disclosure of ``DISCLOSES`` or more become spans of kind ``term``.
+e alone and 0 if it says nothing about e. Every occurrence, in any text and outside the base
+spans, of a term with a disclosure of ``DISCLOSES`` or more for some entity becomes a span of kind ``term``.
 The evidence must come from ``SUPPORT`` different contexts, the words on both sides of
 the mention, so copies of one passage are no evidence. Function words, which stand near anything,
 need ``SUPPORT`` different left and right neighbours as well.
 Sanitised texts have base spans and such terms replaced by their kind; terms that
 reveal (nearly) everything (``REMOVES``) are removed.
 
-A mention gives rows for the words near it only, counts are combined on the map side, and
-all of it is DataFrame expressions. Null text counts as empty: no spans. Rows
+A mention gives rows for the words near it only, counts are combined on the map side, the
+occurrences that a table of ``SLOTS`` marks can rule out are not shuffled, and all of it is DataFrame expressions. Null text counts as empty: no spans. Rows
 with equal doc_id and text get equal spans. An empty table gives an empty result.
 Positions are code points, the end exclusive.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.llm.common import row_key, stored
 from fieldtally.llm.html_text import STOP_WORDS
+from fieldtally.operators.columns import compute_once
 
 WINDOW, SUPPORT, DISCLOSES, REMOVES = 8, 3, 0.9, 0.99
+SLOTS = 1 << 19  # marks of disclosing terms that tasks get, a byte each
+STEP = 256  # words between places counted from the start of a text
 
 #: Kinds in order. The patterns are written without backtracking and start where a run starts or the last match ended,
 #: so they take linear time; they find what the plain patterns find.
@@ -46,6 +52,7 @@ TERM = r"\p{L}[\p{L}\p{M}'’]*+"
 #: Emails before terms, as the words within an email are protected with it and are no terms.
 TOKEN = rf"{PATTERNS['email']}|{TERM}"
 
+TERMS = "array<struct<start:int,end:int,removed:boolean>>"
 SPAN = "struct<start:int,kind:int,end:int,value:string,before:string,after:string>"
 
 
@@ -182,21 +189,75 @@ def disclosing(documents: DataFrame, near: DataFrame) -> DataFrame:
     return risk.select("entity", "term", disclosure.alias("disclosure")).filter(F.col("disclosure") >= DISCLOSES)
 
 
+def slots_of(terms: DataFrame) -> bytes | None:
+    """A mark for each hash slot that holds one of the terms: SLOTS bytes, however many terms there are. None without terms."""
+    slot = F.pmod("term", F.lit(SLOTS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+    words = terms.groupBy(F.floor(slot / 64).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits")).collect()
+    marks = np.zeros(SLOTS // 64, "<i8")
+    for at, bits in words:
+        marks[at] = bits
+    return np.unpackbits(marks.view(np.uint8), bitorder="little").tobytes() if words else None
+
+
+def occurrences(documents: DataFrame, marked: Callable[[Column], Column]) -> DataFrame:
+    """key, term, start, end of the terms outside emails whose hash is marked, in all texts."""
+    text = F.col("text")
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    rows = compute_once(documents.select(row_key(documents).alias("key"), "text").filter("text is not null"), {"tokens": tokens})
+    hits = F.transform(
+        "tokens",
+        lambda t, i: F.struct(
+            i.alias("i"), F.length(t).alias("size"), F.xxhash64(F.lower(t)).alias("term"), t.contains("@").alias("email")
+        ),
+    )
+    rows = compute_once(rows, {"hits": F.filter(hits, lambda h: marked(h["term"]) & ~h["email"])}).filter(F.size("hits") > 0)
+    rows = compute_once(rows, {"gaps": F.split(text, TOKEN, -1)})
+    lengths = F.transform("tokens", lambda t, i: F.length(F.get("gaps", i)) + F.length(t))
+    rows = compute_once(rows.drop("text"), {"lengths": lengths}).drop("tokens", "gaps")
+
+    def total(numbers: str, first: Column, count: Column) -> Column:
+        return F.aggregate(F.slice(numbers, first + 1, count), F.lit(0), lambda a, n: a + n)
+
+    # lengths are added up in steps, so that a place takes few additions
+    steps = F.sequence(F.lit(0), F.floor((F.size("lengths") - 1) / STEP).cast("int"))
+    rows = compute_once(rows, {"sums": F.transform(steps, lambda s: total("lengths", s * STEP, F.lit(STEP)))})
+    rows = compute_once(rows, {"heads": F.transform("sums", lambda _, s: total("sums", F.lit(0), s))})
+
+    def placed(hit: Column) -> Column:
+        step, rest = F.floor(hit["i"] / STEP).cast("int"), hit["i"] % STEP
+        end = F.get("heads", step) + total("lengths", step * STEP, rest + 1)
+        return F.struct((end - hit["size"]).alias("start"), end.alias("end"), hit["term"].alias("term"))
+
+    return compute_once(rows, {"places": F.transform("hits", placed)}).select("key", F.inline("places"))
+
+
 def term_spans(documents: DataFrame, found: DataFrame) -> DataFrame:
     """key and ``terms``: spans (start, end, removed) of the disclosing terms of each text that has any."""
     near = stored(nearby(found), "near-terms")
-    risky = disclosing(documents, near)
-    hits = near.join(risky, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("disclosure").alias("d"))
-    span = F.struct("start", "end", (F.col("d") >= REMOVES).alias("removed"))
-    return hits.groupBy("key").agg(F.collect_list(span).alias("terms"))
+    risky = disclosing(documents, near).groupBy("term").agg((F.max("disclosure") >= REMOVES).alias("removed"))
+    risky = stored(risky, "disclosing-terms")
+    slots = slots_of(risky)
+    if slots is None:
+        return documents.sparkSession.createDataFrame([], f"key string, terms {TERMS}")
+    table = F.lit(bytearray(slots))
+    marked = lambda term: F.substring(table, F.pmod(term, F.lit(SLOTS)).cast("int") + 1, 1) == F.lit(bytearray(b"\1"))
+    hits = occurrences(documents, marked).join(risky, "term")
+    # rows equal in doc_id and text share a key, and their spans count once
+    return hits.groupBy("key").agg(F.collect_set(F.struct("start", "end", "removed")).alias("terms"))
+
+
+def with_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """The rows of ``found`` with ``terms``: spans of their disclosing terms that overlap no base span."""
+    outside = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"]))
+    joined = found.join(terms, "key", "left").withColumn("terms", F.coalesce("terms", F.array().cast(TERMS)))
+    return joined.withColumn("terms", F.filter("terms", outside))
 
 
 def all_spans(documents: DataFrame) -> DataFrame:
     """doc_id, ``base`` and ``terms`` of each row."""
     found = base(documents)
-    return found.join(term_spans(documents, found), "key", "left").select(
-        "doc_id", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,removed:boolean>>")).alias("terms")
-    )
+    return with_terms(found, term_spans(documents, found)).select("doc_id", "base", "terms")
 
 
 def written(spans: Column) -> Column:
@@ -257,9 +318,7 @@ def replaced(text: Column, spans: Column) -> Column:
 def sanitised(documents: DataFrame) -> DataFrame:
     """The rows with personal data and disclosing terms replaced in ``text``; other columns as they are."""
     found = base(documents)
-    terms = term_spans(documents, found)
-    spans = found.select("key", "base").join(terms, "key", "left")
-    spans = spans.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,removed:boolean>>")))
+    spans = with_terms(found.select("key", "base"), term_spans(documents, found))
     spans = spans.select("key", plain(F.col("base"), F.col("terms")).alias("spans")).filter(F.size("spans") > 0)
     spans = spans.dropDuplicates(["key"])
     joined = documents.select(row_key(documents).alias("key"), F.struct("*").alias("row")).join(spans, "key", "left")

@@ -122,3 +122,15 @@ def test_names_beside_the_mention(documents_of):
     assert all(got[i] == ["Jane", "Doe", "Quix"] for i in range(5))
     assert all(got[10 + i] == ["Max", "Roe"] for i in range(5))
     assert not any(got[d] for d in got if d >= 20)
+
+
+def test_terms_away_from_the_mention(documents_of, revealing):
+    far = "the rain on the hills and no more " * 200
+    more = [(200, f"é {far}Zorblatt of the report, ZORBLATT 1@zorblatt.example"), (None, "of zorblatt"), (None, "of zorblatt"), (201, far)]
+    rows = [*revealing, *[(300 + i, d[1]) for i, d in enumerate(revealing[:60] * 40)], *more]
+    df = documents_of(rows)
+    got = {r.doc_id: r.spans for r in pii.report(df).collect() if r.doc_id is None or r.doc_id in (200, 201)}
+    text = more[0][1]
+    assert terms_in(text, got[200]) == ["Zorblatt", "ZORBLATT"] and terms_in("of zorblatt", got[None]) == ["zorblatt"] and not got[201]
+    clean = [r.text for r in pii.sanitised(df).collect() if r.doc_id is None or r.doc_id == 200]
+    assert len(clean) == 3 and not any("zorblatt" in t.lower() for t in clean)
