@@ -9,7 +9,7 @@
    which is one edge a band, not all pairs. Connected components of these edges
    hold all candidate pairs.
 3. Components are divided by hash into tiles of about ``TILE`` classes, and each pair of tiles is one
-   group: texts meet in it and pairs are verified on their full sets. A group gives the
+   group by itself; components of one tile share groups. Texts meet in them and pairs are verified on their full sets. A group gives the
    number of links of each class and a spanning forest of its links, never the pairs. All
    pairs of a tile pair are verified, so pairs that share no band but whose component does count as well.
 
@@ -158,6 +158,19 @@ def find(parent: list[int], k: int) -> int:
     return k
 
 
+def meetings(placed: DataFrame, groups: int) -> DataFrame:
+    """The rows of ``placed`` once for each pair of tiles they meet in, with tile, low, high and group.
+
+    A pair of tiles of a larger component has group -1 and is told by the root, low and high. Components of one
+    tile are hashed into ``groups``."""
+    met = placed.withColumn("tile", F.pmod(F.xxhash64("same"), "tiles").cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    met = met.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
+    alone = F.col("tiles") == 1
+    group = F.when(alone, F.pmod(F.xxhash64("root"), F.lit(groups))).otherwise(-1)
+    return met.select("*", group.alias("group"), F.when(~alone, F.col("root")).alias("of")).drop("other", "tiles")
+
+
 def links_of(documents: DataFrame, rows: DataFrame) -> DataFrame:
     """same, n_links, forest: a row or more for each class that has links."""
     classes = rows.filter(F.col("bands").isNotNull()).groupBy("same").agg(F.first("bands").alias("bands"), F.min("key").alias("key"))
@@ -168,12 +181,9 @@ def links_of(documents: DataFrame, rows: DataFrame) -> DataFrame:
     # one text stands for each class; which one does not matter, as their sets are equal
     texts = documents.select(row_key(documents).alias("key"), "text")
     met = placed.join(texts, "key").dropDuplicates(["same"])
-    met = met.withColumn("tile", F.pmod(F.xxhash64("same"), "tiles").cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    met = met.select("root", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "same", "tile", "text")
-    groups = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-placed.count() // TILE))
-    met = met.withColumn("group", F.pmod(F.xxhash64("root", "low", "high"), F.lit(groups)))
-    return met.groupBy("group").applyInArrow(verified, "same string, n_links long, forest string")
+    met = meetings(met, max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-placed.count() // TILE)))
+    met = met.select("group", "of", "root", "low", "high", "same", "tile", "text")
+    return met.groupBy("group", "of", "low", "high").applyInArrow(verified, "same string, n_links long, forest string")
 
 
 LAST = (1 << 63) - 1

@@ -88,3 +88,18 @@ def test_bands_reach_their_recall():
         a, b = (np.concatenate([both, rng.integers(0, 2**63, 10).astype(np.uint64)]) for _ in range(2))  # similarity 0.8
         found += bool(np.any(nd.band_hashes(a) == nd.band_hashes(b)))
     assert found >= 0.97 * 300
+
+
+def test_a_group_holds_two_tiles_at_most(documents_of, monkeypatch):
+    import pyarrow as pa
+
+    def sizes(group):
+        return pa.table({"same": ["x"], "n_links": pa.array([group.num_rows], pa.int64()), "forest": [str(len(set(group.column("tile").to_pylist())))]})
+
+    monkeypatch.setattr(nd, "TILE", 16)
+    monkeypatch.setattr(nd, "verified", sizes)
+    words = [f"w{i}" for i in range(200)]
+    df = documents_of([(i, " ".join([*words, f"end{i}"])) for i in range(320)])
+    found = nd.links_of(df, nd.stored(nd.signatures(df), "signatures")).collect()
+    assert sum(r.n_links for r in found) == 320 * 20 and len(found) == 20 * 21 // 2
+    assert max(r.n_links for r in found) < 80 and {r.forest for r in found} == {"1", "2"}
