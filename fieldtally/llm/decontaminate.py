@@ -4,8 +4,8 @@
    the benchmark's vocabulary). A seed is a run of ``SEED`` words of an item
    whose expected number of chance occurrences in the corpus, its words taken
    as independent, is at most ``MAX_CHANCE``. Frequent copies of an item do not
-   make its seeds frequent in this sense. An item without such a run gives the
-   rarest quarter of its runs.
+   make its seeds frequent in this sense. Whatever the size of the corpus, the
+   rarest quarter of an item's runs are seeds as well, and the rarest of every ``SPREAD`` runs.
 2. The seeds are sent to the documents (at most ``BLOCK_SEEDS`` at a time; larger
    benchmarks take several passes over blocks of items) and matched there, so no
    text is shuffled and a hot passage costs each document its own hits only.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from fieldtally.llm.common import MULT, mix, pieces, texts_of
 
-SEED, MAX_CHANCE, BLOCK_SEEDS = 3, 0.01, 1_000_000
+SEED, MAX_CHANCE, SPREAD, BLOCK_SEEDS = 3, 0.01, 8, 1_000_000
 MIN_WORDS, MIN_SCORE, PENALTY = 8, 0.5, 0.6
 
 words_of = re.compile(r"\w+").findall
@@ -82,9 +82,9 @@ class Items:
         for k, words in enumerate(self.words):
             log = np.log(rate[words])
             chance = sum(log[i : len(log) - SEED + 1 + i] for i in range(SEED)) + np.log(max(total, 1))
-            rare = chance <= np.log(MAX_CHANCE)
-            if not rare.any():
-                rare = chance <= np.quantile(chance, 0.25)
+            rare = (chance <= np.log(MAX_CHANCE)) | (chance <= np.quantile(chance, 0.25))
+            for i in range(0, len(chance), SPREAD):
+                rare[i + int(chance[i : i + SPREAD].argmin())] = True
             at = np.flatnonzero(rare)
             found.append(codes(words)[at])
             item.append(np.full(len(at), k))

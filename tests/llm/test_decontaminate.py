@@ -86,3 +86,13 @@ def test_alignment_is_smith_waterman():
         a, b = ([rng.randrange(4) for _ in range(rng.randrange(1, 14))] for _ in range(2))
         score, _ = dc.align(np.array(a), np.array(b))
         assert abs(score - plain_alignment(a, b, dc.PENALTY)) < 1e-9
+
+
+def test_seeds_do_not_thin_out_with_the_corpus():
+    words = [f"w{i}" for i in range(40)]
+    counts = {w: 1 if i in (20, 21, 22) else 4_000_000 for i, w in enumerate(words)}
+    for total in (4_000_000, 4_000_000_000, 4_000_000_000_000):
+        items = dc.Items([(1, words)], counts, total)
+        assert set(range(5)) <= {p // 8 for p in items.place.tolist()} and len(items.place) >= 10
+        changed = [f"x{w}" if w in ("w20", "w21", "w22") else w for w in words]
+        assert [r[0] for r in dc.find(items, " ".join(changed))] == [1]
