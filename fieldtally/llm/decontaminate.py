@@ -10,10 +10,12 @@
    benchmarks take several passes over blocks of items) and matched there, so no
    text is shuffled and a hot passage costs each document its own hits only.
 3. Around each hit the item is aligned with the passage. The score is that of the
-   best local alignment (match 1, other word or gap -0.6) per word of the item.
+   best local alignment (match 1, other word or gap -0.6) per word of the item. It counts from
+   ``MIN_SCORE`` on, and a part of an item counts from ``PART`` words on with ``PART_SCORE`` per word of the passage.
 
-Words are runs of letters, digits and underscores in lower case. Items of fewer
-than ``MIN_WORDS`` words can't be told from chance and match nothing. Null and
+Words are runs of letters, digits and underscores in lower case; in scripts without spaces each
+character is a word. Items of fewer than ``MIN_WORDS`` words match where they stand whole and unchanged, those
+of fewer than ``SEED`` words, which any text may hold, match a text of nothing else. Null and
 empty texts match nothing. Repeated rows and items give a row each. Without items
 or documents the result is empty. Other columns are kept in ``clean`` only.
 """
@@ -32,8 +34,17 @@ from fieldtally.llm.common import MULT, mix, pieces, texts_of
 
 SEED, MAX_CHANCE, SPREAD, BLOCK_SEEDS = 3, 0.01, 8, 1_000_000
 MIN_WORDS, MIN_SCORE, PENALTY = 8, 0.5, 0.6
+PART, PART_SCORE = 20, 0.4
 
-words_of = re.compile(r"\w+").findall
+#: Thai to Tibetan, Myanmar, Khmer, kana, Han: scripts without spaces between words.
+UNSPACED = r"\u0e01-\u0e4e\u0e81-\u0eff\u0f40-\u0fbc\u1000-\u109f\u1780-\u17d3\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_unspaced = re.compile(f"[{UNSPACED}]").search
+_spaced_words = re.compile(r"\w+").findall
+_all_words = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+").findall
+
+
+def words_of(text: str) -> list[str]:
+    return _spaced_words(text) if text.isascii() or not _unspaced(text) else _all_words(text)
 
 
 def codes(ids: np.ndarray, n: int = SEED) -> np.ndarray:
@@ -78,8 +89,12 @@ class Items:
         self.ids = [i for i, _ in items]
         self.words = [np.array([self.number[w] for w in words], np.int64) for _, words in items]
         rate = np.array([max(counts.get(w, 0), 1) / max(total, 1) for w in self.number])
-        found, item, place = [], [], []
+        self.whole = defaultdict(list)
+        found, item, place = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for k, words in enumerate(self.words):
+            if len(words) < SEED:
+                self.whole[tuple(items[k][1])].append(k)
+                continue
             log = np.log(rate[words])
             chance = sum(log[i : len(log) - SEED + 1 + i] for i in range(SEED)) + np.log(max(total, 1))
             rare = (chance <= np.log(MAX_CHANCE)) | (chance <= np.quantile(chance, 0.25))
@@ -118,7 +133,7 @@ def find(items: Items, text: str) -> list[tuple[int, float, int, int, int]]:
     get = items.number.get
     ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
     if len(ids) < SEED:
-        return []
+        return [(items.ids[k], 1.0, 0, len(ids), 0) for k in items.whole.get(tuple(words), [])]
     known = ids >= 0
     at = np.flatnonzero(known[:-2] & known[1:-1] & known[2:])
     if not len(at):
@@ -132,6 +147,11 @@ def find(items: Items, text: str) -> list[tuple[int, float, int, int, int]]:
     out = []
     for k, starts in sorted(hits.items()):
         item = items.words[k]
+        if len(item) < MIN_WORDS:
+            at_all = [a for a in sorted(set(starts)) if a >= 0 and np.array_equal(ids[a : a + len(item)], item)]
+            if at_all:
+                out.append((items.ids[k], 1.0, at_all[0], at_all[0] + len(item), len(starts)))
+            continue
         slack = len(item) // 4 + 5
         best = (0.0, 0, 0)
         done = -1
@@ -145,9 +165,11 @@ def find(items: Items, text: str) -> list[tuple[int, float, int, int, int]]:
             if score > best[0] + 1e-9:
                 best = (score, lo, lo + end)
         score, lo, end = best
-        if score < MIN_SCORE * len(item):
+        if score < min(MIN_SCORE * len(item), PART_SCORE * PART):
             continue
         _, back = align(item[::-1], ids[lo:end][::-1])
+        if score < MIN_SCORE * len(item) and (back < PART or score < PART_SCORE * back):
+            continue
         out.append((items.ids[k], round(score / len(item), 4), end - back, end, len(starts)))
     return out
 
@@ -157,7 +179,7 @@ def blocks(documents: DataFrame, benchmark: DataFrame) -> list[Items]:
     items = []
     for item_id, text in benchmark.select(F.col("item_id").cast("long"), "text").sort("item_id", "text").toLocalIterator():
         words = words_of((text or "").lower())
-        if len(words) >= MIN_WORDS:
+        if words:
             items.append((item_id, words))
     if not items:
         return []

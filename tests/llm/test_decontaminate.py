@@ -96,3 +96,30 @@ def test_seeds_do_not_thin_out_with_the_corpus():
         assert set(range(5)) <= {p // 8 for p in items.place.tolist()} and len(items.place) >= 10
         changed = [f"x{w}" if w in ("w20", "w21", "w22") else w for w in words]
         assert [r[0] for r in dc.find(items, " ".join(changed))] == [1]
+
+
+def found_in(item, text):
+    words = dc.words_of(item.lower())
+    return [r[:2] for r in dc.find(dc.Items([(1, words)], dict.fromkeys(words, 5), 10_000), text)]
+
+
+def test_short_items_match_whole():
+    short = "What is the capital of Peru?"
+    assert found_in(short, f"{prose(30, 1)} what is the capital of PERU {prose(30, 2)}") == [(1, 1.0)]
+    assert found_in(short, "what is the capital of Chile, not of Peru") == []
+    assert found_in("too short", "Too short!") == [(1, 1.0)] and found_in("too short", "it is too short a text") == []
+
+
+def test_scripts_without_spaces():
+    chinese, thai = "请问秘鲁的首都是哪一座城市它位于哪里", "เมืองหลวงของประเทศเปรูคือเมืองอะไร"
+    for item in (chinese, thai, chinese[:6]):
+        assert found_in(item, f"前文很长{item}后面还有别的内容 and more") == [(1, 1.0)]
+        assert found_in(item, "今天天气很好我们一起去公园散步吧 and more") == []
+
+
+def test_parts_of_long_items():
+    words = prose(59, 77).split()
+    assert len(found_in(" ".join(words), f"{prose(30, 1)} {' '.join(words[20:45])} {prose(30, 2)}")) == 1
+    cut = [w if i % 20 not in (3, 4, 8, 12, 13, 17, 18) else f"new{i}" for i, w in enumerate(words)]  # 35 %
+    assert len(found_in(" ".join(words), f"{prose(30, 1)} {' '.join(cut)} {prose(30, 2)}")) == 1
+    assert found_in(" ".join(words), f"{prose(30, 1)} {' '.join(words[20:32])} {prose(30, 2)}") == []
