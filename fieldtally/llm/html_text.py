@@ -3,7 +3,8 @@
 The page is cut into blocks at block tags. Pass one decides blocks by where they
 stand (menus, headers, footers, forms, adverts, comments are out by tag, role,
 class or id), by link density, length and stop-word density; short blocks stay
-undecided. Pass two gives each undecided block the label of its nearest decided
+undecided. Where the longer blocks of a page hardly have a known stop word among them, its language is
+unknown, and length and link density decide. Pass two gives each undecided block the label of its nearest decided
 neighbours (of those in the article, if it is marked); if they differ, the nearer one counts, and headings look ahead. If the page
 marks its article (``article``, ``main``, role or itemprop), blocks outside it are out,
 and inside it length alone decides, since an article may be a list or a table.
@@ -27,6 +28,8 @@ from fieldtally.llm.common import map_batches
 
 MAX_LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.5, 70, 200, 0.12, 0.25
 SHORT_INSIDE = 25
+#: Letters of scripts without spaces between words, each of which counts as three of others: Thai to Tibetan, Khmer, kana, Han.
+_DENSE = re.compile(r"[\u0e01-\u0e4e\u0e81-\u109f\u1780-\u17d3\u3041-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]")
 
 #: Frequent words of the languages expected.
 STOP_WORDS = frozenset(
@@ -183,25 +186,36 @@ def cut(page: str) -> list[Block]:
     return blocks
 
 
+def length(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + 2 * len(_DENSE.findall(text))
+
+
+def stops_and_words(text: str) -> tuple[int, int]:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words), len(words)
+
+
 def first_pass(blocks: list[Block]) -> None:
     marked = any(b.inside and not b.out for b in blocks)
+    open_blocks: list[tuple[Block, int, int, int]] = []
     for b in blocks:
         size = len(b.text)
         if b.out or (marked and not b.inside) or b.links > MAX_LINKS * size:
             b.label = False
         elif b.inside:
             b.label = True if size >= SHORT_INSIDE else None
-        elif "©" in b.text:
+        elif "©" in b.text and size < LONG:
+            b.label = False
+        elif (size := length(b.text)) >= SHORT:
+            open_blocks.append((b, size, *stops_and_words(b.text)))
+    known = sum(x[2] for x in open_blocks) >= FEW_STOPS * sum(x[3] for x in open_blocks)
+    for b, size, stops, words in open_blocks:
+        if not known or stops >= MANY_STOPS * words:
+            b.label = True
+        elif stops < FEW_STOPS * words:
             b.label = False
-        elif size >= SHORT:
-            words = b.text.lower().split()
-            stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-            if stops >= MANY_STOPS:
-                b.label = True
-            elif stops < FEW_STOPS:
-                b.label = False
-            elif size >= LONG:
-                b.label = True
+        elif size >= LONG:
+            b.label = True
 
 
 def second_pass(blocks: list[Block]) -> None:

@@ -45,3 +45,18 @@ def test_table(spark):
     got = [tuple(r) for r in extract(df).collect()]
     assert sorted(got, key=repr) == sorted(((i, u, main_text(p), len(main_text(p))) for i, u, p, _ in rows), key=repr)
     assert extract(df.limit(0)).count() == 0
+
+
+POLISH = "Wczoraj wieczorem dzieci poszły nad rzekę, gdzie stary rybak opowiadał im długie historie dawnych czasów."
+CHINESE = "昨天晚上孩子们去了河边，老渔夫在那里给他们讲了很久以前的故事，大家都听得非常入神。"
+
+
+def test_other_languages_without_marked_article():
+    for text in (POLISH, POLISH * 3, CHINESE, CHINESE * 6):
+        assert main_text(f"<nav><a href=x>x</a></nav><div><p>{text}</p><p>{text}</p></div><footer>{text}</footer>") == f"{text} {text}"
+    keywords = "red | green | blue | yellow | orange | violet | black | white | brown | grey"
+    assert main_text(f"<p>{LONG}</p><p>{LONG}</p><div>{keywords}</div>") == f"{LONG} {LONG}"
+
+
+def test_long_block_with_copyright_sign():
+    assert main_text(f"<p>{LONG} The sign © is in it. {LONG} {LONG}</p><p>© 2020 by the one who has all of the rights in it</p>").count("©") == 1
