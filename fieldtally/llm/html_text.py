@@ -3,7 +3,8 @@
 The page is cut into blocks at block tags. Pass one decides blocks by where they
 stand (menus, headers, footers, forms, adverts, comments are out by tag, role,
 class or id), by link density, length and stop-word density; short blocks stay
-undecided. Where the longer blocks of a page hardly have a known stop word among them, its language is
+undecided. A class or id puts nothing out that holds the page's only marked article and most of its text, nor,
+if just a part of it names such a place, nearly all of the text. Where the longer blocks of a page hardly have a known stop word among them, its language is
 unknown, and length and link density decide. Pass two gives each undecided block the label of its nearest decided
 neighbours (of those in the article, if it is marked); if they differ, the nearer one counts, and headings look ahead. If the page
 marks its article (``article``, ``main``, role or itemprop), blocks outside it are out,
@@ -28,7 +29,7 @@ from fieldtally.llm.common import map_batches
 
 MAX_LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.5, 70, 200, 0.12, 0.25
 SHORT_INSIDE = 25
-#: Letters of scripts without spaces between words, each of which counts as three of others: Thai to Tibetan, Khmer, kana, Han.
+#: Letters of scripts without spaces between words, each of which counts as three of others: Thai to Tibetan, Khmer, kana, Han, Hangul.
 _DENSE = re.compile(r"[\u0e01-\u0e4e\u0e81-\u109f\u1780-\u17d3\u3041-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]")
 
 #: Frequent words of the languages expected.
@@ -64,6 +65,8 @@ OUT_NAMES = frozenset(
     " commentlist respond reply replies disqus pagination pager toolbar widget search skip tags copyright".split()
 )
 
+OUT_NAMES_OUTSIDE = OUT_NAMES | {"header"}
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|iframe|svg|math)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -74,18 +77,43 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([a-z][a-z0-9:_-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[a-z]+")
+#: Parts of names that speak of a layout, not of the element.
+_LAYOUT = frozenset("has have no not non with without by is hide show enabled disabled layout".split())
+
+
+class Named:
+    """An element that its class or id puts out, unless ``lifted``; ``weak`` if only a part of the name says so."""
+
+    __slots__ = ("parent", "weak", "lifted", "out", "top")
+
+    def __init__(self, parent: Named | None, weak: bool) -> None:
+        self.parent, self.lifted, self.out = parent, False, True
+        self.weak = weak and (parent is None or parent.weak)
+        self.top = parent.top if parent else self
 
 
 class Block:
-    __slots__ = ("text", "links", "out", "inside", "heading", "label")
+    __slots__ = ("text", "links", "out", "inside", "heading", "label", "named", "around")
 
-    def __init__(self, text: str, links: int, out: bool, inside: bool, heading: bool) -> None:
+    def __init__(self, text: str, links: int, out: bool, inside: bool, heading: bool, named: Named | None, around: Named | None) -> None:
         self.text, self.links, self.out, self.inside, self.heading = text, links, out, inside, heading
+        self.named, self.around = named, around  # the innermost element put out by name, and that around the article
         self.label: bool | None = None
 
 
-def place(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is out of the text, and whether it is the article."""
+def by_name(value: str, out_names: frozenset[str]) -> int:
+    """2 if a name of a class or id, or the last part of one, is of ``out_names``, 1 if another part is, else 0."""
+    found = 0
+    for name in value.split():
+        parts = _NAME.findall(name)
+        if parts and not _LAYOUT.intersection(parts):
+            found = max(found, 2 if parts[-1] in out_names else int(not out_names.isdisjoint(parts)))
+    return found
+
+
+def place(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, int]:
+    """Whether an element is out of the text, whether it is the article, and ``by_name`` of its class and id."""
+    named = 0
     main = tag in ("article", "main")
     out = tag in OUT_TAGS or (tag == "header" and not inside)
     if attributes and "=" in attributes or "hidden" in attributes:
@@ -95,21 +123,22 @@ def place(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
                 out |= value in OUT_ROLES
                 main |= value in ("main", "article")
             elif name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-                names = set(_NAME.findall(value))
-                out |= bool(names & OUT_NAMES) or (not inside and "header" in names)
+                named = max(named, by_name(value, OUT_NAMES if inside else OUT_NAMES_OUTSIDE))
             elif name == "itemprop":
                 main |= value == "articlebody"
             elif name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "")):
                 out = True
             elif name == "aria-hidden":
                 out |= value == "true"
-    return out, main
+    return out, main, named
 
 
 def cut(page: str) -> list[Block]:
     """Blocks of a page in order, those without text left out."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, out, inside
+    stack: list[tuple[str, bool, bool, Named | None, Named | None]] = []  # tag, out, inside, named, around
+    nothing = ("", False, False, None, None)
+    names: list[Named] = []
     parts: list[str] = []
     opened: Counter[str] = Counter()
     links = anchor = 0
@@ -126,8 +155,8 @@ def cut(page: str) -> list[Block]:
         nonlocal links, heading
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            _, out, inside = stack[-1] if stack else ("", False, False)
-            blocks.append(Block(text, min(links, len(text)), out, inside, heading))
+            _, out, inside, named, around = stack[-1] if stack else nothing
+            blocks.append(Block(text, min(links, len(text)), out, inside, heading, named, around))
         parts.clear()
         links, heading = 0, False
 
@@ -163,29 +192,66 @@ def cut(page: str) -> list[Block]:
             elif block:
                 end()
             continue
-        _, out, inside = stack[-1] if stack else ("", False, False)
+        _, out, inside, named, around = stack[-1] if stack else nothing
         if block and tag != "title" and opened["head"]:
             end()
             leave("head")
-            _, out, inside = stack[-1] if stack else ("", False, False)
-        own_out, own_main = place(tag, token["attributes"], inside)
-        if not block and not (own_out and not out):
+            _, out, inside, named, around = stack[-1] if stack else nothing
+        own_out, own_main, own_named = place(tag, token["attributes"], inside)
+        if not block and not ((own_out or own_named) and not out):
             continue  # an inline element of no account
         end()
         anchor = 0
         if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option", "h1", "h2", "h3", "h4", "h5", "h6") and stack and stack[-1][0] == tag:
             leave(tag)
-            _, out, inside = stack[-1] if stack else ("", False, False)
+            _, out, inside, named, around = stack[-1] if stack else nothing
         elif stack and stack[-1][0] == "p":
             leave("p")
-            _, out, inside = stack[-1] if stack else ("", False, False)
-        stack.append((tag, out or own_out, inside or own_main))
+            _, out, inside, named, around = stack[-1] if stack else nothing
+        if own_main and not inside:
+            around = named
+        if own_named:
+            named = Named(named, own_named == 1)
+            names.append(named)
+        stack.append((tag, out or own_out, inside or own_main, named, around))
         opened[tag] += 1
         heading = tag[0] == "h" and tag[1:].isdigit()
     end()
+    lift(blocks)
+    for n in names:  # parents come first
+        n.out = not n.lifted or (n.parent is not None and n.parent.out)
+    for b in blocks:
+        b.out |= b.named is not None and b.named.out
     return blocks
 
 
+def lift(blocks: list[Block]) -> None:
+    """Mark the elements whose names must not put them out, by the text that they hold."""
+    rest = held = total = 0
+    parts: Counter[Named] = Counter()
+    for b in blocks:
+        size = len(b.text)
+        if b.out or size < SHORT or b.links > MAX_LINKS * size:
+            continue
+        total += size
+        if b.named is None:
+            rest += size
+        elif b.inside and b.around:
+            held += size
+        if b.named is not None and b.named.weak:
+            parts[b.named.top] += size
+    marked = any(b.inside and not b.out and b.named is None for b in blocks)
+    most = {n for n, size in parts.items() if 2 * size > total and size > 8 * rest}
+    for b in blocks:
+        article = not marked and held > rest and b.inside
+        if b.named is None or not (article or b.named.top in most):
+            continue
+        n = b.around if article else b.named
+        while n is not None and not n.lifted and (article or n.weak):
+            n.lifted = True
+            n = n.parent
+
+
 def length(text: str) -> int:
     return len(text) if text.isascii() else len(text) + 2 * len(_DENSE.findall(text))
 

@@ -60,3 +60,15 @@ def test_other_languages_without_marked_article():
 
 def test_long_block_with_copyright_sign():
     assert main_text(f"<p>{LONG} The sign © is in it. {LONG} {LONG}</p><p>© 2020 by the one who has all of the rights in it</p>").count("©") == 1
+
+
+def test_names_of_wrappers():
+    article = f"<article><p>{LONG}</p><div class=share>{LONG}</div></article>"
+    for name in ("layout has-sidebar", "no-sidebar", "with-comments", "side-by-side", "share-enabled", "search", "sidebar-page"):
+        assert main_text(f"<div class='{name}'>{article}</div>") == LONG
+        assert main_text(f"<div id='{name}'><div>{article}</div></div><p class=ad>{LONG}</p>") == LONG
+    for name in ("layout has-sidebar", "no-sidebar", "with-comments", "sidebar-page"):
+        assert main_text(f"<div class='{name}'><p>{LONG}</p><p>{LONG}</p></div><div class=comment-list>{LONG}</div>") == f"{LONG} {LONG}"
+    for name in ("sidebar", "sidebar-inner", "post-comments", "comment-list", "a widget b"):
+        assert main_text(f"<p>{LONG}</p><div class='{name}'><p>{LONG}</p></div>") == LONG
+        assert main_text(f"<article><p>{LONG}</p></article><div class='{name}'><article>{LONG}</article></div>") == LONG
