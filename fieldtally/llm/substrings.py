@@ -22,7 +22,7 @@ Copies that meet in one batch of a task are settled there: only the smallest
 document of a context goes on, so a passage held by a third of all documents
 sends one seed per batch. Words are runs without ASCII white space, unchanged. Hashes
 have 64 bits. Null texts have no words; texts under LENGTH words lose none. Rows that share
-a doc_id do not remove each other's words. Null doc_ids count as larger than all others.
+a doc_id, and those without one, do not remove each other's words; each of them gets its own contexts only. Null doc_ids count as larger than all others.
 An empty table gives an empty result. Other columns are left out.
 """
 
@@ -167,22 +167,42 @@ def outcome(raw: list[bytes], gone: np.ndarray) -> tuple[int, int, str]:
     return len(raw), int(out.sum()), kept
 
 
-def extended(documents: DataFrame, lists: DataFrame) -> DataFrame:
+def lists_of(rows: DataFrame, key: str) -> DataFrame:
+    """key, marks, asks, tells, of rows with contexts by kind."""
+    of_kind = lambda k: F.flatten(F.collect_list(F.when(F.col("kind") == k, F.col("contexts"))))
+    return rows.groupBy(key).agg(of_kind(MARK).alias("marks"), of_kind(ASK).alias("asks"), of_kind(TELL).alias("tells"))
+
+
+def lists_by_row(documents: DataFrame, lists: DataFrame) -> DataFrame:
+    """row, marks, asks, tells of documents that share their doc: of the lists of a doc, a row gets the contexts it holds."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in pieces(batches):
+            found = [np.unique(stretches(hashes.of(t.encode().split()))[1].view(np.int64)) for t in texts_of(batch)]
+            contexts = list_array(np.concatenate(found), [len(f) for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc"), contexts], ["row", "doc", "contexts"])
+
+    held = documents.select("row", "doc", "text").mapInArrow(run, "row long, doc long, contexts array<long>")
+    held = held.select("row", "doc", F.explode("contexts").alias("context")).distinct()
+    known = lists.select("doc", "kind", F.explode("contexts").alias("context")).distinct()
+    return lists_of(held.join(known, ["doc", "context"]).select("row", "kind", F.array("context").alias("contexts")), "row")
+
+
+def extended(documents: DataFrame, lists: DataFrame, key: str) -> DataFrame:
     """Each document with its result, or, if windows of it are in question, with its text and what goes already; and
     the windows it was asked for."""
-    joined = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
-        "doc", F.coalesce("doc_id", F.lit(NO_ID))
-    ).join(lists, "doc", "left")
+    joined = documents.join(lists, key, "left")
 
     def run(batches):
         hashes = WordHashes()
         for batch in pieces(batches):
             rows = []
-            lists = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "marks", "asks", "tells")))
-            for (doc, mark, ask, tell), text in zip(lists, texts_of(batch)):
+            lists = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "marks", "asks", "tells")))
+            for (doc, row, mark, ask, tell), text in zip(lists, texts_of(batch)):
                 raw = text.encode().split()
                 if not mark and not ask and not tell:
-                    rows.append((doc, len(raw), 0, b" ".join(raw), None, None))
+                    rows.append((doc, len(raw), 0, b" ".join(raw), None, None, row))
                     continue
                 words = hashes.of(raw)
                 _, context, first, last = stretches(words)
@@ -193,18 +213,18 @@ def extended(documents: DataFrame, lists: DataFrame) -> DataFrame:
                 if asked.any():
                     windows = np.unique(gram_hashes(words, LENGTH).view(np.int64)[spread(first[asked], last[asked])]).tolist()
                 if ask:
-                    rows.append((doc, len(raw), 0, text.encode(), gone.tolist(), windows))
+                    rows.append((doc, len(raw), 0, text.encode(), gone.tolist(), windows, row))
                 else:
-                    rows.append((doc, *outcome(raw, gone), None, windows))
-            columns = list(zip(*rows)) or [()] * 6
+                    rows.append((doc, *outcome(raw, gone), None, windows, row))
+            columns = list(zip(*rows)) or [()] * 7
             columns[3] = [hashlib.sha256(k).hexdigest() if g is None else k.decode() for k, g in zip(columns[3], columns[4])]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "n_words", "n_removed", "result", "gone", "windows"]
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "n_words", "n_removed", "result", "gone", "windows", "row"]
             )
 
-    schema = "doc_id long, n_words long, n_removed long, result string, gone array<long>, windows array<long>"
-    return joined.select("doc_id", "text", "marks", "asks", "tells").mapInArrow(run, schema)
+    schema = "doc_id long, n_words long, n_removed long, result string, gone array<long>, windows array<long>, row long"
+    return joined.select("doc_id", "row", "text", "marks", "asks", "tells").mapInArrow(run, schema)
 
 
 def finished(pending: DataFrame) -> DataFrame:
@@ -234,15 +254,26 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     lists = dealt(documents, buckets).groupBy("bucket").applyInArrow(solved, "doc long, kind byte, contexts array<long>")
-    of_kind = lambda k: F.flatten(F.collect_list(F.when(F.col("kind") == k, F.col("contexts"))))
-    by_doc = lists.groupBy("doc").agg(of_kind(MARK).alias("marks"), of_kind(ASK).alias("asks"), of_kind(TELL).alias("tells"))
-    rows = stored(extended(documents, by_doc), "repeats")
-    keyed = rows.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID)))
+    doc = F.coalesce("doc_id", F.lit(NO_ID))
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc", doc)
+    documents = documents.withColumn("row", F.xxhash64("doc", "text"))
+    shared = stored(documents.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc"), "shared")
+    if shared.isEmpty():
+        rows = extended(documents, lists_of(lists, "doc"), "doc")
+    else:
+        lists = stored(lists, "lists")
+        several = documents.join(shared, "doc", "left_semi")
+        single = extended(documents.join(shared, "doc", "left_anti"), lists_of(lists.join(shared, "doc", "left_anti"), "doc"), "doc")
+        rows = single.unionAll(extended(several, lists_by_row(several, lists.join(shared, "doc", "left_semi")), "row"))
+    rows = stored(rows, "repeats")
+    keyed = rows.withColumn("doc", doc)
     pending = keyed.filter(F.col("gone").isNotNull())
     told = keyed.select("doc", F.explode("windows").alias("window"))
     least = told.groupBy("window").agg(F.min("doc").alias("least"))
-    asked = pending.select("doc", F.explode("windows").alias("window"))
-    more = asked.join(least, "window").filter("doc > least").groupBy("doc").agg(F.collect_list("window").alias("more"))
+    asked = pending.select("doc", "row", F.explode("windows").alias("window"))
+    if not shared.isEmpty():
+        asked = asked.distinct()  # equal rows ask once
+    more = asked.join(least, "window").filter("doc > least").groupBy("row").agg(F.collect_list("window").alias("more"))
     done = rows.filter(F.col("gone").isNull()).select("doc_id", "n_words", "n_removed", F.col("result").alias("kept_sha256"))
-    rest = pending.join(more, "doc", "left").select("doc_id", "result", "gone", "more")
+    rest = pending.join(more, "row", "left").select("doc_id", "result", "gone", "more")
     return done.unionAll(finished(rest))

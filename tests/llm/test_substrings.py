@@ -63,3 +63,19 @@ def test_anchors_depend_on_their_window_alone():
     for i in range(len(place)):
         window = grams[i : i + width]
         assert place[i] - i == width - 1 - int(np.argmin(window[::-1]))
+
+
+def test_rows_without_doc_id_get_their_own_contexts(documents_of, monkeypatch):
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    passages = [text(20) for _ in range(60)]
+    rows = [(i, p) for i, p in enumerate(passages)] + [(None, f"{text(5)} {p} {text(5)}") for p in passages * 2] + [(None, passages[0])] * 9
+    sizes, extended = [], ss.extended
+
+    def spy(documents, lists, *rest):
+        sizes.extend(sum(len(x or []) for x in r) for r in lists.select("marks", "asks", "tells").collect())
+        return extended(documents, lists, *rest)
+
+    monkeypatch.setattr(ss, "extended", spy)
+    assert got(documents_of(rows).repartition(5)) == brute(rows)
+    assert 0 < max(sizes) < 40
