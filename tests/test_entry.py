@@ -14,7 +14,7 @@ COUNT = "import __spark_entry__ as e; from catalog import QUERIES; print(len(set
 def test_table_queries_load_without_the_corpus_operators(tmp_path, also):
     """With the package gone, and with the pipeline gone as well."""
     left_out = {"llm", ".git", "tests", "__pycache__", *also}
-    for path in REPO.rglob("*.py"):
+    for path in [*REPO.rglob("*.py"), *REPO.rglob("*.yaml")]:
         inside = path.relative_to(REPO)
         if not left_out & set(inside.parts):
             (tmp_path / inside).parent.mkdir(parents=True, exist_ok=True)
