@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm import bpe, decontaminate, html_text, near_duplicates, pii, quality, sharding, substrings, token_files, url_filters
+from fieldtally.llm import alignment, bpe, decontaminate, html_text, near_duplicates, pii, quality, sharding, substrings, token_files, url_filters
 from fieldtally.llm.common import table
 from fieldtally.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from fieldtally.session import scratch_folder
@@ -110,3 +110,9 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.joined(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.report(table(spark, sf_dir, "documents"), *paths)
