@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm import alignment, bpe, decontaminate, html_text, near_duplicates, pii, quality, sharding, substrings, token_files, url_filters
+from fieldtally.llm import alignment, bpe, decontaminate, html_text, near_duplicates, pii, quality, resampling, sharding, substrings, token_files, url_filters
 from fieldtally.llm.common import table
 from fieldtally.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from fieldtally.session import scratch_folder
@@ -116,3 +116,49 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return alignment.report(table(spark, sf_dir, "documents"), *paths)
+
+
+# DuckDB has no CRC-32: each distinct feature goes through the byte table, which follows from the polynomial.
+RESAMPLING_SQL = r"""
+WITH tab AS (
+  SELECT list(list_reduce([n] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t
+  FROM range(256) AS r(n)
+),
+docs AS (SELECT 'd' AS side, doc_id, row_number() OVER () AS row, text FROM documents UNION ALL SELECT 'b', item_id, -row_number() OVER (), text FROM benchmark),
+words AS (
+  SELECT side, doc_id, row,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM docs
+),
+grams AS (
+  SELECT side, row, unnest(w) AS g FROM words
+  UNION ALL SELECT side, row, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words
+),
+coded AS (
+  SELECT g, xor(list_reduce([4294967295] || list_transform(range(octet_length(encode(g))), lambda i: ('0x' || substr(hex(g), 2 * i + 1, 2))::BIGINT),
+                            lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT g FROM grams), tab
+),
+sums AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM grams JOIN coded USING (g) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM sums
+),
+weights AS (
+  SELECT row, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM grams JOIN coded USING (g) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY row
+),
+scored AS (
+  SELECT doc_id, row, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5)::DOUBLE / 4294967296)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (row) WHERE side = 'd'
+),
+placed AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id, n_features) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (row)
+"""
+
+
+@query(RESAMPLING_SQL)
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
