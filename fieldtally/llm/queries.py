@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm import alignment, bpe, decontaminate, html_text, near_duplicates, pii, quality, resampling, sharding, substrings, token_files, url_filters
+from fieldtally.llm import alignment, bpe, decontaminate, html_text, near_duplicates, pii, quality, resampling, sharding, simhash, substrings, token_files, url_filters
 from fieldtally.llm.common import table
 from fieldtally.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from fieldtally.session import scratch_folder
@@ -162,3 +162,8 @@ FROM scored LEFT JOIN placed USING (row)
 @query(RESAMPLING_SQL)
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
