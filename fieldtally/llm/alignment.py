@@ -28,7 +28,6 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +43,14 @@ PACK_ROWS, PACK_BYTES = 512, 2_000_000
 LIBRARY_BYTES = 1_000_000  # of texts that a library is given at once, or one text
 
 
+#: Texts not to be cut at spaces: white space after a space, one at the end, and what stands for a space in pieces.
+_ODD = re.compile(r" \s| \Z|▁").search
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+REMEMBERED = 200_000
+
+
 class Vocabularies:
-    """Both tokenizers, the bytes of their tokens, and ids as text."""
+    """Both tokenizers, the bytes of their tokens, and ids as text. Remembers the ids of up to twice REMEMBERED parts of texts."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,7 +60,8 @@ class Vocabularies:
         self.a, self.b = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
         with open(a_path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            config = json.load(f)
+        vocabulary = config["model"]["vocab"]
         byte_of = {c: b for b, c in enumerate(byte_alphabet())}
         self.a_bytes = [b""] * (1 + max(vocabulary.values()))
         for token, i in vocabulary.items():
@@ -63,6 +69,11 @@ class Vocabularies:
                 self.a_bytes[i] = bytes(byte_of[c] for c in token)
         self.b_bytes = [self.piece_bytes(i) for i in range(self.b.get_piece_size())]
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}  # ids of parts by A and by B
+        self.older, self.not_whole = self.known, set()
+        # no token of either reaches from other text over a space, so texts can be cut before single spaces that text follows
+        crossed = any(re.search(".▁", self.b.id_to_piece(i).lstrip("▁")) for i in range(self.b.get_piece_size()))
+        self.uncut = _ODD if not crossed and config.get("pre_tokenizer") == BYTE_LEVEL and not config.get("normalizer") else len
 
     def piece_bytes(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -75,15 +86,56 @@ class Vocabularies:
         """Each id as decimal digits, followed by each of the three separators of the groups' text."""
         return [b"%d%c" % (i, c) for i in range(max(len(self.a_bytes), len(self.b_bytes))) for c in b",|;"]
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids by A and by B of each text; none of both where they don't give back the text."""
+    def library(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """The ids by A and by B of each text as 32-bit numbers; none of both where they don't give back the text."""
         a = [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        for k, text in enumerate(texts):
+        out = []
+        for text, x, y in zip(texts, a, self.b.encode(texts, num_threads=1)):
             raw = b" " + text.encode()
-            if not text or b"".join(map(self.a_bytes.__getitem__, a[k])) != raw or b"".join(map(self.b_bytes.__getitem__, b[k])) != raw:
-                a[k], b[k] = [], []
-        return a, b
+            whole = text and b"".join(map(self.a_bytes.__getitem__, x)) == raw == b"".join(map(self.b_bytes.__getitem__, y))
+            out.append((np.array(x, "<i4").tobytes(), np.array(y, "<i4").tobytes()) if whole else (b"", b""))
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        """Ask for many parts in one text, which is much faster; the bytes they take part the ids again."""
+        for at in range(0, len(new), 2000):
+            parts = new[at : at + 2000]
+            ends = np.cumsum([len(p.encode()) + 1 for p in parts])
+            for raw, sizes, known in zip(self.library([" ".join(parts)])[0], (self.a_sizes, self.b_sizes), self.known):
+                own = np.cumsum(sizes[np.frombuffer(raw, "<i4")])
+                stop = np.searchsorted(own, ends) + 1
+                if not len(own) or stop[-1] > len(own) or (own[stop - 1] != ends).any():
+                    self.apart(parts)
+                    break
+                stop = (4 * stop).tolist()
+                known.update(zip(parts, [raw[s:e] for s, e in zip([0, *stop], stop)]))
+
+    def apart(self, parts: list[str]) -> None:
+        """Ask for each part by itself; texts with those that are not given back go to the library."""
+        for part, ids in zip(parts, self.library(parts)):
+            for known, own in zip(self.known, ids):
+                known[part] = own
+            if not ids[0]:
+                self.not_whole.add(part)
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """As ``library``, remembering the ids of the parts of texts between single spaces."""
+        cut = [None if not t or self.uncut(" " + t) else t.split(" ") for t in texts]
+        asked = set().union(*(parts for parts in cut if parts))
+        if len(self.known[0]) >= REMEMBERED:  # what was asked for since the last time stays
+            self.older, self.known, self.not_whole = self.known, ({}, {}), set()
+        new = asked.difference(self.known[0])
+        for part in new & self.older[0].keys():
+            if self.older[0][part]:
+                for known, older in zip(self.known, self.older):
+                    known[part] = older[part]
+                new.discard(part)
+        self.learn(list(new))
+        a, b = (known.__getitem__ for known in self.known)
+        return [
+            (b"".join(map(a, parts)), b"".join(map(b, parts))) if parts and self.not_whole.isdisjoint(parts) else self.library([text])[0]
+            for text, parts in zip(texts, cut)
+        ]
 
 
 @lru_cache(maxsize=1)
@@ -159,10 +211,10 @@ def intersect(short: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.cumsum(common) - common, np.cumsum(cut) - cut, left, right
 
 
-def align(a: list[list[int]], b: list[list[int]], own: Vocabularies) -> Aligned:
+def align(ids: list[tuple[bytes, bytes]], own: Vocabularies) -> Aligned:
     """Align documents given by their ids, all at once: their offsets follow one another."""
-    n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a, b))
-    flat = [np.fromiter(chain.from_iterable(ids), np.int64, n.sum()) for ids, n in ((a, n_a), (b, n_b))]
+    n_a, n_b = (np.array([len(x[k]) // 4 for x in ids], np.int64) for k in (0, 1))
+    flat = [np.frombuffer(b"".join(x[k] for x in ids), "<i4").astype(np.int64) for k in (0, 1)]
     of = [np.repeat(np.arange(len(n)), n) for n in (n_a, n_b)]
     ends = [np.cumsum(own.a_sizes[flat[0]]), np.cumsum(own.b_sizes[flat[1]])]
     group = [np.zeros(len(x), np.int64) for x in flat]
@@ -212,13 +264,8 @@ def batches_of(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.Recor
         yield batch.slice(start)
 
 
-def encoded(batch: pa.RecordBatch, own: Vocabularies) -> tuple[list[list[int]], list[list[int]]]:
-    a: list[list[int]] = []
-    b: list[list[int]] = []
-    for part in batches_of(batch, PACK_ROWS, LIBRARY_BYTES):
-        for whole, some in zip((a, b), own.encode(texts_of(part))):
-            whole += some
-    return a, b
+def encoded(batch: pa.RecordBatch, own: Vocabularies) -> list[tuple[bytes, bytes]]:
+    return [ids for part in batches_of(batch, PACK_ROWS, LIBRARY_BYTES) for ids in own.encode(texts_of(part))]
 
 
 def aligned(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -227,14 +274,13 @@ def aligned(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def run(batches):
         own = vocabularies(a_path, b_path)
         for batch in (part for whole in batches for part in batches_of(whole, PACK_ROWS, PACK_BYTES)):
-            a, b = encoded(batch, own)
-            x = align(a, b, own)
-            cuts = []
+            x = align(encoded(batch, own), own)
+            rows, cuts = batch.num_rows, []
             for of, group in ((x.a_of, x.a_group), (x.b_of, x.b_group)):
                 last = np.append(np.diff(group) != 0, True)[: len(group)] | np.append(np.diff(of) != 0, True)[: len(of)]
                 place = np.arange(len(of)) - np.searchsorted(of, of) + 1
-                cuts.append(list_array(place[last].astype(np.int32), np.bincount(of[last], minlength=len(a)), pa.int32()))
-            ids = [pa.array(i, pa.list_(pa.int32())) for i in (a, b)]
+                cuts.append(list_array(place[last].astype(np.int32), np.bincount(of[last], minlength=rows), pa.int32()))
+            ids = [list_array(i.astype(np.int32), np.bincount(of, minlength=rows), pa.int32()) for i, of in ((x.a, x.a_of), (x.b, x.b_of))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *ids, *cuts], ["doc_id", "a_ids", "b_ids", "a_cuts", "b_cuts"])
 
     schema = "doc_id long, a_ids array<int>, b_ids array<int>, a_cuts array<int>, b_cuts array<int>"
@@ -249,9 +295,7 @@ PACK = (
 
 def packed(batch: pa.RecordBatch, own: Vocabularies, pack: int) -> dict:
     """A row of PACK: per document its counts, its distinct id pairs by number in ``codes`` and how often each is linked."""
-    a, b = encoded(batch, own)
-    n = len(a)
-    x = align(a, b, own)
+    n, x = batch.num_rows, align(encoded(batch, own), own)
     digests = [hashlib.sha256(t).hexdigest() if t else "" for t in group_texts(x, n, own)]
     codes, number = np.unique((x.a[x.link_a] << 32) | x.b[x.link_b], return_inverse=True)
     pairs, times = np.unique(x.a_of[x.link_a] * max(1, len(codes)) + number, return_counts=True)
@@ -259,7 +303,7 @@ def packed(batch: pa.RecordBatch, own: Vocabularies, pack: int) -> dict:
     groups = np.unique(x.a_of * (len(x.a) + 1) + x.a_group) // (len(x.a) + 1)
     return {
         "pack": pack, "doc_ids": batch.column("doc_id").to_pylist(),
-        "n_a": [len(i) for i in a], "n_b": [len(i) for i in b],
+        "n_a": np.bincount(x.a_of, minlength=n), "n_b": np.bincount(x.b_of, minlength=n),
         "n_groups": np.bincount(groups, minlength=n), "n_links": np.bincount(x.a_of[x.link_a], minlength=n),
         "groups_sha256": digests, "codes": codes, "holders": np.bincount(number, minlength=len(codes)),
         "sizes": np.bincount(of, minlength=n), "numbers": number, "times": times,

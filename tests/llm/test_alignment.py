@@ -94,6 +94,20 @@ def test_groups_join_to_the_same_bytes(documents_of, rows, paths):
             assert a and b and b"".join(own.a_bytes[k] for k in a) == b"".join(own.b_bytes[k] for k in b)
 
 
+def test_parts_get_the_ids_of_the_whole_text(paths):
+    """Of texts cut at spaces, of those that can't be, and beyond what is remembered."""
+    rng = random.Random(5)
+    own = al.Vocabularies(*paths)
+    marks = [" ", " ", " ", " ", "  ", "\n", " \n", "\n ", "\t", "\u00a0", "\u3000", "\x1c", "\r\n", ""]
+    words = ["word", "don't", "I'll", "'s", "3rd", "12.5%", "日本", "é", "_x_", "--", "🙂", "<|endoftext|>", "<s>", "\u200b", "zyxwv", "▁"]
+    texts = ["".join(rng.choice(words[:-1]) + rng.choice(marks) for _ in range(rng.randrange(1, 30))) for _ in range(400)]
+    texts += [" lead", "trail ", " ", "  ", "\n", "a ▁ b", "new words " + " ".join(f"w{i}é" for i in range(5000))]
+    want = [own.library([t])[0] for t in texts]
+    assert own.encode(texts) == want and len(own.known[0]) == len(own.known[1]) > 5000
+    own.older, own.known = own.known, ({}, {})
+    assert own.encode(texts[:50] + [""]) == [*want[:50], (b"", b"")]
+
+
 def test_galloping_finds_what_a_binary_search_finds():
     rng = np.random.default_rng(2)
     for size in (1, 5, 64, 65, 4000):
