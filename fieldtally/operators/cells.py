@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import DEFAULT_ZOOM, cell_feature, cell_id, cell_lat, cell_lon, cell_ring
+from ..functions.hexagons import DEFAULT_RESOLUTION, hex_cell, hex_centre, hex_feature
 from .joins import lookup_join
 
 # Map centre (lat, lon) when there is nothing to show.
@@ -21,6 +23,20 @@ def add_cells(
     return df.withColumn("cell", cell_id(F.col(lat_col), F.col(lon_col), zoom))
 
 
+def add_hexagons(
+    df: DataFrame, lat_col: str = "latitude", lon_col: str = "longitude", resolution: int | Column = DEFAULT_RESOLUTION
+) -> DataFrame:
+    """Add ``cell``, the id of the hexagon of a point, null where a coordinate is unknown. All that takes ``cell`` columns
+    as keys (counts, grids, lookups) works on them as on tiles; for centres and borders see hexagons_of and hexagon_features."""
+    return df.withColumn("cell", hex_cell(F.col(lat_col), F.col(lon_col), resolution))
+
+
+def hexagons_of(df: DataFrame) -> DataFrame:
+    """The distinct hexagons with their centres, one row each."""
+    cells = df.select("cell").where(F.col("cell").isNotNull()).distinct()
+    return cells.withColumn("centre", hex_centre(F.col("cell"))).select("cell", "centre.lat", "centre.lon")
+
+
 def cells_of(df: DataFrame) -> DataFrame:
     """The distinct cells with their centres, one row each: what a lookup is keyed by."""
     cell = F.col("cell")
@@ -95,9 +111,14 @@ def cell_features(df: DataFrame, value: str) -> DataFrame:
     return df.select("cell", cell_feature(F.col("cell"), **{value: F.col(value)}).alias("feature"))
 
 
-def map_center(cells: DataFrame) -> DataFrame:
-    """Mean of the polygon vertices (closing vertex included), or the fixed fallback."""
-    points = cells.select(F.explode(cell_ring(F.col("cell"))).alias("p"))
+def hexagon_features(df: DataFrame, value: str) -> DataFrame:
+    """One GeoJSON feature per hexagon row."""
+    return df.select("cell", hex_feature(F.col("cell"), **{value: F.col(value)}).alias("feature"))
+
+
+def map_center(cells: DataFrame, ring: Callable[[Column], Column] = cell_ring) -> DataFrame:
+    """Mean of the polygon vertices (closing vertex included), or the fixed fallback. ``ring`` is hex_ring for hexagons."""
+    points = cells.select(F.explode(ring(F.col("cell"))).alias("p"))
     lat, lon = FALLBACK_CENTER
     return points.agg(
         F.coalesce(F.avg(F.col("p")[1]), F.lit(lat)).alias("lat"),
