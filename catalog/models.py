@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fieldtally.operators import cells as c
 from fieldtally.operators.counts import _Z94 as Z94
 from fieldtally.operators.counts import fit_poisson, fit_zip
+from fieldtally.operators.posterior import draw_posterior, summarise_draws
 from fieldtally.plans.modeling import (
     STANDARDISED, WEATHER_PREDICTORS, run_spatial_model, run_weather_model, weather_model_frame,
 )
@@ -191,3 +192,33 @@ def zip_fit_on_dense_grid(spark, sf_dir):
     counts = c.fill_cell_days(c.count_cell_days(placed(spark, sf_dir)), *ship_span(spark, sf_dir))
     frame = c.attach_by_cell(counts, heights(spark, sf_dir))
     return summary_of(fit_zip(frame, ["elevation"], "count").summary(spark))
+
+
+@registry.add()
+def weather_model_draws(spark, sf_dir):
+    """Intervals from draws. Weighted draws are beyond SQL; tests/test_posterior.py holds a quadrature."""
+    frame, target = weather_model_frame(dataset(spark, sf_dir), (1996, 1999))
+    model = fit_zip(frame, WEATHER_PREDICTORS, target)
+    return draw_posterior(frame, model, target).summary(spark)
+
+
+@registry.add("""WITH d AS (SELECT l_returnflag AS part, l_linenumber AS chain, l_orderkey AS draw, l_extendedprice AS value FROM lineitem),
+placed AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY value) AS i, count(*) OVER (PARTITION BY part) AS n FROM d),
+spans AS (SELECT a.part, a.value AS low, b.value AS high, a.i FROM placed AS a JOIN placed AS b ON a.part = b.part
+          AND b.i = a.i + floor(a.n * 0.94::DOUBLE)),
+narrowest AS (SELECT part, low, high FROM spans QUALIFY row_number() OVER (PARTITION BY part ORDER BY high - low, i) = 1),
+halves AS (SELECT part, chain, value, 2 * row_number() OVER (PARTITION BY part, chain ORDER BY draw, value) > count(*) OVER (PARTITION BY part, chain) AS half FROM d),
+parts AS (SELECT part, avg(value) AS m, var_samp(value) AS v, count(*) AS n FROM halves GROUP BY part, chain, half),
+across AS (SELECT part, sqrt(((avg(n) - 1) / avg(n) * avg(v) + var_samp(m)) / avg(v)) AS r_hat FROM parts GROUP BY part)
+SELECT part, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS sd, any_value(low) AS low, any_value(high) AS high,
+       round(any_value(r_hat), 6) AS r_hat
+FROM d JOIN narrowest USING (part) JOIN across USING (part) GROUP BY part""")
+def draw_summary(spark, sf_dir):
+    """Narrowest intervals and agreement of chains, of prices as if they were draws: line numbers as chains."""
+    items = load(spark, sf_dir, "lineitem")
+    draws = items.select(
+        F.col("l_returnflag").alias("part"), F.col("l_linenumber").alias("chain"), F.col("l_orderkey").alias("draw"),
+        F.col("l_extendedprice").alias("value"),
+    )
+    out = summarise_draws(draws, ["part"]).withColumnsRenamed({"hdi_3%": "low", "hdi_97%": "high"})
+    return rounded(rounded(out, 4, "mean", "sd"), 6, "r_hat")
