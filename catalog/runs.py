@@ -1,11 +1,13 @@
 """Readers, sinks and whole runs: given tables are landed in a shared folder, read and run from there."""
 
+from pyspark.sql import functions as F
+
 from fieldtally.plans import modeling, preprocess
 from fieldtally.session import scratch_folder
 from fieldtally.sources import tables
 from fieldtally.sources.sinks import write_table
 
-from .base import DAYS_SQL, PHOTOS_SQL, RULES, WEATHER_SQL, Registry, days, keep_sql, photos, weather
+from .base import DAYS_SQL, PHOTOS_SQL, RULES, WEATHER_SQL, Registry, days, keep_sql, load, photos, weather
 
 registry = Registry()
 
@@ -34,6 +36,23 @@ def read_photos_csv(spark, sf_dir):
     return tables.read_photos(spark, landed(spark, sf_dir)[1], False).select(*PHOTO_COLUMNS)
 
 
+@registry.add("""SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text, lang, source, n_chars FROM documents""")
+def read_quoted_texts_csv(spark, sf_dir):
+    """Texts with line breaks, quotes and separators, written as CSV and read in pieces."""
+    folder = scratch_folder(spark, "quoted")
+    texts = load(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\r\n?", "\n").alias("text"), "lang", "source", "n_chars")
+    texts.write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False
+    ).csv(folder)
+    types = {"doc_id": "bigint", "n_chars": "bigint"}
+    return tables.read_table(spark, folder, types, split=True)
+
+
+@registry.add(f"WITH {PHOTOS_SQL} SELECT {', '.join(PHOTO_COLUMNS)} FROM photos")
+def read_photos_split(spark, sf_dir):
+    return tables.read_photos(spark, landed(spark, sf_dir)[1], False, split=True).select(*PHOTO_COLUMNS)
+
+
 @registry.add(f"WITH {WEATHER_SQL} SELECT * FROM weather WHERE year(date) BETWEEN 1996 AND 1998")
 def read_weather_parquet(spark, sf_dir):
     read = tables.read_weather(spark, landed(spark, sf_dir, "parquet")[2], "parquet")

@@ -2,8 +2,8 @@
 
 CSV files are read as text by header name and cast, so optional columns may be
 missing and columns may come in any order, without a pass for schema inference.
-Large inputs should be landed as Parquet: a CSV with line breaks inside quotes
-cannot be split, so each such file is read by one task before its rows are spread.
+With ``multi_line`` each file is read by one task; with ``split`` large files are read in
+pieces, in two passes (see quoted_csv).
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import filter_by_year
+from .quoted_csv import read_quoted_csv
 
 # Columns and types of the raw tables.
 DAYS = {
@@ -34,16 +35,19 @@ WEATHER = {"date": "date", **{c: "double" for c in WEATHER_VALUES}}
 
 def read_table(
     spark: SparkSession, path: str, types: dict[str, str], fmt: str = "csv", multi_line: bool = False, strict: bool = True,
-    pieces: int | None = None,
+    pieces: int | None = None, split: bool = False,
 ) -> DataFrame:
     """A table with the known columns cast; unknown columns are kept as they are.
 
     ``strict`` fails on a value that cannot be cast, otherwise it becomes null.
     Nested columns of Parquet and ORC files keep their type. ``pieces`` deals the rows of a
-    CSV file out anew, which helps if few large files with ``multi_line`` feed costly steps.
+    CSV file out anew, which helps if few large files with ``multi_line`` feed costly steps. ``split`` reads CSV files with line
+    breaks inside quotes in as many pieces as they have splits.
     """
     if fmt != "csv":
         df = spark.read.format(fmt).load(path)
+    elif split:
+        df = read_quoted_csv(spark, path)
     else:
         df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line)
         if pieces:
