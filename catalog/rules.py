@@ -121,3 +121,19 @@ def rule_filter_default_rules(spark, sf_dir):
     caption = F.when(key % 5 == 0, F.concat(F.lit("Seen: "), F.upper(word(DEFAULT.exclude_caption_keywords)), F.lit("!")))
     rows = load(spark, sf_dir, "part").select("p_partkey", name.alias("name"), caption.alias("caption"))
     return t.filter_by_rules(rows, DEFAULT, "name", "caption").select("p_partkey", "name")
+
+
+#: Syllables of consonant, vowel, consonant, and each followed by "er": thousands of keywords, many of which begin with others.
+SYLLABLES = tuple(a + b + c + d for d in ("er", "") for a in "bcdfghklmnprstvw" for b in "aeiou" for c in "bcdglmnprst")
+
+
+@registry.add(f"""WITH keywords AS (SELECT unnest({list(SYLLABLES)}) AS keyword, unnest(range(1, {len(SYLLABLES) + 1})) AS i),
+found AS (SELECT doc_id, arg_min(keyword, i) AS keyword FROM documents JOIN keywords ON contains(lower(text), keyword) GROUP BY doc_id)
+SELECT doc_id, keyword IS NULL AS kept, 'caption keyword: ''' || keyword || '''' AS reason FROM documents LEFT JOIN found USING (doc_id)""")
+def rule_reasons_many_keywords(spark, sf_dir):
+    """Whole texts walked once for thousands of keywords."""
+    rules = RuleSet(exclude_caption_keywords=SYLLABLES)
+    text = F.col("text")
+    return load(spark, sf_dir, "documents").select(
+        "doc_id", rules.keep(F.lit("name"), text).alias("kept"), rules.reason(F.lit("name"), text).alias("reason")
+    )

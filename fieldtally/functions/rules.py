@@ -9,12 +9,13 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .keywords import any_listed, first_listed
 from .text import genus, genus_label, strip
 
 DEFAULT_RULES = Path(__file__).parent.parent / "config" / "rules.yaml"
 
-#: Beyond so many keywords a list is searched in place of nested conditions, which would overrun the analyser.
-LONG_LIST = 100
+#: Beyond so many keywords a caption is walked once for all of them, in place of once for each.
+LONG_LIST = 24
 
 
 @dataclass(frozen=True)
@@ -78,8 +79,7 @@ class RuleSet:
         if caption is not None:
             text = F.lower(F.coalesce(caption, F.lit("")))
             if len(self.keywords) > LONG_LIST:
-                found = F.transform(F.array(*[F.lit(k) for k in self.keywords]), lambda k: F.contains(text, k))
-                return F.array_position(found, True).cast("int")
+                return first_listed(text, self.keywords)
             for i, k in reversed(list(enumerate(self.keywords, start=1))):
                 out = F.when(text.contains(k), i).otherwise(out)
         return out
@@ -89,7 +89,7 @@ class RuleSet:
         if caption is not None:
             text = F.lower(F.coalesce(caption, F.lit("")))
             if len(self.keywords) > LONG_LIST:
-                return F.exists(F.array(*[F.lit(k) for k in self.keywords]), lambda k: F.contains(text, k))
+                return any_listed(text, self.keywords)
             for k in self.keywords:
                 out = out | text.contains(k)
         return out
