@@ -53,7 +53,7 @@ TERM = r"\p{L}[\p{L}\p{M}'’]*+"
 TOKEN = rf"{PATTERNS['email']}|{TERM}"
 
 TERMS = "array<struct<start:int,end:int,removed:boolean>>"
-SPAN = "struct<start:int,kind:int,end:int,value:string,before:string,after:string>"
+PLAIN = "array<struct<start:int,kind:int,end:int,removed:boolean>>"
 
 
 def digits_of(value: Column) -> Column:
@@ -91,32 +91,93 @@ def context(piece: Column) -> Column:
     return F.regexp_extract(piece, rf"^(?:\s*+\S++){{0,{WINDOW}}}", 0)
 
 
-def matches(text: Column, kind: str) -> Column:
-    """Spans of one kind in order: the lengths of what is between the matches give their places."""
-    pattern = F.lit(PATTERNS[kind])
-    values = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, PATTERNS[kind], -1)
+def total(numbers: str, first: Column, count: Column) -> Column:
+    """The sum of some of the numbers of an array column."""
+    return F.aggregate(F.slice(numbers, first + 1, count), F.lit(0), lambda a, n: a + n)
 
-    def step(state: Column, i: Column) -> Column:
-        before, value, after = F.get(between, i), F.get(values, i), F.get(between, i + 1)
-        start = state["at"] + F.length(before)
-        span = F.struct(
-            start.alias("start"),
-            F.lit(KINDS.index(kind)).alias("kind"),
-            (start + F.length(value)).alias("end"),
+
+def with_places(rows: DataFrame, lengths: dict[str, Column]) -> DataFrame:
+    """The rows with, of each array of lengths, a column of that name and, for ``end_of``, of its sums in steps of STEP and what
+    comes before each step: so a place takes few additions, however long the array is."""
+    rows = compute_once(rows, lengths)
+
+    def sums(c: str) -> Column:
+        steps = F.sequence(F.lit(0), F.floor((F.size(c) - 1) / STEP).cast("int"))
+        return F.transform(steps, lambda s: total(c, s * STEP, F.lit(STEP)))
+
+    def heads(c: str) -> Column:
+        return F.transform(f"{c}_sums", lambda _, s: total(f"{c}_sums", F.lit(0), s))
+
+    rows = compute_once(rows, {f"{c}_sums": sums(c) for c in lengths})
+    return compute_once(rows, {f"{c}_heads": heads(c) for c in lengths})
+
+
+def end_of(lengths: str, i: Column) -> Column:
+    """The sum of the lengths up to the i-th (from 0)."""
+    step = F.floor(i / STEP).cast("int")
+    return F.get(f"{lengths}_heads", step) + total(lengths, step * STEP, i % STEP + 1)
+
+
+def with_base(rows: DataFrame) -> DataFrame:
+    """The rows with ``base``: the base spans of ``text``, by start and kind. What does not pass its check gets no span and no context,
+    and all places come from sums in steps, so a text of numbers takes time in proportion."""
+    text = F.coalesce("text", F.lit(""))
+    present = {"email": text.contains("@"), "phone": text.contains("+")}
+    found = {}
+    for k, pattern in PATTERNS.items():
+        shown = present.get(k, text.rlike("[0-9]"))
+        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        found[f"{k}_values"] = F.when(shown, values).otherwise(F.array().cast("array<string>"))
+        found[f"{k}_between"] = F.when(shown, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>"))
+    rows = compute_once(rows, found)
+
+    def passing(k: str) -> Column:
+        checked = F.transform(f"{k}_values", lambda v, i: F.struct(i.alias("i"), valid(k, v).alias("good")))
+        return F.transform(F.filter(checked, lambda c: c["good"]), lambda c: c["i"])
+
+    def lengths_of(k: str) -> Column:
+        both = F.transform(f"{k}_values", lambda v, i: F.length(F.get(f"{k}_between", i)) + F.length(v))
+        return F.when(F.size(f"{k}_good") > 0, both).otherwise(F.array(F.lit(0)))
+
+    good = {f"{k}_good": passing(k) for k in KINDS}
+    rows = compute_once(rows, good)
+    lengths = {f"{k}_lengths": lengths_of(k) for k in KINDS}
+    rows = with_places(rows, lengths)
+
+    def span(k: str, i: Column) -> Column:
+        value, end = F.get(f"{k}_values", i), end_of(f"{k}_lengths", i)
+        return F.struct(
+            (end - F.length(value)).alias("start"),
+            F.lit(KINDS.index(k)).alias("kind"),
+            end.alias("end"),
             value.alias("value"),
-            F.reverse(context(F.reverse(before))).alias("before"),
-            context(after).alias("after"),
+            F.reverse(context(F.reverse(F.get(f"{k}_between", i)))).alias("before"),
+            context(F.get(f"{k}_between", i + 1)).alias("after"),
         )
-        return F.struct((start + F.length(value)).alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-    indexes = F.sequence(F.lit(0), F.size(values) - 1)
-    found = F.aggregate(indexes, start, step, lambda s: s["spans"])
-    found = F.filter(found, lambda s: valid(kind, s["value"]))
-    present = text.contains({"email": "@", "phone": "+"}[kind]) if kind in ("email", "phone") else text.rlike("[0-9]")
-    none = F.array().cast(f"array<{SPAN}>")
-    return F.when(F.when(present, F.size(values) > 0), found).otherwise(none)
+    def spans_of(k: str) -> Column:
+        return F.transform(f"{k}_good", lambda i: span(k, i))
+
+    made = [*found, *good, *(c + e for c in lengths for e in ("", "_sums", "_heads"))]
+    return compute_once(rows, {"base": F.array_sort(F.concat(*[spans_of(k) for k in KINDS]))}).drop(*made)
+
+
+def in_blocks(base: Column) -> Column:
+    """Spans in order of start, STEP at a time, with where each block begins and ends."""
+    numbers = F.filter(F.sequence(F.lit(0), F.floor(F.size(base) / STEP).cast("int")), lambda b: b * STEP < F.size(base))
+
+    def block(b: Column) -> Column:
+        spans = F.transform(F.slice(base, b * STEP + 1, F.lit(STEP)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+        ends = F.array_max(F.transform(F.slice(base, b * STEP + 1, F.lit(STEP)), lambda s: s["end"]))
+        return F.struct(F.get(base, b * STEP)["start"].alias("low"), ends.alias("high"), spans.alias("spans"))
+
+    return F.transform(numbers, block)
+
+
+def overlapping(blocks: Column | str, start: Column, end: Column) -> Column:
+    """The spans that overlap a range, looked for in the blocks that do."""
+    reached = F.filter(blocks, lambda b: (b["low"] < end) & (b["high"] > start))
+    return F.flatten(F.transform(reached, lambda b: F.filter(b["spans"], lambda s: (s["start"] < end) & (s["end"] > start))))
 
 
 def entity(span: Column) -> Column:
@@ -126,24 +187,25 @@ def entity(span: Column) -> Column:
 
 def base(documents: DataFrame) -> DataFrame:
     """doc_id, key, and ``base``: the base spans with the words around them, by start and kind. Written once."""
-    text = F.coalesce("text", F.lit(""))
-    found = F.array_sort(F.concat(*[matches(text, k) for k in KINDS]))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(documents).alias("key"), found.alias("base"))
-    return stored(rows, "base-spans")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(documents).alias("key"), "text")
+    return stored(with_base(rows).select("doc_id", "key", "base"), "base-spans")
 
 
 def nearby(found: DataFrame) -> DataFrame:
     """A row for each term near an entity: key, entity, term, common (a function word), start, end, and, of one mention that
     it is near, the context and its neighbours left and right."""
-    mention = found.select("key", "base", F.explode("base").alias("m"))
+    held = compute_once(found.select("key", "base").filter(F.size("base") > 0), {"blocks": in_blocks(F.col("base"))})
+    near = lambda m: overlapping("blocks", m["start"] - F.length(m["before"]), m["end"] + F.length(m["after"]))
+    mentions = F.transform("base", lambda m: F.struct(m.alias("m"), near(m).alias("spans")))
+    mention = held.select("key", F.explode(mentions).alias("both")).select("key", "both.m", "both.spans")
     words = F.regexp_replace(F.lower(F.concat_ws(" ", "m.before", "m.after")), r"[^\p{L}\p{M}]+", " ")
     sides = F.array(
         F.struct((F.col("m.start") - F.length("m.before")).alias("at"), F.col("m.before").alias("words")),
         F.struct(F.col("m.end").alias("at"), F.col("m.after").alias("words")),
     )
-    side = mention.select("key", "base", entity(F.col("m")).alias("entity"), F.xxhash64(words).alias("context"), F.explode(sides).alias("s"))
+    side = mention.select("key", "spans", entity(F.col("m")).alias("entity"), F.xxhash64(words).alias("context"), F.explode(sides).alias("s"))
     terms = side.select(
-        "key", "base", "entity", "context", F.col("s.at").alias("at"),
+        "key", "spans", "entity", "context", F.col("s.at").alias("at"),
         F.regexp_extract_all("s.words", F.lit(TERM), F.lit(0)).alias("terms"),
         F.split("s.words", TERM, -1).alias("gaps"),
     )
@@ -154,13 +216,13 @@ def nearby(found: DataFrame) -> DataFrame:
     ) + F.aggregate(F.slice("terms", F.lit(1), F.col("i")), F.lit(0), lambda a, t: a + F.length(t))
     start = (F.col("at") + length).alias("start")
     rows = exploded.select(
-        "key", "base", "entity", "context", F.xxhash64(F.lower("word")).alias("term"), start,
+        "key", "spans", "entity", "context", F.xxhash64(F.lower("word")).alias("term"), start,
         F.lower("word").isin(*sorted(STOP_WORDS)).alias("common"),
         (F.col("at") + length + F.length("word")).alias("end"),
         F.xxhash64(F.lower(F.get("terms", F.col("i") - 1))).alias("left"),
         F.xxhash64(F.lower(F.get("terms", F.col("i") + 1))).alias("right"),
     )
-    outside = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
+    outside = ~F.exists("spans", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     seen = F.min(F.struct("context", "left", "right")).alias("seen")
     rows = rows.filter(outside).groupBy("key", "entity", "term", "common", "start", "end").agg(seen)
     return rows.select("key", "entity", "term", "common", "start", "end", "seen.*")
@@ -214,19 +276,10 @@ def occurrences(documents: DataFrame, marked: Callable[[Column], Column]) -> Dat
     rows = compute_once(rows, {"hits": F.filter(hits, lambda h: marked(h["term"]) & ~h["email"])}).filter(F.size("hits") > 0)
     rows = compute_once(rows, {"gaps": F.split(text, TOKEN, -1)})
     lengths = F.transform("tokens", lambda t, i: F.length(F.get("gaps", i)) + F.length(t))
-    rows = compute_once(rows.drop("text"), {"lengths": lengths}).drop("tokens", "gaps")
-
-    def total(numbers: str, first: Column, count: Column) -> Column:
-        return F.aggregate(F.slice(numbers, first + 1, count), F.lit(0), lambda a, n: a + n)
-
-    # lengths are added up in steps, so that a place takes few additions
-    steps = F.sequence(F.lit(0), F.floor((F.size("lengths") - 1) / STEP).cast("int"))
-    rows = compute_once(rows, {"sums": F.transform(steps, lambda s: total("lengths", s * STEP, F.lit(STEP)))})
-    rows = compute_once(rows, {"heads": F.transform("sums", lambda _, s: total("sums", F.lit(0), s))})
+    rows = with_places(rows.drop("text"), {"lengths": lengths}).drop("tokens", "gaps")
 
     def placed(hit: Column) -> Column:
-        step, rest = F.floor(hit["i"] / STEP).cast("int"), hit["i"] % STEP
-        end = F.get("heads", step) + total("lengths", step * STEP, rest + 1)
+        end = end_of("lengths", hit["i"])
         return F.struct((end - hit["size"]).alias("start"), end.alias("end"), hit["term"].alias("term"))
 
     return compute_once(rows, {"places": F.transform("hits", placed)}).select("key", F.inline("places"))
@@ -249,9 +302,10 @@ def term_spans(documents: DataFrame, found: DataFrame) -> DataFrame:
 
 def with_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
     """The rows of ``found`` with ``terms``: spans of their disclosing terms that overlap no base span."""
-    outside = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"]))
     joined = found.join(terms, "key", "left").withColumn("terms", F.coalesce("terms", F.array().cast(TERMS)))
-    return joined.withColumn("terms", F.filter("terms", outside))
+    joined = compute_once(joined, {"blocks": F.when(F.size("terms") > 0, in_blocks(F.col("base")))})
+    outside = F.filter("terms", lambda t: F.size(overlapping("blocks", t["start"], t["end"])) == 0)
+    return joined.withColumn("terms", F.when(F.size("terms") > 0, outside).otherwise(F.col("terms"))).drop("blocks")
 
 
 def all_spans(documents: DataFrame) -> DataFrame:
@@ -291,28 +345,43 @@ def report(documents: DataFrame) -> DataFrame:
     )
 
 
-def replaced(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the first to start counts."""
+def replaced(rows: DataFrame) -> DataFrame:
+    """The rows with ``written``: ``text`` with each of ``spans`` replaced by its kind in brackets; of overlapping spans the first to
+    start counts. Spans are taken STEP at a time, each with its own part of the text."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in [*KINDS, "term"]])
+    numbers = lambda c: F.filter(F.sequence(F.lit(0), F.floor(F.size(c) / STEP).cast("int")), lambda b: b * STEP < F.size(c))
 
     def apart(kept: Column, s: Column) -> Column:
         return F.when(s["start"] >= kept["at"], F.struct(s["end"].alias("at"), F.concat(kept["spans"], F.array(s)).alias("spans"))).otherwise(kept)
 
-    kind = "array<struct<start:int,kind:int,end:int,removed:boolean>>"
-    kept = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans")), apart, lambda k: k["spans"])
-    out = F.transform(
-        kept,
-        lambda s, i: F.concat(
-            F.substring(
-                text,
-                F.when(i > 0, F.get(kept, i - 1)["end"]).otherwise(0) + 1,
-                s["start"] - F.when(i > 0, F.get(kept, i - 1)["end"]).otherwise(0),
-            ),
-            F.when(s["removed"], "").otherwise(F.get(names, s["kind"])),
-        ),
-    )
-    rest = F.substring(text, F.element_at(kept, -1)["end"] + 1, F.length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(out, ""), rest)).otherwise(text)
+    def block_apart(kept: Column, b: Column) -> Column:
+        own = F.aggregate(F.slice("spans", b * STEP + 1, F.lit(STEP)), F.struct(kept["at"].alias("at"), F.array().cast(PLAIN).alias("spans")), apart)
+        both = lambda o: F.struct(o["at"].alias("at"), F.concat(kept["parts"], F.array(o["spans"])).alias("parts"))
+        return F.get(F.transform(F.array(own), both), F.lit(0))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{PLAIN}>").alias("parts"))
+    kept = F.aggregate(numbers("spans"), start, block_apart, lambda k: F.flatten(k["parts"]))
+    rows = compute_once(rows, {"_kept": kept})
+
+    def part(b: Column) -> Column:
+        spans = F.slice("_kept", b * STEP + 1, F.lit(STEP))
+        begin = F.when(b > 0, F.get("_kept", b * STEP - 1)["end"]).otherwise(0)
+        end = F.get("_kept", F.least(b * STEP + STEP, F.size("_kept")) - 1)["end"]
+        return F.struct(begin.alias("begin"), spans.alias("spans"), F.substring("text", begin + 1, end - begin).alias("text"))
+
+    rows = compute_once(rows, {"_parts": F.transform(numbers("_kept"), part)})
+
+    def with_names(p: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(p["spans"], i - 1)["end"]).otherwise(p["begin"])
+            mark = F.when(s["removed"], "").otherwise(F.get(names, s["kind"]))
+            return F.concat(F.substring(p["text"], before - p["begin"] + 1, s["start"] - before), mark)
+
+        return F.array_join(F.transform(p["spans"], one), "")
+
+    rest = F.substring("text", F.element_at("_kept", -1)["end"] + 1, F.length("text"))
+    written = F.concat(F.array_join(F.transform("_parts", with_names), ""), rest)
+    return compute_once(rows, {"written": F.when(F.size("_kept") > 0, written).otherwise(F.col("text"))}).drop("_kept", "_parts")
 
 
 def sanitised(documents: DataFrame) -> DataFrame:
@@ -321,6 +390,9 @@ def sanitised(documents: DataFrame) -> DataFrame:
     spans = with_terms(found.select("key", "base"), term_spans(documents, found))
     spans = spans.select("key", plain(F.col("base"), F.col("terms")).alias("spans")).filter(F.size("spans") > 0)
     spans = spans.dropDuplicates(["key"])
-    joined = documents.select(row_key(documents).alias("key"), F.struct("*").alias("row")).join(spans, "key", "left")
-    text = F.when(F.col("spans").isNotNull(), replaced(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
-    return joined.select(*[(text if c == "text" else F.col("row")[c]).alias(c) for c in documents.columns])
+    # columns by number, so that none clashes with those made here
+    own = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(documents.columns)]
+    joined = documents.select(row_key(documents).alias("key"), *own).join(spans, "key", "left")
+    text = F.col(f"_{documents.columns.index('text')}").alias("text")
+    joined = replaced(joined.select("*", text).withColumn("spans", F.coalesce("spans", F.array().cast(PLAIN))))
+    return joined.select(*[(F.col("written") if c == "text" else F.col(f"_{i}")).alias(c) for i, c in enumerate(documents.columns)])
