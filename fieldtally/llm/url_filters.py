@@ -33,7 +33,7 @@ from fieldtally.llm.graph import components
 TRACKING = r"(?:utm_[a-z]+|gclid|fbclid)"
 
 _URL = r"^[^:/?#]*://([^/?#]*)([^?#]*)"
-_TAG_END = r"[^>]*+>"
+_TAG_END = r"[^<>]*+>"  # up to the next tag at most, so that unclosed ones take no time
 
 
 def host_of(url: Column) -> Column:
@@ -137,7 +137,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFr
         .filter("blocked and not coalesce(allowed, false)")
         .select("root")
     )
-    blocked = aliases.join(decided, "root").select("node", F.lit(True).alias("by_alias"))
+    # written, so that the join's sides are plain exchanges, which Spark splits where a root has very many aliases
+    blocked = aliases.join(stored(decided, "blocked"), "root").select("node", F.lit(True).alias("by_alias"))
     rule = fitting_rule(F.col("host"), F.col("path"), rules)
     judged = seen.withColumn("fit", rule).join(blocked, "node", "left")
     return judged.select(

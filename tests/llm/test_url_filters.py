@@ -101,3 +101,12 @@ def test_targets_are_resolved(spark):
     html = "<link rel=stylesheet href=s.css><link href='../x?a=1&amp;b=2' rel=\"canonical\"><meta http-equiv='Refresh' content=\"5;url='/y'\">"
     df = spark.createDataFrame([("http://h.com/a/b", html)], "u string, h string")
     assert df.select(uf.targets(F.col("u"), F.col("h"))).first()[0] == ["http://h.com/x?a=1&b=2", "http://h.com/y"]
+
+
+def test_unclosed_tags_take_linear_time(spark):
+    import time
+
+    pages = [(i, "http://a.example.org/x", mark + tag * 60_000) for i, (mark, tag) in enumerate([("canonical", "<link "), ("http-equiv", "<meta ")])]
+    began = time.perf_counter()
+    got = uf.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), [("block", "net", "/")]).collect()
+    assert time.perf_counter() - began < 30 and {r.verdict for r in got} == {"allow"}
