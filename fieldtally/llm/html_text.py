@@ -69,7 +69,7 @@ OUT_NAMES_OUTSIDE = OUT_NAMES | {"header"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|math)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|iframe|svg|math)\b[^<>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*>?"
     r"""|<(?P<close>/?)(?P<tag>[a-z][^\s/<>]*)(?P<attributes>(?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+'|["'])*+)>?"""
     r"|(?P<text>[^<]++|<)",
