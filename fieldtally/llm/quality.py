@@ -1,6 +1,6 @@
 """Quality rules: fixed counts, and logistic regression on hashed word and character n-grams.
 
-Features are the shares of hashed word 1- and 2-grams and of byte 3-grams, so
+Features are the shares of hashed word 1- and 2-grams and of character 3-grams, so
 long and short texts are alike and a score is two means of weights. The model is
 fitted on labelled rows, at most ``SAMPLE_ROWS`` of them (those of the lowest
 hashes of doc_id), and its score is turned into a probability on the part of
@@ -10,7 +10,7 @@ in Arrow batches; only the weights, of fixed size, are sent out.
 Null text has no words and fails the base rules, as a text of white space does.
 Repeated rows are judged alike. Without labels (or with one class only) the
 model keeps all. Labels without text, and null labels, are not used. Of
-clashing labels for a document each counts as a row.
+clashing labels for a document each counts as a row; of rows that share a labelled doc_id one is used.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import WordHashes, gram_hashes, map_batches, texts_of
+from fieldtally.llm.common import WordHashes, gram_hashes, map_batches, mix, texts_of
 
 BITS = 17  # of each of the two feature blocks
 SAMPLE_ROWS = 3000
@@ -38,13 +38,13 @@ def word_features(words: np.ndarray) -> np.ndarray:
     return (np.concatenate([words, gram_hashes(words, 2)]) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def byte_features(text: bytes) -> np.ndarray:
-    """Feature numbers of byte 3-grams."""
-    x = np.frombuffer(text, np.uint8).astype(np.uint32)
+def char_features(text: str) -> np.ndarray:
+    """Feature numbers of character 3-grams."""
+    x = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
     if len(x) < 3:
         return np.empty(0, np.int64)
-    code = (x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]
-    return ((code * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64) + (1 << BITS)
+    code = (x[:-2] << np.uint64(42)) | (x[1:-1] << np.uint64(21)) | x[2:]  # code points have 21 bits
+    return (mix(code) >> np.uint64(64 - BITS)).astype(np.int64) + (1 << BITS)
 
 
 @dataclass
@@ -55,9 +55,9 @@ class QualityModel:
     slope: float
     offset: float
 
-    def probability(self, words: np.ndarray, text: bytes) -> float:
+    def probability(self, words: np.ndarray, text: str) -> float:
         score = 0.0
-        for found in (word_features(words), byte_features(text)):
+        for found in (word_features(words), char_features(text)):
             if len(found):
                 score += float(self.weights[found].mean())
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * score + self.offset))))
@@ -77,7 +77,7 @@ def shares(documents: DataFrame) -> DataFrame:
             for text in texts_of(batch):
                 raw = text.encode()
                 index, share = [], []
-                for found in (word_features(hashes.of(raw.split())), byte_features(raw)):
+                for found in (word_features(hashes.of(raw.split())), char_features(text)):
                     if len(found):
                         own, counts = np.unique(found, return_counts=True)
                         index.append(own)
@@ -103,6 +103,8 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Q
         .limit(rows)
     )
     texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # of at most ``rows`` rows
+    # of rows that share a labelled doc_id one counts, that of the least text hash
+    texts = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     found = shares(texts).toArrow()
     target = np.array(found.column("quality").to_pylist(), np.float64)
     if len(set(target)) < 2:
@@ -202,7 +204,7 @@ def judge(documents: DataFrame, model: QualityModel, keep: bool = False) -> Data
             words = hashes.of(raw.split())
             n, again = len(words), repeated(words)
             failed = n < MIN_WORDS or 100 * again > MAX_REPEATED_PERCENT * n
-            p = own.probability(words, raw)
+            p = own.probability(words, text)
             chars = len(text) - len(raw) + len(raw.translate(None, SPACES))
             symbols = len(raw) - len(raw.translate(None, SYMBOLS))
             return n, chars, symbols, repeated_lines(raw), again, failed, p, not failed and p >= MIN_PROBABILITY

@@ -68,3 +68,19 @@ def test_keep_gives_whole_rows(documents_of):
     out = quality.judge(df, quality.KEEP_ALL, keep=True)
     assert out.columns == df.columns and [r.doc_id for r in out.collect()] == [1]
     assert quality.judge(documents_of([]), quality.KEEP_ALL).count() == 0
+
+
+def test_one_row_for_each_label_is_fitted_on(documents_of, spark, monkeypatch):
+    """However many rows hold a labelled doc_id."""
+    rows = [(i % 2, f"text {i} of a repeated id") for i in range(300)] + [(2, "clean text"), (3, None)]
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    seen = []
+    whole = quality.shares
+    monkeypatch.setattr(quality, "shares", lambda df: seen.append(df.count()) or whole(df))
+    quality.train(documents_of(rows), labels)
+    assert seen == [5]
+
+
+def test_characters_of_any_script_are_one_each():
+    assert len(quality.char_features("дом")) == 1 == len(quality.char_features("日本語")) and len(quality.char_features("🙂🙂")) == 0
+    assert len(set(quality.char_features("abcabd").tolist())) == 4
