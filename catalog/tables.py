@@ -10,7 +10,9 @@ from fieldtally.operators.daily import seasonal_features, temperature_features
 from fieldtally.operators.frequency import count_by_year, top_k
 from fieldtally.operators.scaling import minmax, zscore
 from fieldtally.plans.modeling import weather_table
+from fieldtally.session import scratch_folder
 from fieldtally.sources import payload as pl
+from fieldtally.sources.sinks import write_in_z_order
 
 from .base import DAYS_SQL, PHOTOS_SQL, WEATHER_SQL, Registry, days, load, photos, rounded, weather
 
@@ -40,6 +42,16 @@ def bbox_filter(spark, sf_dir):
     return fl.filter_by_bbox(photos(spark, sf_dir), Box.default()).select("date", "photo_url", "latitude", "longitude")
 
 
+@registry.add(f"""WITH {PHOTOS_SQL}
+SELECT date, photo_url, latitude, longitude FROM photos
+WHERE latitude >= 30.1 AND latitude <= 30.6 AND longitude >= -95.5 AND longitude <= -95.0""")
+def bbox_ranges(spark, sf_dir):
+    """A box of a table in Z-order, found by ranges of keys."""
+    table = write_in_z_order(photos(spark, sf_dir), scratch_folder(spark, "z-order"), files=8)
+    found = fl.filter_by_bbox_in_order(table, Box(-95.5, 30.1, -95.0, 30.6))
+    return found.select("date", "photo_url", "latitude", "longitude")
+
+
 @registry.add("""SELECT vec_id, CAST(embedding[1] AS DOUBLE) BETWEEN -0.1 AND 0.1
        AND CAST(embedding[2] AS DOUBLE) BETWEEN -0.1 AND 0.1 AS inside FROM embeddings""")
 def bbox_contains(spark, sf_dir):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import END_YEAR, START_YEAR, in_years
 from ..functions.geo import Box
+from ..functions.zorder import box_ranges, in_ranges
 
 
 def _date_key(df: DataFrame, column: str) -> Column:
@@ -31,6 +32,14 @@ def filter_by_bbox(
     return df.where(box.contains(F.col(lat_col), F.col(lon_col)))
 
 
+def filter_by_bbox_in_order(
+    df: DataFrame, box: Box, lat_col: str = "latitude", lon_col: str = "longitude", key: str = "z"
+) -> DataFrame:
+    """As :func:`filter_by_bbox`, of a table that :func:`fieldtally.sources.sinks.write_in_z_order` wrote: ranges of its
+    key lead the scan past the files and row groups without points of the box."""
+    return filter_by_bbox(df.where(in_ranges(F.col(key), box_ranges(box))), box, lat_col, lon_col)
+
+
 def drop_incomplete(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with a value in every listed column."""
     return df.na.drop(subset=columns)

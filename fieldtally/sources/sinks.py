@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.zorder import z_key
+
 
 def flat_for_csv(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text, which the list expressions read back."""
@@ -34,3 +36,17 @@ def write_table(
     if fmt == "csv":
         reader = reader.option("header", True).option("escape", '"').option("multiLine", True)
     return reader.load(path).select(*[F.col(f"`{c}`") for c in columns])
+
+
+def write_in_z_order(
+    df: DataFrame, path: str, lat_col: str = "latitude", lon_col: str = "longitude", key: str = "z", files: int | None = None, **options: str
+) -> DataFrame:
+    """Replace the Parquet table at ``path`` by the rows in the order of ``key``, a Z-order key of their point, and read it back.
+
+    Rows are dealt to files by ranges of the key, so files do not overlap; rows without a point come first.
+    ``files`` defaults to the shuffle partitions, ``options`` go to the writer (row group and page sizes).
+    """
+    keyed = df.withColumn(key, z_key(F.col(lat_col), F.col(lon_col)))
+    dealt = keyed.repartitionByRange(files, key) if files else keyed.repartitionByRange(key)
+    dealt.sortWithinPartitions(key).write.mode("overwrite").options(**options).parquet(path)
+    return df.sparkSession.read.schema(keyed.schema).parquet(path)
