@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from fieldtally.functions.rules import RuleSet
+from fieldtally.operators import rule_tables
 from fieldtally.operators import taxonomy as t
 
-from .base import PHOTOS_SQL, RULES, Registry, first_keyword_sql, keep_sql, load, parsed_photos, reason_sql
+from .base import PHOTOS_SQL, RULES, Registry, first_keyword_sql, keep_sql, load, parsed_photos, photos, reason_sql
 
 registry = Registry()
 
@@ -137,3 +138,31 @@ def rule_reasons_many_keywords(spark, sf_dir):
     return load(spark, sf_dir, "documents").select(
         "doc_id", rules.keep(F.lit("name"), text).alias("kept"), rules.reason(F.lit("name"), text).alias("reason")
     )
+
+
+@registry.add(f"""WITH {PHOTOS_SQL}, listed AS (
+  SELECT 'exclude_species' AS kind, p_name AS value FROM part WHERE p_size % 3 = 0
+  UNION ALL SELECT 'include_species', upper(p_name) FROM part WHERE p_size % 6 = 0
+  UNION ALL SELECT 'exclude_genera', split_part(p_name, ' ', 1) FROM part WHERE p_size = 7),
+ranked AS (SELECT lower(value) AS name, min(CASE kind WHEN 'include_species' THEN 1 WHEN 'exclude_species' THEN 2 ELSE 3 END) AS rank,
+                  kind = 'exclude_genera' AS genus FROM listed GROUP BY 1, 3),
+judged AS (SELECT page_url, photo_url, first_species, least(s.rank, g.rank) AS rank FROM photos
+           LEFT JOIN ranked AS s ON s.name = lower(first_species) AND NOT s.genus
+           LEFT JOIN ranked AS g ON g.name = lower(split_part(first_species, ' ', 1)) AND g.genus)
+SELECT page_url, photo_url, coalesce(rank = 1, TRUE) AS keep,
+       CASE rank WHEN 2 THEN 'species in exclude list: ' || first_species
+                 WHEN 3 THEN 'genus excluded: ' || upper(split_part(first_species, ' ', 1)[1]) || lower(split_part(first_species, ' ', 1)[2:])
+       END AS exclusion_reason FROM judged""")
+def rule_table(spark, sf_dir):
+    """Rules that are a table themselves: names of parts."""
+    part = load(spark, sf_dir, "part")
+
+    def listed(kind, value, where):
+        return part.where(where).select(F.lit(kind).alias("kind"), value.alias("value"))
+
+    rules = listed("exclude_species", F.col("p_name"), "p_size % 3 = 0").union(
+        listed("include_species", F.upper("p_name"), "p_size % 6 = 0")
+    ).union(listed("exclude_genera", F.substring_index("p_name", " ", 1), "p_size = 7"))
+    rows = photos(spark, sf_dir).withColumn("first_species", F.regexp_extract("full_caption", r"^(.*?) \(", 1))
+    out = rule_tables.judge_by_table(rows, rules, spread=4)
+    return out.select("page_url", "photo_url", "keep", "exclusion_reason")

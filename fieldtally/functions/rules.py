@@ -57,9 +57,9 @@ class RuleSet:
         return cls()
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
-        """The rules as rows of (kind, value)."""
-        rows = [(f.name, v) for f in fields(self) for v in getattr(self, f.name)]
-        return spark.createDataFrame(rows, "kind string, value string")
+        """The rules as rows of (kind, value, position), for operators.rule_tables; positions count from 1 within a kind."""
+        rows = [(f.name, v, i) for f in fields(self) for i, v in enumerate(getattr(self, f.name), start=1)]
+        return spark.createDataFrame(rows, "kind string, value string, position int")
 
     @property
     def keywords(self) -> tuple[str, ...]:
