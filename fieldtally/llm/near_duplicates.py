@@ -91,7 +91,9 @@ def signatures(documents: DataFrame) -> DataFrame:
 def candidate_edges(classes: DataFrame) -> DataFrame:
     """a, b: each class with the least class that has the same hash in a band."""
     bands = classes.select("same", F.explode("bands").alias("band"))
+    # written, as the other aggregates below: the join's sides are then plain exchanges, which Spark splits at a hot key
     least = bands.groupBy("band").agg(F.min("same").alias("least"), F.max("same").alias("most")).filter("least < most")
+    least = stored(least, "least-of-bands")
     return bands.join(least, "band").filter("same > least").select(F.col("same").alias("a"), F.col("least").alias("b")).distinct()
 
 
@@ -176,7 +178,8 @@ def links_of(documents: DataFrame, rows: DataFrame) -> DataFrame:
     classes = rows.filter(F.col("bands").isNotNull()).groupBy("same").agg(F.first("bands").alias("bands"), F.min("key").alias("key"))
     members = components(candidate_edges(classes))
     tiles = F.ceil(F.count("*") / TILE).cast("int").alias("tiles")
-    placed = members.join(members.groupBy("root").agg(tiles), "root").withColumnRenamed("node", "same")
+    sizes = stored(members.groupBy("root").agg(tiles), "component-sizes")
+    placed = members.join(sizes, "root").withColumnRenamed("node", "same")
     placed = stored(placed.join(classes.select("same", "key"), "same"), "members")
     # one text stands for each class; which one does not matter, as their sets are equal
     texts = documents.select(row_key(documents).alias("key"), "text")
@@ -198,8 +201,8 @@ def grouped(documents: DataFrame) -> DataFrame:
     roots = components(links.select(F.col("same").alias("a"), F.col("forest").alias("b"))).withColumnRenamed("node", "same")
     totals = links.groupBy("same").agg(F.sum("n_links").alias("n_links"))
     classes = classes.join(totals, "same", "left").join(roots, "same", "left")
-    classes = classes.withColumn("root", F.coalesce("root", "same"))
-    groups = classes.groupBy("root").agg(F.min("first").alias("of_group"))
+    classes = stored(classes.withColumn("root", F.coalesce("root", "same")), "classes")
+    groups = stored(classes.groupBy("root").agg(F.min("first").alias("of_group")), "groups")
     classes = classes.join(groups, "root").select(
         "same", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(F.col("of_group.doc_id") != LAST, F.col("of_group.doc_id")).alias("group_id"),
