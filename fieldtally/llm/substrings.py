@@ -32,10 +32,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import WordHashes, gram_hashes, list_array, pieces, stored, texts_of
+from fieldtally.llm.common import WordHashes, gram_hashes, list_array, mix, pieces, stored, texts_of
 
 LENGTH, SEED = 13, 7
 BATCH_ROWS, BUCKET_BYTES = 2000, 8 << 20
@@ -82,8 +83,8 @@ def dealt(documents: DataFrame, buckets: int) -> DataFrame:
     """bucket, anchors, contexts, docs: what a batch has in a bucket. Negative buckets hold contexts settled in the batch."""
 
     def run(batches):
-        hashes = WordHashes()
-        for batch in pieces(batches, BATCH_ROWS):
+        hashes, part = WordHashes(), TaskContext.get().partitionId() << 32
+        for number, batch in enumerate(pieces(batches, BATCH_ROWS), start=part):
             found = []
             for doc, text in zip(ids_of(batch), texts_of(batch)):
                 anchor, context, _, _ = stretches(hashes.of(text.encode().split()))
@@ -98,7 +99,9 @@ def dealt(documents: DataFrame, buckets: int) -> DataFrame:
             least = np.repeat(doc[group], np.diff(np.r_[group, len(doc)]))
             settled = doc > least
             bucket = ((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            bucket[settled] = -1 - (doc[settled] % buckets).astype(np.int32)
+            # a document is in one batch, rows without id or of one id are in many: the batch has a say
+            dealt_by = mix(doc[settled].view(np.uint64) ^ mix(np.array([number], np.uint64)))
+            bucket[settled] = -1 - (dealt_by % np.uint64(buckets)).astype(np.int32)
             use = ~same | settled  # once for each document
             bucket, anchor, context, doc = bucket[use], anchor[use], context[use], doc[use]
             order = np.lexsort((doc, bucket))

@@ -79,3 +79,13 @@ def test_rows_without_doc_id_get_their_own_contexts(documents_of, monkeypatch):
     monkeypatch.setattr(ss, "extended", spy)
     assert got(documents_of(rows).repartition(5)) == brute(rows)
     assert 0 < max(sizes) < 40
+
+
+def test_settled_rows_without_doc_id_are_spread(documents_of):
+    """Copies without doc_id in many batches do not meet in one bucket."""
+    rng = random.Random(10)
+    passage = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(60))
+    rows = [(i, passage) for i in range(300)] + [(None, passage)] * 4000
+    dealt = ss.dealt(documents_of(rows).repartition(16), 64)
+    sizes = [r.n for r in dealt.filter("bucket < 0").groupBy("bucket").agg(ss.F.sum(ss.F.size("contexts")).alias("n")).collect()]
+    assert len(sizes) > 6 and max(sizes) < 0.4 * sum(sizes)
