@@ -1,13 +1,16 @@
 """Filters, column selection, scaling, summaries, payloads."""
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from fieldtally.functions.dates import since_year
 from fieldtally.functions.geo import Box
-from fieldtally.operators import audit
+from fieldtally.operators import audit, sketches
 from fieldtally.operators import filters as fl
 from fieldtally.operators.daily import seasonal_features, temperature_features
 from fieldtally.operators.frequency import count_by_year, top_k
+from fieldtally.operators.frequent_items import exact_top
 from fieldtally.operators.scaling import minmax, zscore
 from fieldtally.plans.modeling import weather_table
 from fieldtally.session import scratch_folder
@@ -167,3 +170,26 @@ FROM (SELECT DISTINCT date_trunc('month', l_shipdate) AS m FROM lineitem)""")
 def payload_errors(spark, sf_dir):
     broken = payloads(spark, sf_dir).select(F.replace("payload", F.lit('"rain_sum"'), F.lit('"rain"')).alias("payload"))
     return pl.bad_payloads(broken).select(F.lit(1).alias("n_bad"), "error")
+
+
+@registry.add("""SELECT p_name, count(*) AS occurrences FROM lineitem JOIN part ON l_partkey = p_partkey
+GROUP BY p_name ORDER BY occurrences DESC, p_name LIMIT 25""")
+def frequent_items_exact(spark, sf_dir):
+    """The 25 most frequent names, counted by bounded summaries and an exact recount."""
+    names = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return exact_top(names, "p_name", 25)
+
+
+@registry.add("""SELECT event_type, count(DISTINCT user_id) AS users, TRUE AS within_bound
+FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' GROUP BY event_type""")
+def distinct_from_sketches(spark, sf_dir):
+    """Distinct users over two weeks, by sketches of single days, beside exact counts."""
+    days = load(spark, sf_dir, "events").withColumn("date", F.to_date("ts"))
+    stored = scratch_folder(spark, "sketches")
+    sketches.distinct_sketches(days, ["event_type", "date"], "user_id").write.parquet(stored)
+    span = sketches.between(spark.read.parquet(stored), date(2024, 1, 5), date(2024, 1, 19))
+    exact = days.where(F.col("date").between(date(2024, 1, 5), date(2024, 1, 19))).groupBy("event_type")
+    exact = exact.agg(F.countDistinct("user_id").alias("users"))
+    both = exact.join(sketches.distinct_over(span, ["event_type"]), "event_type")
+    off = F.abs(F.col("n_distinct") - F.col("users"))
+    return both.select("event_type", "users", (off <= F.col("users") * 4 * sketches.standard_error() + 1).alias("within_bound"))
