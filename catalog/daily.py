@@ -1,12 +1,17 @@
 """Calendar, presence, weather features, rolling windows, reconciliation."""
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from fieldtally.functions.dates import season
 from fieldtally.operators import audit
 from fieldtally.operators import daily as d
+from fieldtally.operators.filters import filter_by_year
 from fieldtally.operators.frequency import count_by, distinct_per_day
+from fieldtally.plans import refresh
 from fieldtally.plans.modeling import daily_dataset
+from fieldtally.session import scratch_folder
 
 from .base import (
     DAYS_SQL, EVENT_DAYS_SQL, PHOTOS_SQL, WEATHER_SQL, Registry, days, event_days, load, parsed_photos, photos,
@@ -194,3 +199,16 @@ def season_counts(spark, sf_dir):
     return o.groupBy(season(F.col("o_orderdate")).alias("season"), F.year("o_orderdate").alias("year")).agg(
         F.count("*").alias("n")
     )
+
+
+@registry.add(f"WITH {DAILY_SQL} SELECT date, photo_count, species_count, rain_3, rain_7 FROM daily")
+def daily_refresh(spark, sf_dir):
+    """A dataset built without the records of some dates, brought up to date with them."""
+    folder = scratch_folder(spark, "daily")
+    rain = filter_by_year(weather(spark, sf_dir), "date", 1996, 1999)
+    whole, seen = days(spark, sf_dir), parsed_photos(spark, sf_dir).select("date", "species_list")
+    late = [date(1996, 5, 1), date(1996, 5, 2), date(1998, 12, 30)]
+    early = [x.where(~F.col("date").isin(late)) for x in (whole, seen)]
+    refresh.write_daily(daily_dataset(early[0], rain, early[1]), folder)
+    out = refresh.refresh_daily(spark, folder, whole, rain, seen, late)
+    return out.select("date", "photo_count", "species_count", "rain_3", "rain_7")
