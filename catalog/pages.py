@@ -197,6 +197,13 @@ located AS (
 
 @registry.add(f"WITH {LOCATED_SQL} SELECT * EXCLUDE (p_partkey) FROM located")
 def placemark_join(spark, sf_dir):
+    pages, docs = day_pages(spark, sf_dir), attachments(spark, sf_dir)
+    return flat_refs(pm.locate_photos_by_points(p.photo_records(pages), pm.document_points(docs, key="page_url")))
+
+
+@registry.add(f"WITH {LOCATED_SQL} SELECT * EXCLUDE (p_partkey) FROM located")
+def placemark_join_tables(spark, sf_dir):
+    """The same by two lookup tables, one of named points and one of default points."""
     pages, docs = day_pages(spark, sf_dir), attachments(spark, sf_dir)
     located = pm.locate_photos(p.photo_records(pages), pm.placemarks(docs), pm.default_points(docs), spread=4)
     return flat_refs(located)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import unescape
 from ..functions.text import BLANK_CLASS, strip
+from ..session import reusable
 from .columns import compute_once
 from .joins import lookup_join
 from .pages import location_key, page_fields, photo_records
@@ -64,21 +65,26 @@ def _coordinates(kml: Column) -> Column:
     return F.filter(F.transform(texts, lambda t: _lat_lon(F.regexp_extract(t, first_tuple, 1))), lambda p: p.isNotNull())
 
 
-def document_points(documents: DataFrame, kml_col: str = "kml") -> DataFrame:
-    """kmz_url, ``points`` (map of names to points, the last of a name), default_lat and default_lon.
+def document_points(documents: DataFrame, kml_col: str = "kml", key: str = "kmz_url") -> DataFrame:
+    """``key``, ``points`` (map of names to points, the last of a name), default_lat and default_lon.
 
-    Every document is parsed once. ``documents`` has one row per attachment.
+    Every document is parsed once. Where a key has several documents, the place within a document decides, and between
+    equal places, as for the default point, a hash of the document: the result does not hang on the order of rows.
     """
     kml = F.col("_kml")
-    parsed = compute_once(_readable(documents, "kmz_url", kml_col), {"_points": _points(kml), "_any": _coordinates(kml)})
+    parsed = compute_once(_readable(documents, key, kml_col), {"_points": _points(kml), "_any": _coordinates(kml)})
     default = [F.coalesce(F.get("_points", F.lit(0))[c], F.get("_any", F.lit(0))[c]).alias(f"default_{c}") for c in ("lat", "lon")]
-    rows = parsed.select("kmz_url", *default, F.posexplode_outer("_points").alias("pos", "p"))
-    defaults = [F.first(c, ignorenulls=True).alias(c) for c in ("default_lat", "default_lon")]
-    named = rows.groupBy("kmz_url", F.col("p.name").alias("name")).agg(
-        F.max_by("p.lat", "pos").alias("lat"), F.max_by("p.lon", "pos").alias("lon"), *defaults
-    )
+    mark = F.shiftrightunsigned(F.xxhash64(kml), 32).alias("_mark")
+    rows = parsed.select(key, mark, *default, F.posexplode_outer("_points").alias("pos", "p"))
+    place = F.coalesce("pos", F.lit(0)).cast("long") * (1 << 32) + F.col("_mark")
+    has_default = F.when(F.col("default_lat").isNotNull(), F.col("_mark"))
+    named = rows.groupBy(key, F.col("p.name").alias("name")).agg(
+        F.max_by("p.lat", place).alias("lat"), F.max_by("p.lon", place).alias("lon"),
+        *[F.min_by(c, has_default).alias(c) for c in ("default_lat", "default_lon")], F.min(has_default).alias("_mark"),
+    )
     point = F.when(F.col("name").isNotNull(), F.struct("name", F.struct("lat", "lon").alias("at")))
-    return named.groupBy("kmz_url").agg(F.map_from_entries(F.collect_list(point)).alias("points"), *defaults)
+    defaults = [F.min_by(c, "_mark").alias(c) for c in ("default_lat", "default_lon")]
+    return named.groupBy(key).agg(F.map_from_entries(F.collect_list(point)).alias("points"), *defaults)
 
 
 def placemarks(documents: DataFrame, key: str = "page_url", kml_col: str = "kml") -> DataFrame:
@@ -109,12 +115,10 @@ def default_points(documents: DataFrame, key: str = "page_url", kml_col: str = "
         _readable(documents, key, kml_col),
         {"_p": F.coalesce(F.try_element_at(points, F.lit(1)), F.try_element_at(anywhere, F.lit(1)))},
     )
-    return (
-        found.where(F.col("_p").isNotNull())
-        .groupBy(key)
-        .agg(F.min("_p").alias("_p"))
-        .select(key, F.col("_p.lat").alias("default_lat"), F.col("_p.lon").alias("default_lon"))
-    )
+    # the least point of a key in two steps of plain numbers, which combine by hash where a struct would be sorted
+    points = found.where(F.col("_p").isNotNull()).select(key, "_p.lat", "_p.lon").repartition(key)
+    least = points.groupBy(key, "lat").agg(F.min("lon").alias("lon"))
+    return least.groupBy(key).agg(F.min("lat").alias("default_lat"), F.min_by("lon", "lat").alias("default_lon"))
 
 
 def locate_photos(photos: DataFrame, marks: DataFrame, defaults: DataFrame, spread: int = 1) -> DataFrame:
@@ -137,27 +141,36 @@ def locate_photos(photos: DataFrame, marks: DataFrame, defaults: DataFrame, spre
     return found.select(*photos.columns, at["lat"].alias("latitude"), at["lon"].alias("longitude"))
 
 
+def locate_photos_by_points(photos: DataFrame, points: DataFrame, key: str = "page_url") -> DataFrame:
+    """As :func:`locate_photos`, by one row per page with its points as a map (:func:`document_points`): one join, then a
+    lookup within the row. Spark splits a page with very many photos, as nothing else is asked of its rows."""
+    lookup = points.select(
+        key, F.col("points").alias("_points"),
+        F.when(F.col("default_lat").isNotNull(), F.struct(F.col("default_lat").alias("lat"), F.col("default_lon").alias("lon"))).alias("_default"),
+    )
+    found = lookup_join(photos, lookup, key)
+    at = F.coalesce(F.try_element_at("_points", location_key(F.col("photo_url"))), F.col("_default"))
+    found = compute_once(found, {"_at": at})
+    return found.select(*photos.columns, F.col("_at.lat").alias("latitude"), F.col("_at.lon").alias("longitude"))
+
+
 def page_tables(
     pages: DataFrame, documents: DataFrame | None = None, spread: int = 1
 ) -> tuple[DataFrame, DataFrame]:
     """Flat days and photos tables of ``pages`` (date, url, html).
 
-    ``documents`` (kmz_url, kml) holds the landed location attachments, one row
-    per attachment. Without it the coordinates are null.
+    ``documents`` (kmz_url, kml) holds the landed location attachments. Without it the
+    coordinates are null. With it pages are read and parsed once for both tables.
     """
-    fields = page_fields(pages)
-    photos = photo_records(pages)
     if documents is None:
         nothing = F.lit(None).cast("double")
         return (
-            fields.withColumns({"latitude": nothing, "longitude": nothing}),
-            photos.withColumns({"latitude": nothing, "longitude": nothing}),
+            page_fields(pages).withColumns({"latitude": nothing, "longitude": nothing}),
+            photo_records(pages).withColumns({"latitude": nothing, "longitude": nothing}),
         )
-    default = document_points(documents).select(
-        "kmz_url", F.col("default_lat").alias("latitude"), F.col("default_lon").alias("longitude")
-    )
-    days = lookup_join(fields, default, "kmz_url", spread).select(*fields.columns, "latitude", "longitude")
-    return days, nested_records(pages, documents, spread).select(F.inline("photos"))
+    # both tables come from one pass over the pages, whose records are small beside them
+    records = reusable(_located_records(pages, documents, spread))
+    return records.drop("photos"), records.select(F.inline("photos"))
 
 
 def nested_records(pages: DataFrame, documents: DataFrame, spread: int = 1) -> DataFrame:
@@ -166,7 +179,11 @@ def nested_records(pages: DataFrame, documents: DataFrame, spread: int = 1) -> D
     The array is made within the page's row; one row per document, with its points as a
     map, is joined to it.
     """
-    records = page_fields(pages, with_photos=True).drop("photo_count")
+    return _located_records(pages, documents, spread).drop("photo_count")
+
+
+def _located_records(pages: DataFrame, documents: DataFrame, spread: int) -> DataFrame:
+    records = page_fields(pages, with_photos=True)
     points = document_points(documents).select(
         "kmz_url", F.col("points").alias("_points"), F.col("default_lat").alias("latitude"), F.col("default_lon").alias("longitude")
     )

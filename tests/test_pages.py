@@ -169,3 +169,18 @@ def test_many_photos_in_one_element_take_linear_time(spark):
     found = captions(spark, html)
     assert len(found) == 400 and len(found[0][1]) == 400
     assert time.time() - began < 8
+
+
+def test_several_documents_of_a_page(spark):
+    """The place within a document decides; between equal places the result does not hang on the order of rows."""
+    mark = lambda n, x: f"<Placemark><name>{n}</name><Point><coordinates>{x},{x}</coordinates></Point></Placemark>"
+    kml = lambda *m: "<kml>" + "".join(m) + "</kml>"
+    docs = [("p", kml(mark("a", 1), mark("b", 2))), ("p", kml(mark("b", 3), mark("a", 4))), ("q", "<kml>"), ("r", kml("<LineString><coordinates>5,6 7,8</coordinates></LineString>"))]
+    for order in (docs, docs[::-1]):
+        df = spark.createDataFrame(order, "page_url string, kml string").coalesce(1)
+        rows = {r.page_url: r for r in pm.document_points(df, key="page_url").collect()}
+        assert {k: v.lat for k, v in rows["p"].points.items()} == {"a": 4.0, "b": 2.0} and rows["p"].default_lat in (1.0, 3.0)
+        first = rows["p"].default_lat if order is docs else first
+        assert rows["p"].default_lat == first == rows["p"].default_lon
+        assert (rows["r"].default_lat, rows["r"].default_lon) == (6.0, 5.0) and "q" not in rows
+        assert [tuple(r) for r in pm.default_points(df).orderBy("page_url").collect()] == [("p", 1.0, 1.0), ("r", 6.0, 5.0)]
