@@ -40,7 +40,7 @@ def expected(spark, tokenizers):
     documents, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     rows = sorted((r.doc_id, r.text) for r in documents.collect())
     model, hashes = quality.train(documents, labels), WordHashes()
-    rows = [(d, t) for d, t in rows if not counts(t)[-1] and model.probability(hashes.of(t.encode().split()), t.encode()) >= 0.5]
+    rows = [(d, t) for d, t in rows if not counts(t)[-1] and model.probability(hashes.of(t.encode().split()), t) >= 0.5]
     keep = {d for d, _, _, _, group in near_groups(rows) if d == group}
     rows = [(d, t) for d, t in rows if d in keep]
     items = [dc.words_of((r.text or "").lower()) for r in table(spark, SF, "benchmark").collect()]
