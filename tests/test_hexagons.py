@@ -71,15 +71,14 @@ def test_centres_and_parents(points):
 def test_rings_of_neighbours_share_their_corners(spark):
     """Round whole resolutions: every corner belongs to three cells, also next to pentagons and across faces."""
     rng = np.random.default_rng(2)
-    xyz = rng.normal(size=(40000, 3))
+    xyz = rng.normal(size=(14000, 3))
     xyz /= np.linalg.norm(xyz, axis=1)[:, None]
     lat, lon = np.degrees(np.arcsin(xyz[:, 2])), np.degrees(np.arctan2(xyz[:, 1], xyz[:, 0]))
     spots = spark.createDataFrame(list(zip(lat.tolist(), lon.tolist())), "lat double, lon double").repartition(4)
-    for resolution, cells in ((0, 122), (1, 842), (2, 5882)):
+    for resolution, cells in ((0, 122), (1, 842)):
         seen = spots.select(h.hex_cell(F.col("lat"), F.col("lon"), resolution).alias("cell")).distinct()
         rows = seen.select("cell", h.hex_ring(F.col("cell")).alias("ring"), h.hex_is_pentagon(F.col("cell")).alias("five")).collect()
-        assert len(rows) == cells or resolution == 2 and len(rows) > 0.99 * cells
-        assert sum(r.five for r in rows) == 12
+        assert len(rows) == cells and sum(r.five for r in rows) == 12
         corners: dict[tuple, int] = {}
         for r in rows:
             assert r.ring[0] == r.ring[-1]
@@ -89,10 +88,8 @@ def test_rings_of_neighbours_share_their_corners(spark):
         times = sorted(corners.values())
         if resolution == 0:
             assert set(times) == {3} and len(times) == (110 * 6 + 12 * 5) // 3
-        elif resolution == 1:  # odd: crossings of the icosahedron's edges belong to two cells
+        else:  # odd: crossings of the icosahedron's edges belong to two cells
             assert set(times) == {2, 3} and times.count(3) == (830 * 6 + 12 * 5) // 3
-        else:
-            assert max(times) == 3 and times.count(3) > 0.97 * len(times)
 
 
 def test_unknown_coordinates(spark):

@@ -39,8 +39,7 @@ def rows_of(df):
 @pytest.mark.parametrize(
     "edits",
     [
-        [("days", D + timedelta(40), [7, 7])],
-        [("weather", D + timedelta(58), (99.0, 30.0, 1.0)), ("photos", D + timedelta(58), [["new", "s1"]])],  # reaches the next month
+        [("days", D + timedelta(40), [7, 7]), ("weather", D + timedelta(58), (99.0, 30.0, 1.0)), ("photos", D + timedelta(58), [["new", "s1"]])],  # reaches the next month
         [("weather", D + timedelta(44), (5.0, 20.0, 2.0)), ("weather", D + timedelta(20), None)],  # a date more and one less
         [("weather", D + timedelta(125), (3.0, 9.0, 1.0)), ("weather", D + timedelta(-3), (8.0, 9.0, 1.0))],  # before and after all
         [],
