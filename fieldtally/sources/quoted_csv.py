@@ -12,7 +12,8 @@ lines before it, so it is found in two passes:
 Records are parsed by ``from_csv``. A quote opens a quoted value only where a value begins, two quotes
 in it stand for one, and what follows a closing quote belongs to the value up to the next
 separator, as for Spark's own reader. Line breaks inside quotes stay as they are in the file. Blank records are passed over, and each file's first record is its header; files must share
-one. A line must fit into memory, a file need not. Compressed files are one split.
+one. A line must fit into memory, a file need not. Compressed files are one split. Both passes must see the same splits: where the
+number of executors changes meanwhile, set spark.sql.files.minPartitionNum, else a changed split is an error.
 """
 
 from __future__ import annotations
@@ -123,6 +124,8 @@ def records(spark: SparkSession, path: str) -> DataFrame:
                 if own != split:
                     if open_lines:
                         flush(HEAD if part == WHOLE else TAIL)
+                    if own not in begins.value:
+                        raise ValueError("files were split anew between two passes: set spark.sql.files.minPartitionNum")
                     split, state = own, begins.value[own]
                     part, first = (WHOLE if state == OUT else TAIL), own[1] == 0 and state == OUT
                 quoted = set(_with_quotes(values))
