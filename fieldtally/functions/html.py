@@ -73,8 +73,8 @@ def anchors(html: Column) -> Column:
 
 
 def _unquoted(target: Column) -> Column:
-    quoted = target.startswith('"') | target.startswith("'")
-    return F.when(quoted, F.substring(target, F.lit(2), F.length(target) - 2)).otherwise(target)
+    # one mention of the target: within a lambda an expression is worked out anew for each
+    return F.regexp_replace(target, r"""(?s)^(["'])(.*).$""", "$2")
 
 
 def hrefs(html: Column) -> Column:

@@ -5,6 +5,9 @@ Every step works within the row of one page, so no page table is ever shuffled.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,67 +191,51 @@ def _species_refs(container: Column, url: Column) -> Column:
 # Elements without an end tag, and those that end where a sibling of their name begins.
 VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 IMPLIED_ENDS = ("p", "li", "td", "th", "tr", "dt", "dd", "option")
-_STACK = "array<struct<open: int, name: string, holds: boolean>>"
-_LINKS = "array<struct<href: string, parent: int>>"
-_ENDS = "array<struct<open: int, close: int>>"
-
-
-def _parents(page_tokens: Column) -> Column:
-    """Links into the photo archive with the place of the element around each, and where those elements end.
-
-    One pass over the tags with the stack of open elements. Only elements that
-    hold a photo link are remembered when they end.
-    """
-
-    def info(t: Column, i: Column) -> Column:
-        name = F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][^\s/>]*)", 1))
-        target = F.when((name == "a") & t.contains(PHOTO_PATH), href(t))
-        return F.struct(
-            i.cast("int").alias("i"), name.alias("name"), t.startswith("</").alias("close"),
-            F.when(target.contains(PHOTO_PATH), target).alias("href"),
-        )
-
-    tags = F.filter(F.transform(page_tokens, info), lambda x: (x["name"] != "") & ~x["name"].isin(*VOID_TAGS))
-
-    def ended(elements: Column, at: Column) -> Column:
-        holding = F.filter(elements, lambda e: e["holds"])
-        return F.transform(holding, lambda e: F.struct(e["open"].alias("open"), at.alias("close")))
-
-    def step(state: Column, x: Column) -> Column:
-        stack = state["stack"]
-        depth = F.size(stack)
-        names = F.reverse(F.transform(stack, lambda e: e["name"]))
-        back = F.array_position(names, x["name"]).cast("int")  # how far up the element of that name is open
-        sibling = x["name"].isin(*IMPLIED_ENDS) & (back == 1)
-        kept = F.when(x["close"], F.when(back > 0, depth - back).otherwise(depth)).otherwise(F.when(sibling, depth - 1).otherwise(depth))
-        left = F.slice(stack, F.lit(1), kept)
-        gone = F.slice(stack, kept + 1, depth - kept)
-        photo = x["href"].isNotNull() & ~x["close"]
-        top = F.size(left)
-        marked = F.when(
-            photo,
-            F.transform(left, lambda e, k: F.struct(e["open"].alias("open"), e["name"].alias("name"), (e["holds"] | (k == top - 1)).alias("holds"))),
-        ).otherwise(left)
-        new = F.struct(x["i"].alias("open"), x["name"].alias("name"), F.lit(False).alias("holds"))
-        parent = F.when(top > 0, F.element_at(left, -1)["open"]).otherwise(F.lit(-1))
-        link = F.struct(x["href"].alias("href"), parent.alias("parent"))
-        return F.struct(
-            F.when(x["close"], left).otherwise(F.concat(marked, F.array(new))).cast(_STACK).alias("stack"),
-            F.when(photo, F.concat(state["links"], F.array(link))).otherwise(state["links"]).cast(_LINKS).alias("links"),
-            F.concat(state["ends"], ended(gone, x["i"])).cast(_ENDS).alias("ends"),
-        )
-
-    start = F.struct(
-        F.array().cast(_STACK).alias("stack"), F.array().cast(_LINKS).alias("links"), F.array().cast(_ENDS).alias("ends")
-    )
-    size = F.size(page_tokens)
-    return F.aggregate(
-        tags, start, step,
-        lambda s: F.struct(
-            s["links"].alias("links"),
-            F.concat(s["ends"], ended(s["stack"], size), F.array(F.struct(F.lit(-1).alias("open"), size.alias("close")))).alias("ends"),
-        ),
-    )
+_TOKEN = r"<[/a-zA-Z][^>]*>|[^<]++|<"
+_NAME = re.compile(r"</?([a-zA-Z][^ \t\n\x0b\f\r/>]*)").match
+
+
+def _holders(tokens: list[str]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Places of anchors that name the photo archive with that of the element around each (-1: none), and from where to
+    where those elements reach. One pass over the tags with the stack of open elements."""
+    stack: list[tuple[str, int]] = []
+    links, ends, holding = [], [], {-1}
+
+    def ended(gone: list[tuple[str, int]], at: int) -> None:
+        ends.extend((place, at) for _, place in gone if place in holding)
+
+    for i, token in enumerate(tokens):
+        tag = _NAME(token)
+        name = tag[1].lower() if tag else ""
+        if not name or name in VOID_TAGS:
+            continue
+        if token.startswith("</"):
+            kept = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), len(stack))
+        else:
+            kept = len(stack) - (name in IMPLIED_ENDS and bool(stack) and stack[-1][0] == name)
+        ended(stack[kept:], i)
+        del stack[kept:]
+        if token.startswith("</"):
+            continue
+        if name == "a" and PHOTO_PATH in token:
+            parent = stack[-1][1] if stack else -1
+            holding.add(parent)
+            links.append((i, parent))
+        stack.append((name, i))
+    ended([*stack, ("", -1)], len(tokens))
+    return links, ends
+
+
+def _parents(page: Column) -> Column:
+    """Links into the photo archive and the elements around them, by places among the tokens of a page."""
+
+    def run(pages: pd.Series) -> pd.DataFrame:
+        token = re.compile(_TOKEN).findall
+        found = [_holders(token(p)) if p and PHOTO_PATH in p else ([], []) for p in pages]
+        links = [[{"at": i, "parent": k} for i, k in f[0]] for f in found]
+        return pd.DataFrame({"links": links, "ends": [[{"open": i, "close": k} for i, k in f[1]] for f in found]})
+
+    return F.pandas_udf(run, "links array<struct<at: int, parent: int>>, ends array<struct<open: int, close: int>>")(page)
 
 
 def _common_name(caption: Column) -> Column:
@@ -263,13 +250,14 @@ def with_photo_structs(pages: DataFrame, name: str = "photos") -> DataFrame:
     many photos it holds. The position also counts links that are not images and
     so leaves gaps.
     """
-    tokens = F.when(
-        F.col("html").contains(PHOTO_PATH),
-        F.regexp_extract_all("html", F.lit(r"<[/a-zA-Z][^>]*>|[^<]++|<"), F.lit(0)),
-    )
-    found = compute_once(pages, {"_tokens": F.coalesce(tokens, F.array().cast("array<string>"))})
-    found = compute_once(found, {"_found": _parents(F.col("_tokens"))})
-    held = F.array_distinct(F.transform("_found.links", lambda r: r["parent"]))
+    tokens = F.when(F.col("html").contains(PHOTO_PATH), F.regexp_extract_all("html", F.lit(_TOKEN), F.lit(0)))
+    found = pages.withColumn("_found", _parents(F.col("html")))
+    found = compute_once(found, {"_tokens": F.coalesce(tokens, F.array().cast("array<string>"))})
+    targets = F.transform(
+        "_found.links", lambda r: F.struct(href(F.get("_tokens", r["at"])).alias("href"), r["parent"].alias("parent"))
+    )
+    found = compute_once(found, {"_links": F.filter(targets, lambda r: r["href"].contains(PHOTO_PATH))})
+    held = F.array_distinct(F.transform("_links", lambda r: r["parent"]))
     ranges = F.filter("_found.ends", lambda e: F.array_contains(held, e["open"]))
 
     def entry(e: Column) -> Column:
@@ -282,7 +270,7 @@ def with_photo_structs(pages: DataFrame, name: str = "photos") -> DataFrame:
 
     elements = F.map_from_entries(F.transform(F.transform(ranges, entry), facts))
     found = compute_once(found, {"_elements": elements})
-    numbered = F.transform("_found.links", lambda r, i: F.struct((i + 1).alias("i"), r["href"].alias("href"), r["parent"].alias("parent")))
+    numbered = F.transform("_links", lambda r, i: F.struct((i + 1).alias("i"), r["href"].alias("href"), r["parent"].alias("parent")))
     images = F.filter(numbered, lambda r: _any([F.lower(r["href"]).endswith(e) for e in IMAGE_EXTENSIONS]))
     known = F.transform(
         images,
@@ -301,7 +289,7 @@ def with_photo_structs(pages: DataFrame, name: str = "photos") -> DataFrame:
             F.lit(None).cast("string").alias("location_text"),
         ),
     )
-    return compute_once(found, {name: records}).drop("_tokens", "_found", "_elements")
+    return compute_once(found, {name: records}).drop("_tokens", "_found", "_links", "_elements")
 
 
 def photo_records(pages: DataFrame) -> DataFrame:

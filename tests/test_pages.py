@@ -184,3 +184,15 @@ def test_several_documents_of_a_page(spark):
         assert rows["p"].default_lat == first == rows["p"].default_lon
         assert (rows["r"].default_lat, rows["r"].default_lon) == (6.0, 5.0) and "q" not in rows
         assert [tuple(r) for r in pm.default_points(df).orderBy("page_url").collect()] == [("p", 1.0, 1.0), ("r", 6.0, 5.0)]
+
+
+def test_small_tables_are_dealt_out_before_parsers(spark):
+    from catalog.base import PIECES_PER_CORE, load
+
+    parts = load(spark, "/root/testdata/sf0.001", "part", costly=True)
+    assert parts.rdd.getNumPartitions() == PIECES_PER_CORE * spark.sparkContext.defaultParallelism
+
+
+def test_elements_around_photo_links():
+    tokens = ["<ul>", "<li>", "<a href=/pictures/archives/1.jpg>", "x", "</a>", "<li>", "<br>", "y", "</ul>", "<A href='/pictures/archives/2.jpg'>"]
+    assert p._holders(tokens) == ([(2, 1), (9, -1)], [(1, 5), (-1, 10)])
