@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import DEFAULT_ZOOM, cell_feature, cell_id, cell_lat, cell_lon, cell_ring
-from ..functions.hexagons import DEFAULT_RESOLUTION, hex_cell, hex_centre, hex_feature
+from ..functions.hexagons import DEFAULT_RESOLUTION, hex_cell_by_batch, hex_centre, hex_feature
+from .columns import compute_once
 from .joins import lookup_join
 
 # Map centre (lat, lon) when there is nothing to show.
@@ -28,7 +29,8 @@ def add_hexagons(
 ) -> DataFrame:
     """Add ``cell``, the id of the hexagon of a point, null where a coordinate is unknown. All that takes ``cell`` columns
     as keys (counts, grids, lookups) works on them as on tiles; for centres and borders see hexagons_of and hexagon_features."""
-    return df.withColumn("cell", hex_cell(F.col(lat_col), F.col(lon_col), resolution))
+    found = df.withColumn("_cell", hex_cell_by_batch(F.col(lat_col), F.col(lon_col), resolution))
+    return compute_once(found, {"cell": F.col("_cell")}).drop("_cell")  # a filter on the cell must not work it out again
 
 
 def hexagons_of(df: DataFrame) -> DataFrame:

@@ -113,3 +113,17 @@ def test_features_and_centre(spark):
     assert 30.2 < centre.lat < 30.4 and -97.7 < centre.lon < -97.5
     near = {round(r.lat, 1) for r in c.hexagons_of(df).collect()}
     assert near == {30.2, 30.4}
+
+
+def test_cells_are_worked_out_once_a_row_whatever_is_filtered(spark):
+    points = spark.createDataFrame([(30.5, -95.25), (None, 1.0), (91.0, 0.0)], "latitude double, longitude double")
+    counted = c.count_cells(c.add_hexagons(points))
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert [r.photo_count for r in counted.collect()] == [1]
+
+
+def test_batches_give_the_cells_of_the_expression(points):
+    lat, lon, level = F.col("lat"), F.col("lon"), F.col("resolution")
+    both = points.select(h.hex_cell(lat, lon, level).alias("a"), h.hex_cell_by_batch(lat, lon, level).alias("b"))
+    assert both.where(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
