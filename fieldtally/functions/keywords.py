@@ -70,7 +70,9 @@ def first_listed(text: Column, keywords: tuple[str, ...]) -> Column:
             chain.pop()
         best[keyword] = min(rank[keyword], best[chain[-1]] if chain else rank[keyword])
         chain.append(keyword)
-    names, places = (F.array(*[F.lit(v) for v in vs]) for vs in zip(*best.items()))
+    by_place = sorted(best, key=best.get)
+    names, places = F.array(*[F.lit(n) for n in by_place]), F.array(*[F.lit(best[n]) for n in by_place])
     found = F.regexp_extract_all(text, F.lit(f"(?=({trie_pattern(keywords)}))"), F.lit(1))
-    listed = F.transform(F.array_distinct(found), lambda k: F.get(places, F.array_position(names, k).cast("int") - 1))
-    return F.coalesce(F.array_min(listed), F.lit(0))
+    # the first of the list that was found: by a hash table of what was found, not by a search of the list for each of it
+    first = F.get(F.array_intersect(names, found), F.lit(0))
+    return F.coalesce(F.get(places, F.array_position(names, first).cast("int") - 1), F.lit(0))
