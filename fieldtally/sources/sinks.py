@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,10 +19,18 @@ def flat_for_csv(df: DataFrame) -> DataFrame:
     return df.withColumns(nested) if nested else df
 
 
+#: Rows of one CSV file: with line breaks inside quotes a file is read by one task, so files must not grow with the table.
+CSV_ROWS = 200_000
+#: Rows of one file in Z-order: a task sorts them.
+SORTED_ROWS = 1_000_000
+
+
 def write_table(
-    df: DataFrame, path: str, fmt: str = "parquet", by_year: bool = False, date_col: str = "date"
+    df: DataFrame, path: str, fmt: str = "parquet", by_year: bool = False, date_col: str = "date", csv_rows: int = CSV_ROWS
 ) -> DataFrame:
-    """Replace the table at ``path`` and read it back; ``by_year`` partitions the files by the year of the date."""
+    """Replace the table at ``path`` and read it back; ``by_year`` partitions the files by the year of the date.
+
+    No CSV file gets more than ``csv_rows`` rows."""
     columns = df.columns
     if fmt == "csv":
         df = flat_for_csv(df)
@@ -30,7 +40,7 @@ def write_table(
     if by_year:
         writer = writer.partitionBy("year")
     if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+        writer = writer.option("header", True).option("escape", '"').option("maxRecordsPerFile", csv_rows)
     writer.save(path)
     reader = df.sparkSession.read.schema(df.schema).format(fmt)
     if fmt == "csv":
@@ -39,13 +49,18 @@ def write_table(
 
 
 def write_in_z_order(
-    df: DataFrame, path: str, lat_col: str = "latitude", lon_col: str = "longitude", key: str = "z", files: int | None = None, **options: str
+    df: DataFrame, path: str, lat_col: str = "latitude", lon_col: str = "longitude", key: str = "z", files: int | None = None,
+    sorted_rows: int = SORTED_ROWS, **options: str
 ) -> DataFrame:
     """Replace the Parquet table at ``path`` by the rows in the order of ``key``, a Z-order key of their point, and read it back.
 
     Rows are dealt to files by ranges of the key, so files do not overlap; rows without a point come first.
-    ``files`` defaults to the shuffle partitions, ``options`` go to the writer (row group and page sizes).
+    ``files`` defaults to the shuffle partitions. There are more where these would hold more than ``sorted_rows`` rows on
+    average, for a task sorts a file; that takes a count. ``options`` go to the writer (row group and page sizes).
     """
+    least = math.ceil(df.count() / sorted_rows)
+    if least > (files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))):
+        files = least
     keyed = df.withColumn(key, z_key(F.col(lat_col), F.col(lon_col)))
     dealt = keyed.repartitionByRange(files, key) if files else keyed.repartitionByRange(key)
     dealt.sortWithinPartitions(key).write.mode("overwrite").options(**options).parquet(path)

@@ -70,3 +70,9 @@ def test_ranges_reach_the_scan_and_skip_row_groups(spark, points, tmp_path):
     read = sum(any(a <= high and low <= b for a, b in ranges) for low, high in spans)
     assert 0 < read <= len(spans) / 4  # three quarters of the files and more are passed over
     assert found.count() > 0
+
+
+def test_files_in_order_stay_small(spark, tmp_path):
+    points = spark.range(1000).selectExpr("id / 20 AS latitude", "id / 10 AS longitude")
+    write_in_z_order(points, str(tmp_path / "t"), files=2, sorted_rows=50)
+    assert len(list((tmp_path / "t").glob("*.parquet"))) >= 15
