@@ -15,25 +15,25 @@ PHOTO_COLUMNS = ["date", "page_url", "photo_url", "index_on_page", "full_caption
 DAY_COLUMNS = ["date", "url", "photo_count", "identified_species", "weather_summary"]
 
 
-def landed(spark, sf_dir, fmt="csv"):
-    """Paths of the days, photos and weather tables, side by side."""
+def landed(spark, sf_dir, *names, fmt="csv"):
+    """Paths of the tables named, side by side."""
     folder, ending = scratch_folder(spark, "landed"), ".csv" if fmt == "csv" else ""
-    raw = photos(spark, sf_dir).select(*PHOTO_COLUMNS, "species")
-    for name, df in (("days", days(spark, sf_dir)), ("photos", raw), ("weather", weather(spark, sf_dir))):
-        write_table(df, f"{folder}/{name}{ending}", fmt)
-    return [f"{folder}/{name}{ending}" for name in ("days", "photos", "weather")]
+    tables_of = {"days": days, "photos": lambda *a: photos(*a).select(*PHOTO_COLUMNS, "species"), "weather": weather}
+    for name in names:
+        write_table(tables_of[name](spark, sf_dir), f"{folder}/{name}{ending}", fmt)
+    return [f"{folder}/{name}{ending}" for name in names]
 
 
 @registry.add(f"""WITH {DAYS_SQL}
 SELECT date, url, photo_count, '[''' || o_orderpriority || ''', ''customer ' || (o_custkey % 50) || ''']' AS identified_species
 FROM days""")
 def read_days_csv(spark, sf_dir):
-    return tables.read_days(spark, landed(spark, sf_dir)[0], False).select("date", "url", "photo_count", "identified_species")
+    return tables.read_days(spark, *landed(spark, sf_dir, "days"), False).select("date", "url", "photo_count", "identified_species")
 
 
 @registry.add(f"WITH {PHOTOS_SQL} SELECT {', '.join(PHOTO_COLUMNS)} FROM photos")
 def read_photos_csv(spark, sf_dir):
-    return tables.read_photos(spark, landed(spark, sf_dir)[1], False).select(*PHOTO_COLUMNS)
+    return tables.read_photos(spark, *landed(spark, sf_dir, "photos"), False).select(*PHOTO_COLUMNS)
 
 
 @registry.add("""SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text, lang, source, n_chars FROM documents""")
@@ -50,12 +50,12 @@ def read_quoted_texts_csv(spark, sf_dir):
 
 @registry.add(f"WITH {PHOTOS_SQL} SELECT {', '.join(PHOTO_COLUMNS)} FROM photos")
 def read_photos_split(spark, sf_dir):
-    return tables.read_photos(spark, landed(spark, sf_dir)[1], False, split=True).select(*PHOTO_COLUMNS)
+    return tables.read_photos(spark, *landed(spark, sf_dir, "photos"), False, split=True).select(*PHOTO_COLUMNS)
 
 
 @registry.add(f"WITH {WEATHER_SQL} SELECT * FROM weather WHERE year(date) BETWEEN 1996 AND 1998")
 def read_weather_parquet(spark, sf_dir):
-    read = tables.read_weather(spark, landed(spark, sf_dir, "parquet")[2], "parquet")
+    read = tables.read_weather(spark, *landed(spark, sf_dir, "weather", fmt="parquet"), "parquet")
     return modeling.filter_by_year(read, "date", 1996, 1998)
 
 
@@ -72,7 +72,7 @@ names AS (SELECT date, first_species AS s FROM kept UNION ALL SELECT date, secon
 
 @registry.add(f"WITH {KEPT_SQL} SELECT s AS species, count(*) AS occurrences, 'photo-level' AS source FROM names GROUP BY s")
 def preprocessing_run(spark, sf_dir):
-    day_path, photo_path, _ = landed(spark, sf_dir)
+    day_path, photo_path = landed(spark, sf_dir, "days", "photos")
     out = preprocess.run_preprocessing(spark, day_path, photo_path, scratch_folder(spark, "out"), False, RULES)
     return out["species_frequency"]
 
@@ -91,12 +91,12 @@ names AS (SELECT date, first_species AS s FROM photos UNION ALL SELECT date, sec
 {daily_sql('names')}""")
 def modeling_run(spark, sf_dir):
     """No photos are handed over: they are read from beside the days."""
-    day_path, _, weather_path = landed(spark, sf_dir)
+    day_path, _, weather_path = landed(spark, sf_dir, "days", "photos", "weather")
     data = modeling.run_modeling_dataset(spark, day_path, weather_path, scratch_folder(spark, "out"), False)
     return data.select("date", "has_mushroom", "photo_count", "species_count")
 
 
 @registry.add(f"WITH {KEPT_SQL}, {daily_sql('names')}")
 def full_run(spark, sf_dir):
-    out = modeling.run_full(spark, *landed(spark, sf_dir), scratch_folder(spark, "out"), False, RULES)
+    out = modeling.run_full(spark, *landed(spark, sf_dir, "days", "photos", "weather"), scratch_folder(spark, "out"), False, RULES)
     return out["daily"].select("date", "has_mushroom", "photo_count", "species_count")
