@@ -313,3 +313,25 @@ def test_payload_is_parsed_once(spark):
     plan = pl.unpivot_daily(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1 and "SortAggregate" not in plan
     assert pl.unpivot_daily(df).count() == 1
+
+
+def test_csv_files_do_not_grow_with_the_table(spark, tmp_path):
+    write_table(spark.range(0, 95, 1, 1), str(tmp_path / "c"), fmt="csv", csv_rows=10)
+    sizes = [len(f.read_text().splitlines()) - 1 for f in (tmp_path / "c").glob("*.csv")]
+    assert sum(sizes) == 95 and max(sizes) == 10
+
+
+def test_only_the_tables_named_are_landed(spark):
+    from pathlib import Path
+
+    from catalog.runs import landed
+
+    [path] = landed(spark, "/root/testdata/sf0.001", "days")
+    assert [f.name for f in Path(path.removeprefix("file:")).parent.iterdir()] == ["days.csv"]
+
+
+def test_join_by_date_is_dealt_by_a_fixed_number(spark):
+    days = spark.sql("SELECT DATE '2024-01-01' + CAST(id AS INT) AS date, id AS temp, 1 AS min, 2 AS max, 3 AS precip FROM range(9)")
+    merged = daily.join_weather_metrics(days.select("date"), days.hint("shuffle_merge"))
+    assert merged.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert merged.count() == 9
