@@ -185,22 +185,27 @@ def _fit(
         ll, gradient, hessian = evaluate(theta)
         damping = 0.0
         for iteration in range(1, max_iterations + 1):
-            information = -hessian
+            # judged in units of each parameter's own curvature, so neither rows nor scales of predictors count
+            unit = np.abs(np.diag(hessian))
+            unit = np.sqrt(np.where(unit > 0, unit, 1.0))
+            information = -hessian / np.outer(unit, unit)
             least = float(np.linalg.eigvalsh(information)[0])
-            floor = 1e-8 * max(1.0, float(np.trace(np.abs(information))))
-            shift = max(damping, floor - least if least < floor else 0.0)
-            step = np.linalg.solve(information + shift * np.eye(len(theta)), gradient)
+            shift = max(damping, 1e-8 - least if least < 1e-12 else 0.0)
+            step = np.linalg.solve(information + shift * np.eye(len(theta)), gradient / unit) / unit
             gain = float(gradient @ step)
             if gain < tolerance and shift == 0.0:
+                # the deviations are those at the estimate, not at the point before it
                 theta = theta + step
+                ll, gradient, hessian = evaluate(theta)
+                theta = theta + np.linalg.solve(-hessian, gradient)
                 break
             candidate = theta + step * min(1.0, 5.0 / float(np.max(np.abs(step))))
             new_ll, new_gradient, new_hessian = evaluate(candidate)
             if math.isfinite(new_ll) and np.all(np.isfinite(new_hessian)) and new_ll >= ll - 1e-9 * abs(ll):
                 theta, ll, gradient, hessian = candidate, new_ll, new_gradient, new_hessian
-                damping = 0.0 if damping < floor else damping / 10.0
+                damping = 0.0 if damping < 1e-8 else damping / 10.0
             else:
-                damping = max(10.0 * damping, 10.0 * floor)
+                damping = max(10.0 * damping, 1e-7)
         else:
             raise RuntimeError(f"no convergence after {max_iterations} steps")
         sds = np.sqrt(np.diag(np.linalg.inv(-hessian)))

@@ -96,3 +96,20 @@ def test_zip_without_zeros_is_a_poisson_fit(spark):
     assert inflated.psi == 1.0 and inflated.alpha == plain.alpha and inflated.betas == plain.betas
     rows = {r.parameter: r for r in inflated.summary(spark).collect()}
     assert (rows["psi"]["mean"], rows["psi"]["sd"]) == (1.0, 0.0)
+
+
+@pytest.mark.parametrize("tolerance", [1.0, 1e-8])
+def test_deviations_are_those_at_the_estimate(simulated, tolerance):
+    model = fit_poisson(simulated, ["a", "b"], "y", prior_sd=None, tolerance=tolerance)
+    data = np.array([(1.0, r.a, r.b) for r in simulated.na.drop().collect()])
+    mu = np.exp(data @ [model.alpha, *model.betas])
+    expected = np.sqrt(np.diag(np.linalg.inv(data.T @ (data * mu[:, None]))))
+    assert model.sds == pytest.approx(tuple(expected), rel=1e-3 if tolerance == 1.0 else 1e-10)
+
+
+def test_large_counts_and_small_predictors_converge(spark):
+    """What is known of a predictor may be little against the sum of all counts."""
+    rows = [(1e-4 * (i % 2), 10**9 * (i % 3)) for i in range(12)]
+    df = spark.createDataFrame(rows, "x double, count long")
+    model = fit_zip(df, ["x"])
+    assert model.alpha == pytest.approx(math.log(1.5e9), abs=1e-3) and model.psi == pytest.approx(9 / 14, abs=1e-6)
