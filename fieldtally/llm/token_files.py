@@ -45,35 +45,39 @@ PAGE_OPTIONS = {
 }
 
 
-#: Texts in which case, composition and classes of characters are beyond doubt and no special token can be.
-_ODD = re.compile(r"[^\t-\r -~\u00C0-\u012F\u0139-\u0148\u014A-\u017E]|<\|").search
+#: Texts in which case, composition and classes of characters are beyond doubt.
+_ODD = re.compile(r"[^\t-\r -~\u00C0-\u012F\u0139-\u0148\u014A-\u017E]").search
 _LATIN = [chr(c) for c in (*range(0x61, 0x7B), *range(0xC0, 0x180)) if unicodedata.category(chr(c)).startswith("L")]
 
 
 class WordTokenizer(dict):
-    """The library's ids of each text. As a dict it remembers those of pre-tokens;
+    """The library's ids of each text. As a dict it holds those of words (what white space parts);
     when full it keeps one older generation, from which those still in use return.
 
     If the tokenizer file puts text in NFC and lower case and cuts it by a pattern, texts
-    in Latin letters, digits and ASCII signs are cut here by that pattern, its classes written
-    out, and the library sees each pre-token once. Other texts, those that may hold a
+    in Latin letters, digits and ASCII signs are cut at white space, and each new word by that pattern, its
+    classes written out; the library's model codes the pre-tokens. Other texts, those that may hold a
     special token, and all texts for files of another make go to the library in whole.
     """
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
+    def __init__(self, path: str, limit: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.older: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         pattern = self.split_pattern(config)
-        suffix = config["model"].get("end_of_word_suffix")
-        self.last = np.zeros(1 + max(config["model"]["vocab"].values()), bool)  # ids that end a pre-token
-        self.last[[i for t, i in config["model"]["vocab"].items() if suffix and t.endswith(suffix)]] = True
         written = pattern.replace(r"\p{L}", "".join(_LATIN)).replace(r"\p{N}", "0-9")
         self.cut = re.compile(written, re.ASCII).findall if pattern else None
+        before, letters, _ = pattern.partition(r"[\p{L}]+")  # whether nothing else can take the start of a word of letters
+        self.whole = str.isalpha if letters and all(x.startswith("'") for x in before.split("|")[:-1]) else lambda word: False
+        byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.table = str.maketrans({c: byte_level.pre_tokenize_str(c)[0][0] for c in {*_LATIN, *map(chr, range(0x80, 0x180))}})
+        self.coded = [i.to_bytes(4, "little") for i in range(1 + max(config["model"]["vocab"].values()))] if pattern else []
+        self.tokenize = self.tokenizer.model.tokenize
 
     @staticmethod
     def split_pattern(config: dict) -> str:
@@ -85,41 +89,35 @@ class WordTokenizer(dict):
         split, last = cuts
         plain = split["behavior"] == "Removed" and split["invert"] and not last["add_prefix_space"] and not last["use_regex"]
         pattern = split["pattern"].get("Regex", "")
-        crosses = " " in pattern or r"[^\s" not in pattern
+        crosses = " " in pattern or r"[^\s" not in pattern or pattern.count(r"\s") > 1 or "(?" in pattern or r"\b" in pattern
         return pattern if plain and not crosses else ""
 
     def library(self, texts: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(c.ids, "<u4").tobytes() for c in coded]
 
-    def learn(self, new: list[str]) -> None:
-        """Ask for many pre-tokens in one text, which is much faster; the ids that end a pre-token part them again."""
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
-            if len(ends) == len(part) and ends[-1] == 4 * len(ids):
-                raw = ids.tobytes()
-                found = [raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            parts = (word,) if self.whole(word) else self.cut(word)
+            if len(parts) == 1:
+                text = parts[0] if word.isascii() else parts[0].translate(self.table)
+                coded = self.coded
+                ids = b"".join([coded[t.id] for t in self.tokenize(text)])
             else:
-                found = self.library(part)
-            self.update(zip(part, found))
+                ids = b"".join([self[p] for p in parts])
+        if len(self) >= self.limit:  # what is asked for from now on returns
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.cut:
             return self.library(texts)
-        cut = [None if _ODD(t) else self.cut(t.lower()) for t in texts]
-        new = set().union(*(found for found in cut if found)).difference(self)
-        if len(self) >= self.limit:  # what was asked for since the last time stays
-            self.older = dict(self)
-            self.clear()
-            new.update(*(found for found in cut if found))
-        known = new & self.older.keys()
-        self.update((x, self.older[x]) for x in known)
-        self.learn(list(new - known))
         get = self.__getitem__
-        return [self.library([t])[0] if found is None else b"".join(map(get, found)) for t, found in zip(texts, cut)]
+        return [self.library([t])[0] if "<|" in t or _ODD(t) else b"".join(map(get, t.lower().split())) for t in texts]
 
 
 IN_WORKER: dict[str, WordTokenizer] = {}
@@ -144,7 +142,7 @@ def encoded(df: DataFrame, path: str, end_id: int, meta: tuple[str, ...] = ()) -
             counts = np.array([len(c) // 4 for c in coded], np.int64)
             starts = start + np.cumsum(counts) - counts
             start += int(counts.sum())
-            ids = list_array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32), counts, pa.int32())
+            ids = list_array(np.frombuffer(b"".join(coded), "<i4"), counts, pa.int32())
             values = [batch.column("doc_id"), pa.array(np.full(len(counts), part, np.int32)), pa.array(starts), pa.array(counts)]
             names = ["doc_id", "part", "start_in_part", "n_tokens"]
             if meta:

@@ -53,3 +53,16 @@ def test_other_makes_go_to_the_library(tokenizers):
     t = tf.WordTokenizer(tokenizers.path("byte_bpe_50k.json"))
     assert t.cut is None
     assert np.frombuffer(t.encode(["a b"])[0], "<u4").tolist() == t.tokenizer.encode("a b").ids
+
+
+def test_words_are_coded_by_the_model_alone(tokenizers):
+    """Whatever leaves the memory, and with no run of the whole library for words it has not seen."""
+    texts = [t for t in TEXTS[1:] if t.isascii() and "<|" not in t and "\x1c" not in t]
+    texts += ["Éclair-ñandú's ÀÉ×b÷ß œuvre,žluť!", "it'll don''t 'rex x'S 9a9 __a_b__ \x0b\x0c\ty", "one two three four one five two"]
+    library = Tokenizer.from_file(tokenizers.path("word_bpe_49k.json"))
+    for limit in (1, 3, 1000):
+        t = tf.WordTokenizer(tokenizers.path("word_bpe_49k.json"), limit)
+        t.tokenizer = None
+        got = [np.frombuffer(c, "<u4").tolist() for c in t.encode(texts * 2)]
+        assert got == [library.encode(x, add_special_tokens=False).ids for x in texts * 2]
+        assert len(t) <= limit
