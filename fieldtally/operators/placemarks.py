@@ -125,17 +125,19 @@ def locate_photos(photos: DataFrame, marks: DataFrame, defaults: DataFrame, spre
     """Set latitude and longitude: the photo's own placemark, else the default of its page.
 
     Both lookups are equi-joins on unique keys; the second is on the page alone,
-    and ``spread`` divides a page that holds very many photos.
+    and ``spread`` divides a page that holds very many photos. Points come out of a parser, so Spark would judge
+    them by the size of the documents' file and, however many they are, collect them for a broadcast: when it has measured
+    them it no longer turns to a plan with more shuffles. So both are merged.
     """
     found = lookup_join(
         photos.withColumn("name", location_key(F.col("photo_url"))),
-        marks.select("page_url", "name", F.struct("lat", "lon").alias("_at")),
+        marks.select("page_url", "name", F.struct("lat", "lon").alias("_at")).hint("merge"),
         ["page_url", "name"],
         spread,
     )
     found = lookup_join(
         found, defaults.select("page_url", F.struct(F.col("default_lat").alias("lat"), F.col("default_lon").alias("lon"))
-                               .alias("_default")), "page_url", spread,
+                               .alias("_default")).hint("merge"), "page_url", spread,
     )
     at = F.coalesce("_at", "_default")
     return found.select(*photos.columns, at["lat"].alias("latitude"), at["lon"].alias("longitude"))

@@ -116,6 +116,17 @@ def test_default_points(spark):
     assert got == {("p1", 30.25, -95.5), ("p2", 6.5, 5.5)}
 
 
+def test_points_are_not_collected_for_a_broadcast(spark, tmp_path):
+    """By the size of the small file that they are parsed from, Spark would broadcast them, however many they are."""
+    spark.createDataFrame([(URL, KML)], "page_url string, kml string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    photos = spark.createDataFrame([(URL, f"https://o/archives/2023/A1/jpeg/0{i}b.jpg") for i in (7, 9)], "page_url string, photo_url string")
+    found = pm.locate_photos(photos, pm.placemarks(docs), pm.default_points(docs), spread=4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "BroadcastExchange" not in plan
+    assert sorted((r.photo_url[-7:], r.latitude, r.longitude) for r in found.collect()) == [("07b.jpg", 31.0, -96.0), ("09b.jpg", 30.25, -95.5)]
+
+
 def test_location_key(column_of):
     urls = ["https://o/archives/2023/A1/jpeg/07b.jpg", "https://o/archives/2023", "https://o/archives/2023/A1/b7.jpg", "x", None]
     assert column_of(urls, p.location_key) == ["A1-07", None, None, None, None]
