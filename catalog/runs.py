@@ -15,12 +15,18 @@ PHOTO_COLUMNS = ["date", "page_url", "photo_url", "index_on_page", "full_caption
 DAY_COLUMNS = ["date", "url", "photo_count", "identified_species", "weather_summary"]
 
 
+#: Rows of one landed CSV file. As text photos take some ten times the room of the table they come from, so files are compressed.
+#: A compressed file is one split: there are as many as keep all cores at work.
+LANDED_ROWS = 50_000
+
+
 def landed(spark, sf_dir, *names, fmt="csv"):
     """Paths of the tables named, side by side."""
     folder, ending = scratch_folder(spark, "landed"), ".csv" if fmt == "csv" else ""
     tables_of = {"days": days, "photos": lambda *a: photos(*a).select(*PHOTO_COLUMNS, "species"), "weather": weather}
     for name in names:
-        write_table(tables_of[name](spark, sf_dir), f"{folder}/{name}{ending}", fmt)
+        compression = "gzip" if fmt == "csv" else None
+        write_table(tables_of[name](spark, sf_dir), f"{folder}/{name}{ending}", fmt, csv_rows=LANDED_ROWS, compression=compression)
     return [f"{folder}/{name}{ending}" for name in names]
 
 

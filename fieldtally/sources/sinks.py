@@ -26,11 +26,12 @@ SORTED_ROWS = 1_000_000
 
 
 def write_table(
-    df: DataFrame, path: str, fmt: str = "parquet", by_year: bool = False, date_col: str = "date", csv_rows: int = CSV_ROWS
+    df: DataFrame, path: str, fmt: str = "parquet", by_year: bool = False, date_col: str = "date", csv_rows: int = CSV_ROWS,
+    compression: str | None = None,
 ) -> DataFrame:
     """Replace the table at ``path`` and read it back; ``by_year`` partitions the files by the year of the date.
 
-    No CSV file gets more than ``csv_rows`` rows."""
+    No CSV file gets more than ``csv_rows`` rows. ``compression`` is by default that of the format: CSV files are plain."""
     columns = df.columns
     if fmt == "csv":
         df = flat_for_csv(df)
@@ -41,6 +42,8 @@ def write_table(
         writer = writer.partitionBy("year")
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"').option("maxRecordsPerFile", csv_rows)
+    if compression:
+        writer = writer.option("compression", compression)
     writer.save(path)
     reader = df.sparkSession.read.schema(df.schema).format(fmt)
     if fmt == "csv":

@@ -330,6 +330,28 @@ def test_only_the_tables_named_are_landed(spark):
     assert [f.name for f in Path(path.removeprefix("file:")).parent.iterdir()] == ["days.csv"]
 
 
+def test_landed_text_is_compressed(spark, tmp_path, monkeypatch):
+    import gzip
+    from pathlib import Path
+
+    from catalog import runs
+
+    spark.sql(
+        "SELECT id AS l_orderkey, id % 7 AS l_partkey, id % 5 AS l_suppkey, CAST(id % 3 AS INT) AS l_linenumber, DOUBLE(id) AS l_quantity,"
+        " DOUBLE(id) AS l_extendedprice, 0.1D AS l_discount, 'N' AS l_returnflag, TIMESTAMP '2020-01-01' AS l_shipdate FROM range(0, 3000, 1, 1)"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT id AS p_partkey, 'red, \"x\"' AS p_name, concat('t', id) AS p_type, 'B' AS p_brand FROM range(7)").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(runs, "LANDED_ROWS", 1000)
+    [path] = runs.landed(spark, str(tmp_path), "photos")
+    files = [f for f in Path(path.removeprefix("file:")).iterdir() if f.name.startswith("part-")]
+    texts = [gzip.decompress(f.read_bytes()) for f in files]
+    assert [len(t.splitlines()) for t in texts] == [1001] * 3
+    assert sum(f.stat().st_size for f in files) * 5 < sum(map(len, texts))
+    want = sorted(map(tuple, runs.photos(spark, str(tmp_path)).select(*runs.PHOTO_COLUMNS).collect()))
+    for split in (False, True):
+        assert sorted(map(tuple, read_photos(spark, path, False, split=split).select(*runs.PHOTO_COLUMNS).collect())) == want
+
+
 def test_join_by_date_is_dealt_by_a_fixed_number(spark):
     days = spark.sql("SELECT DATE '2024-01-01' + CAST(id AS INT) AS date, id AS temp, 1 AS min, 2 AS max, 3 AS precip FROM range(9)")
     merged = daily.join_weather_metrics(days.select("date"), days.hint("shuffle_merge"))
