@@ -357,3 +357,12 @@ def test_join_by_date_is_dealt_by_a_fixed_number(spark):
     merged = daily.join_weather_metrics(days.select("date"), days.hint("shuffle_merge"))
     assert merged.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
     assert merged.count() == 9
+
+
+def test_records_of_one_date_are_divided_among_tasks(spark):
+    days = spark.sql("SELECT DATE '2024-01-01' + CAST(id DIV 60 AS INT) AS date, id AS n, id % 5 AS temp, 1 AS min, 2 AS max, 3 AS precip, map('k', id) AS other FROM range(60)")
+    merged = daily.join_weather_metrics(days.select("date", "n", "other"), days)
+    assert merged.columns == ["date", "n", "other", "temp", "min", "max", "precip"]
+    held = [len(x) for x in merged.rdd.glom().collect()]
+    assert sum(held) == 3600 and sum(n > 0 for n in held) > 1
+    assert {r["count"] for r in merged.groupBy("n").count().collect()} == {60}
